@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph import storage
-from loomgraph.operators import heavy_keys
+from loomgraph.operators import heavy_keys, nested
 from loomgraph.plans.tables import table
 
 QUERIES: dict = {}
@@ -32,3 +32,50 @@ SQL |= {
     "p1_found": f"WITH {_SLOTS} SELECT key_kind, key_id FROM totals WHERE n_slots * 100 >= (SELECT count(*) FROM slots)",
     "p1_key_totals": f"WITH {_SLOTS} SELECT * FROM totals",
 }
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.records(table(spark, sf_dir, "entity_dump"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.leaf_rows(_records(spark, sf_dir))
+
+
+def _flat(name: str):
+    return lambda spark, sf_dir: nested.flat_tables(_records(spark, sf_dir))[name]
+
+
+QUERIES |= {"p5_found": p5_found, **{f"p5_{n}": _flat(n) for n in ("claims", "qualifiers", "references", "reference_snaks", "sitelinks")}}
+
+_RECORDS = r"""lines AS (SELECT line_no, regexp_replace(json_line, '[ ,\r\n\t]+$', '') AS j FROM entity_dump WHERE json_line LIKE '{%'),
+parsed AS (SELECT line_no, CAST(j AS JSON) AS j FROM lines WHERE json_valid(j)),
+named AS (SELECT j->>'id' AS qid, j, row_number() OVER (PARTITION BY j->>'id' ORDER BY CAST(j->>'lastrevid' AS BIGINT) DESC, line_no DESC) AS k FROM parsed
+    WHERE json_type(j, '$.id') = 'VARCHAR'),
+recs AS MATERIALIZED (SELECT qid, j FROM named WHERE k = 1),
+props AS (SELECT qid, unnest(json_keys(j->'claims')) AS prop, j->'claims' AS c FROM recs WHERE json_type(j->'claims') = 'OBJECT'),
+arrays AS (SELECT qid, prop, c->prop AS a FROM props WHERE json_type(c->prop) = 'ARRAY'),
+claims AS MATERIALIZED (SELECT qid, prop, CAST(n AS INTEGER) AS claim_no, a->n AS c FROM arrays, unnest(range(CAST(json_array_length(a) AS BIGINT))) AS t(n)),
+q_props AS (SELECT qid, prop, claim_no, unnest(json_keys(c->'qualifiers')) AS sub_prop, c->'qualifiers' AS q FROM claims WHERE json_type(c->'qualifiers') = 'OBJECT'),
+q_snaks AS (SELECT qid, prop, claim_no, sub_prop, n, (q->sub_prop)->n AS s FROM q_props, unnest(range(CAST(json_array_length(q->sub_prop) AS BIGINT))) AS t(n)
+    WHERE json_type(q->sub_prop) = 'ARRAY'),
+refs AS (SELECT qid, prop, claim_no, CAST(n AS INTEGER) AS ref_no, ((c->'references')->n)->'snaks' AS r FROM claims, unnest(range(CAST(json_array_length(c->'references') AS BIGINT))) AS t(n)
+    WHERE json_type(c->'references') = 'ARRAY'),
+r_props AS (SELECT qid, prop, claim_no, ref_no, r, unnest(json_keys(r)) AS sub_prop FROM refs WHERE json_type(r) = 'OBJECT'),
+r_snaks AS (SELECT qid, prop, claim_no, ref_no, sub_prop, n, (r->sub_prop)->n AS s FROM r_props, unnest(range(CAST(json_array_length(r->sub_prop) AS BIGINT))) AS t(n)
+    WHERE json_type(r->sub_prop) = 'ARRAY'),
+sites AS (SELECT qid, unnest(json_keys(j->'sitelinks')) AS prop, j->'sitelinks' AS s FROM recs WHERE json_type(j->'sitelinks') = 'OBJECT'),
+held AS (SELECT qid, 'main' AS leaf_kind, prop, claim_no, -1 AS ref_no, '' AS sub_prop, -1 AS sub_no, (c->'mainsnak')->'datavalue'->'value' AS v FROM claims
+    UNION ALL SELECT qid, 'qualifier', prop, claim_no, -1, sub_prop, CAST(n AS INTEGER), s->'datavalue'->'value' FROM q_snaks
+    UNION ALL SELECT qid, 'reference', prop, claim_no, ref_no, sub_prop, CAST(n AS INTEGER), s->'datavalue'->'value' FROM r_snaks),
+leaves AS (SELECT * EXCLUDE (v), coalesce(v->>'id', v->>'time') AS leaf_text FROM held WHERE json_type(v) = 'OBJECT' AND coalesce(v->>'id', v->>'time') IS NOT NULL
+    UNION ALL SELECT qid, 'sitelink', prop, -1, -1, '', -1, (s->prop)->>'title' FROM sites WHERE prop LIKE '%wiki' AND (s->prop)->>'title' IS NOT NULL)"""
+_CLAIM, _REF = "qid || '/' || prop || '/' || claim_no", "qid || '/' || prop || '/' || claim_no || '/' || ref_no"
+SQL |= {
+    "p5_found": f"WITH {_RECORDS} SELECT * FROM leaves",
+    "p5_claims": f"WITH {_RECORDS} SELECT {_CLAIM} AS claim_id, qid, prop, claim_no, max(leaf_text) FILTER (leaf_kind = 'main') AS main_text FROM leaves WHERE leaf_kind <> 'sitelink' GROUP BY qid, prop, claim_no",
+    "p5_qualifiers": f"WITH {_RECORDS} SELECT {_CLAIM} AS claim_id, sub_prop, sub_no, leaf_text FROM leaves WHERE leaf_kind = 'qualifier'",
+    "p5_references": f"WITH {_RECORDS} SELECT DISTINCT {_CLAIM} AS claim_id, ref_no, {_REF} AS ref_id FROM leaves WHERE leaf_kind = 'reference'",
+    "p5_reference_snaks": f"WITH {_RECORDS} SELECT {_REF} AS ref_id, sub_prop, sub_no, leaf_text FROM leaves WHERE leaf_kind = 'reference'",
+    "p5_sitelinks": f"WITH {_RECORDS} SELECT qid, prop AS site, leaf_text AS title FROM leaves WHERE leaf_kind = 'sitelink'",
+}
