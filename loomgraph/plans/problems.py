@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph import storage
-from loomgraph.operators import heavy_keys, nested
+from loomgraph.operators import heavy_keys, hierarchy, nested, skew
 from loomgraph.plans.tables import table
 
 QUERIES: dict = {}
@@ -79,3 +80,74 @@ SQL |= {
     "p5_reference_snaks": f"WITH {_RECORDS} SELECT {_REF} AS ref_id, sub_prop, sub_no, leaf_text FROM leaves WHERE leaf_kind = 'reference'",
     "p5_sitelinks": f"WITH {_RECORDS} SELECT qid, prop AS site, leaf_text AS title FROM leaves WHERE leaf_kind = 'sitelink'",
 }
+
+# -- problem 2 -------------------------------------------------------------------------------------------------------
+
+PARENT_PROPS = ["P131", "P171", "P279"]
+_NUMBER = r"^Q(0|[1-9][0-9]{0,16})$"
+
+
+def parent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, parent) of all properties in one graph: 4 times the id's number plus the property's place in PARENT_PROPS.
+
+    Ids other than Q and a number have no number to be compared by and are left out. The parent is the first value that is the id of a record;
+    whether it is one is asked for the distinct pairs of target and property only after hot targets are set apart.
+    """
+    recs = storage.cut(nested.links(table(spark, sf_dir, "entity_dump"), PARENT_PROPS).where(F.col("qid").rlike(_NUMBER)), "p2-records")
+    number = lambda c: F.regexp_extract(c, r"^Q(\d+)$", 1).cast("long")
+    ids = recs.select(number("qid").alias("target"))
+    arrays = F.array(*[F.struct(F.lit(i).alias("code"), F.col(p).alias("targets")) for i, p in enumerate(PARENT_PROPS)])
+    wide = recs.select(number("qid").alias("id"), F.explode(arrays).alias("a")).select("id", "a.code", F.posexplode("a.targets").alias("pos", "t"))
+    cand = storage.cut(wide.where(F.col("t").rlike(_NUMBER)).select("id", "code", "pos", number("t").alias("target")), "p2-candidates")
+    real = skew.skew_semi_join(cand, ids, "target", skew.heavy_keys(cand, F.col("target"), 0.005))
+    first = real.groupBy("id", "code").agg(F.min_by("target", "pos").alias("target"))
+    return first.select((F.col("id") * 4 + F.col("code")).alias("node"), (F.col("target") * 4 + F.col("code")).alias("parent"))
+
+
+def _q(c: str):
+    return F.concat(F.lit("Q"), F.expr(f"{c} div 4").cast("string"))
+
+
+_PROP = F.element_at(F.array(*[F.lit(p) for p in PARENT_PROPS]), (F.pmod("node", F.lit(4)) + 1).cast("int"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.hierarchy(parent_links(spark, sf_dir)).select(_PROP.alias("prop"), _q("node").alias("qid"), _q("root").alias("root_qid"), F.col("depth").alias("tree_depth"))
+
+
+def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything known of a node: parent, root, depth, interval, number of descendants, and its path as ids joined by >."""
+    nodes = storage.cut(hierarchy.hierarchy(parent_links(spark, sf_dir)), "p2-nodes")
+    path = hierarchy.paths(nodes).select("node", F.array_join(F.transform("path", lambda x: F.concat(F.lit("Q"), F.shiftright(x, 2).cast("string"))), ">").alias("path"))
+    return nodes.join(path, "node").select(
+        _PROP.alias("prop"), _q("node").alias("qid"), _q("parent").alias("parent_qid"), _q("root").alias("root_qid"), F.col("depth").alias("tree_depth"),
+        "on_cycle", "first_place", "last_place", "n_descendants", "path",
+    )
+
+
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = storage.cut(hierarchy.hierarchy(parent_links(spark, sf_dir)), "p2-nodes")
+    return hierarchy.descendants(nodes).select(_PROP.alias("prop"), _q("ancestor").alias("qid"), _q("node").alias("descendant_qid"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants": p2_descendants}
+
+_LINKS = rf"""{_RECORDS},
+cand AS (SELECT prop, qid, claim_no, c->'mainsnak'->'datavalue'->'value'->>'id' AS t FROM claims WHERE prop IN ('P131', 'P171', 'P279')),
+par AS MATERIALIZED (SELECT prop, qid, arg_min(t, claim_no) AS up FROM cand WHERE t IN (SELECT qid FROM recs) GROUP BY prop, qid),
+nodes AS (SELECT prop, qid FROM par UNION SELECT prop, up FROM par),
+climb AS (SELECT prop, qid, qid AS cur, 0 AS d FROM nodes UNION ALL
+    SELECT climb.prop, climb.qid, par.up, d + 1 FROM climb JOIN par ON par.prop = climb.prop AND par.qid = climb.cur WHERE d < 1000),
+on_cycle AS MATERIALIZED (SELECT DISTINCT prop, qid FROM climb WHERE d > 0 AND cur = qid),
+ring AS (SELECT c.prop, c.qid, 'Q' || min(CAST(climb.cur[2:] AS BIGINT)) AS least FROM on_cycle c JOIN climb USING (prop, qid) GROUP BY ALL),
+tops AS (SELECT prop, qid FROM nodes EXCEPT SELECT prop, qid FROM par UNION SELECT prop, qid FROM on_cycle),
+tree AS (SELECT par.* FROM par ANTI JOIN on_cycle USING (prop, qid)),
+hang AS (SELECT prop, qid AS top, qid, 0 AS d, qid AS path FROM tops UNION ALL
+    SELECT t.prop, h.top, t.qid, h.d + 1, h.path || '>' || t.qid FROM hang h JOIN tree t ON t.prop = h.prop AND t.up = h.qid),
+found AS (SELECT hang.prop, hang.qid, coalesce(least, top) AS root_qid, CASE WHEN d = 0 AND least IS NOT NULL THEN -1 ELSE d END AS tree_depth
+    FROM hang LEFT JOIN ring ON ring.prop = hang.prop AND ring.qid = hang.top)"""
+SQL |= {
+    "p2_found": f"WITH RECURSIVE {_LINKS} SELECT * FROM found",
+    "p2_descendants": f"""WITH RECURSIVE {_LINKS}, pairs AS (SELECT prop, up AS qid, qid AS descendant_qid FROM tree UNION ALL
+        SELECT p.prop, t.up, p.descendant_qid FROM pairs p JOIN tree t ON t.prop = p.prop AND t.qid = p.qid) SELECT * FROM pairs""",
+}
