@@ -81,7 +81,7 @@ def _bisect(rows: DataFrame, names: list[str], n: int) -> DataFrame:
         whole = (F.col("l.part") > F.col("r.at")) | (F.col("r.c") <= F.col("r.want"))
         cut = F.expr(f"cast((l.code - r.lo) div ((r.hi - r.lo) div {WAYS} + 1) as int)")
         joined = live.alias("l").join(ranges.alias("r"), same & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.part") >= F.col("r.at")))
-        joined = storage.cut(joined.select(*group, "l.code", "l.salt", whole.alias("taken"), cut.alias("part"), "r.want", "r.parts"), "top-live")
+        joined = storage.cut(joined.select(*group, "l.code", "l.salt", whole.alias("taken"), F.when(~whole, cut).alias("part"), "r.want", "r.parts"), "top-live")
         taken.append(joined.where("taken").select(*names, "code"))
         live = joined.where("not taken")
         # the rows of each part between two midpoints; summed up from above they are the rows above a midpoint
