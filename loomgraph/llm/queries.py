@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q3_top_n", "q4_sentences", "q6_tokens", "q7_packing")
+MODULES = ("q3_top_n", "q4_sentences", "q6_tokens", "q7_packing", "q8_moderation")
 
 
 def _merged(name: str) -> dict:
