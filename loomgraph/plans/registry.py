@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("problems",)
+MODULES = ("problems", "graph_queries")
 
 
 def _merged(name: str) -> dict:
