@@ -137,11 +137,11 @@ def connection_path(s, d) -> DataFrame:
 
 query(
     "typed_path_reach",
-    f"""WITH {M.EDGES}, one AS (SELECT DISTINCT child AS source, parent AS entity FROM edges WHERE prop = 'P279'),
+    f"""WITH {M.EDGES}, one AS (SELECT DISTINCT child AS source, parent AS entity FROM edges WHERE prop = 'P131'),
 up AS (SELECT DISTINCT child, parent FROM edges WHERE prop = 'P131'),
 a AS (SELECT DISTINCT o.source, u.parent AS entity FROM one o JOIN up u ON u.child = o.entity),
 b AS (SELECT DISTINCT a.source, u.parent AS entity FROM a JOIN up u ON u.child = a.entity) SELECT * FROM a UNION SELECT * FROM b""",
-)(lambda s, d: (lambda g: g.path_reach(M.entities(s, d).select("entity"), [("P279", 1), ("P131", 2)]))(_graph(s, d)))
+)(lambda s, d: (lambda g: g.path_reach(M.entities(s, d).select("entity"), [("P131", 1), ("P131", 2)]))(_graph(s, d)))
 query("delta_encode", f"WITH {M.EDGES}, n AS (SELECT child, count(*) AS k FROM edges WHERE prop = 'P31' GROUP BY child) SELECT child AS entity, child - lag(child, 1, CAST(0 AS BIGINT)) OVER (PARTITION BY child // 1000 ORDER BY child) AS delta, k FROM n")(
     lambda s, d: M.edges(s, d).where("prop = 'P31'").groupBy("child").agg(F.count("*").alias("k")).selectExpr("child as entity", "child - lag(child, 1, 0L) over (partition by child div 1000 order by child) as delta", "k")
 )

@@ -108,11 +108,12 @@ def _q(c: str):
     return F.concat(F.lit("Q"), F.expr(f"{c} div 4").cast("string"))
 
 
-_PROP = F.element_at(F.array(*[F.lit(p) for p in PARENT_PROPS]), (F.pmod("node", F.lit(4)) + 1).cast("int"))
+def _prop():
+    return F.element_at(F.array(*[F.lit(p) for p in PARENT_PROPS]), (F.pmod("node", F.lit(4)) + 1).cast("int"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.hierarchy(parent_links(spark, sf_dir)).select(_PROP.alias("prop"), _q("node").alias("qid"), _q("root").alias("root_qid"), F.col("depth").alias("tree_depth"))
+    return hierarchy.hierarchy(parent_links(spark, sf_dir)).select(_prop().alias("prop"), _q("node").alias("qid"), _q("root").alias("root_qid"), F.col("depth").alias("tree_depth"))
 
 
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,14 +121,14 @@ def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = storage.cut(hierarchy.hierarchy(parent_links(spark, sf_dir)), "p2-nodes")
     path = hierarchy.paths(nodes).select("node", F.array_join(F.transform("path", lambda x: F.concat(F.lit("Q"), F.shiftright(x, 2).cast("string"))), ">").alias("path"))
     return nodes.join(path, "node").select(
-        _PROP.alias("prop"), _q("node").alias("qid"), _q("parent").alias("parent_qid"), _q("root").alias("root_qid"), F.col("depth").alias("tree_depth"),
+        _prop().alias("prop"), _q("node").alias("qid"), _q("parent").alias("parent_qid"), _q("root").alias("root_qid"), F.col("depth").alias("tree_depth"),
         "on_cycle", "first_place", "last_place", "n_descendants", "path",
     )
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = storage.cut(hierarchy.hierarchy(parent_links(spark, sf_dir)), "p2-nodes")
-    return hierarchy.descendants(nodes).select(_PROP.alias("prop"), _q("ancestor").alias("qid"), _q("node").alias("descendant_qid"))
+    return hierarchy.descendants(nodes).select(_prop().alias("prop"), _q("ancestor").alias("qid"), _q("node").alias("descendant_qid"))
 
 
 QUERIES |= {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants": p2_descendants}
