@@ -93,7 +93,7 @@ def clean_markup(text: Column) -> Column:
 
 def fragments(text: Column) -> Column:
     """Array of (pos, text, dest) of a page in order: links with their target, and the stretches between them with a null dest."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)\[\[[^\]\[]*\]\]|(?:(?!\[\[[^\]\[]*\]\]).)+"), F.lit(0))
+    parts = F.filter(F.split(F.regexp_replace(text, r"(\[\[[^\]\[]*\]\])", "\u0001$1\u0001"), "\u0001"), lambda x: x != "")
 
     def parse(x: Column, i: Column) -> Column:
         link = x.rlike(r"(?s)^\[\[[^\]\[]*\]\]$")

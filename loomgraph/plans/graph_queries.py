@@ -39,7 +39,10 @@ def _core(n: int) -> tuple[int, ...]:
     return tuple(range(n))
 
 
-SEEDS = tuple(range(0, 300, 5))
+def _seeds(s, d) -> DataFrame:
+    return table(s, d, "core_entities").where("kind_name = 'city'").select(F.col("entity").cast("long"))
+
+
 _BAD = """bad_node AS (SELECT entity FROM core_entities WHERE entity % 10 = 7),
 bad_pair AS (SELECT DISTINCT child, parent FROM edges WHERE child % 10 = parent % 10)"""
 
@@ -90,18 +93,18 @@ query("edges_of_set", f"WITH {M.EDGES} SELECT * FROM edges WHERE child IN (SELEC
 query("disconnected_entities", f"WITH {M.EDGES} SELECT DISTINCT entity FROM entities WHERE entity NOT IN (SELECT child FROM edges WHERE prop IN ('P31', 'P279', 'P361', 'P131'))")(
     lambda s, d: M.entities(s, d).select("entity").distinct().join(M.edges(s, d).where("prop in ('P31', 'P279', 'P361', 'P131')").select(F.col("child").alias("entity")), "entity", "left_anti")
 )
-query("one_hop_successors", f"WITH {M.EDGES}, {_BAD} SELECT DISTINCT e.child AS entity FROM edges e ANTI JOIN bad_pair b ON b.child = e.child AND b.parent = e.parent WHERE prop IN ('P31', 'P279') AND parent < 300 AND parent % 5 = 0")(
-    lambda s, d: _graph(s, d, bad=True).successors(["P31", "P279"], s.createDataFrame([(x,) for x in SEEDS], "entity long"))
+query("one_hop_successors", f"WITH {M.EDGES}, {_BAD} SELECT DISTINCT e.child AS entity FROM edges e ANTI JOIN bad_pair b ON b.child = e.child AND b.parent = e.parent WHERE prop IN ('P31', 'P279') AND e.parent IN (SELECT entity FROM core_entities WHERE kind_name = 'city')")(
+    lambda s, d: _graph(s, d, bad=True).successors(["P31", "P279"], _seeds(s, d))
 )
-_WALK = "WITH RECURSIVE {edges}, {extra}seeds AS (SELECT DISTINCT entity FROM entities WHERE entity < 300 AND entity % 5 = 0), walk AS (SELECT entity{d0} FROM seeds UNION{all} SELECT e.child{d1} FROM walk w JOIN edges e ON e.parent = w.entity WHERE e.prop IN ({props}){more}) SELECT DISTINCT entity FROM walk{last}"
-query("closure_full", _WALK.replace("entity < 300 AND entity % 5 = 0", "entity % 40 = 0").format(edges=M.EDGES, extra="", d0="", d1="", all="", props="'P279'", more="", last=""))(
-    lambda s, d: (lambda g: g.satisfy(["P279"], M.entities(s, d).where("entity % 40 = 0")))(_graph(s, d))
+_WALK = "WITH RECURSIVE {edges}, {extra}seeds AS (SELECT CAST(entity AS BIGINT) AS entity FROM core_entities WHERE kind_name = 'city'), walk AS (SELECT entity{d0} FROM seeds UNION{all} SELECT e.child{d1} FROM walk w JOIN edges e ON e.parent = w.entity WHERE e.prop IN ({props}){more}) SELECT DISTINCT entity FROM walk{last}"
+query("closure_full", _WALK.replace("SELECT CAST(entity AS BIGINT) AS entity FROM core_entities WHERE kind_name = 'city'", "SELECT DISTINCT child AS entity FROM edges WHERE prop = 'P361'").format(edges=M.EDGES, extra="", d0="", d1="", all="", props="'P279'", more="", last=""))(
+    lambda s, d: (lambda g: g.satisfy(["P279"], g.relation("P361").select(F.col("source").alias("entity")).distinct()))(_graph(s, d))
 )
 query("closure_multi_relation", _WALK.format(edges=M.EDGES, extra="", d0="", d1="", all="", props="'P31', 'P279', 'P131', 'P171'", more="", last=""))(
-    lambda s, d: _graph(s, d).satisfy(["P31", "P279", "P131", "P171"], list(SEEDS))
+    lambda s, d: _graph(s, d).satisfy(["P31", "P279", "P131", "P171"], _seeds(s, d))
 )
 query("closure_max_steps", _WALK.format(edges=M.EDGES, extra="", d0=", 0 AS d", d1=", w.d + 1", all="", props="'P31', 'P279', 'P131', 'P171'", more=" AND w.d < 3", last=""))(
-    lambda s, d: _graph(s, d).satisfy(["P31", "P279", "P131", "P171"], list(SEEDS), 3)
+    lambda s, d: _graph(s, d).satisfy(["P31", "P279", "P131", "P171"], _seeds(s, d), 3)
 )
 query(
     "closure_blacklist",
@@ -109,7 +112,7 @@ query(
         edges=M.EDGES, extra=_BAD + ", ", d0="", d1="", all="", props="'P31', 'P279', 'P131', 'P171'",
         more=" AND e.child NOT IN (SELECT entity FROM bad_node) AND NOT EXISTS (SELECT 1 FROM bad_pair b WHERE b.child = e.child AND b.parent = e.parent)", last=" WHERE entity NOT IN (SELECT entity FROM bad_node)",
     ),
-)(lambda s, d: _graph(s, d, bad=True).satisfy(["P31", "P279", "P131", "P171"], list(SEEDS)))
+)(lambda s, d: _graph(s, d, bad=True).satisfy(["P31", "P279", "P131", "P171"], _seeds(s, d)))
 RULES = [Rule(k, ("P31", "P279") if k % 2 else ("P131",), (k, k + 50), None if k % 3 else 2) for k in range(40)]
 query(
     "closure_batched",

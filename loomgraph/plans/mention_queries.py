@@ -64,7 +64,7 @@ names AS (SELECT unnest(['award','city','country','film','human','language','occ
 exported AS MATERIALIZED (SELECT e.entity, CAST(coalesce(max(n.k), 10) AS INTEGER) AS class_id FROM every e LEFT JOIN kinds USING (entity) LEFT JOIN names n USING (kind) GROUP BY e.entity)"""
 _K = f"WITH {M.EDGES}, {KINDS}"
 
-query("class_lookup", f"{_K} SELECT entity, class_id FROM exported WHERE entity % 3 = 0")(lambda s, d: _kind_classes(s, d, _edges(s, d)).where("entity % 3 = 0").select("entity", "class_id"))
+query("class_lookup", f"{_K} SELECT x.entity, class_id FROM exported x JOIN located USING (entity)")(lambda s, d: (lambda e: _kind_classes(s, d, e).join(_located(e), "entity").select("entity", "class_id"))(_edges(s, d)))
 query("classification_export", f"{_K} SELECT entity, class_id, coalesce(kind, 'other') AS label FROM exported LEFT JOIN names ON k = class_id")(lambda s, d: _kind_classes(s, d, _edges(s, d)))
 query("bool_algebra", f"{_K} SELECT entity FROM kinds WHERE kind IN ('city', 'river') INTERSECT SELECT entity FROM located")(
     lambda s, d: (lambda e: C.all_of(C.any_of(_kind(s, d, e, "city"), _kind(s, d, e, "river")), _located(e)))(_edges(s, d))
@@ -305,11 +305,11 @@ query("transition_compose")(lambda s, d: L.iterate(_dictionary(s, d), _pass(s, d
 
 # -- type search -------------------------------------------------------------------------------------------------------------
 
-TYPES = "types AS MATERIALIZED (SELECT DISTINCT child AS entity, parent AS type FROM edges WHERE prop = 'P31' AND parent % 10 = 0)"
+TYPES = "types AS MATERIALIZED (SELECT DISTINCT child AS entity, parent AS type FROM edges WHERE prop = 'P31' AND parent IN (SELECT entity FROM core_entities WHERE kind_name = 'city'))"
 
 
 def _search(s, d) -> T.Search:
-    types = M.edges(s, d).where("prop = 'P31' and parent % 10 = 0").select(F.col("child").alias("entity"), F.col("parent").alias("type")).distinct()
+    types = M.edges(s, d).where("prop = 'P31'").join(table(s, d, "core_entities").where("kind_name = 'city'").select(F.col("entity").cast("long").alias("parent")), "parent", "left_semi").select(F.col("child").alias("entity"), F.col("parent").alias("type")).distinct()
     return T.Search(_mentions(s, d), _dictionary(s, d), types, penalty=0.0005)
 
 
