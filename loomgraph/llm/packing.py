@@ -24,9 +24,11 @@ from pyspark.sql.window import Window as W
 from loomgraph import storage
 
 #: A round places one in so many of the containers still needed (at least one).
-ROUNDS = 100
+ROUNDS = 64
 #: How strongly a length that is behind is preferred; bounds the exponent.
 RATE, STEEPEST = 1.0, 6.0
+#: Lengths priced in a round: those furthest behind, and the shortest, which fill what room is left.
+PRICED, SHORTEST = 256, 48
 #: Items of one length that are ranked in one task.
 RANKED = 100_000
 
@@ -40,13 +42,12 @@ def price(weight: np.ndarray, sizes: np.ndarray, limit: np.ndarray, capacity: in
             m = min(m, left)
             who.append(k), load.append(int(sizes[k]) * m), gain.append(weight[k] * m)
             left, m = left - m, 2 * m
-    best = np.zeros(capacity + 1)
+    best = np.zeros(capacity + 1, np.float32)
     took = np.zeros((len(who), capacity + 1), bool)
     for i, (s, g) in enumerate(zip(load, gain, strict=True)):
-        with_it = best[: capacity + 1 - s] + g
-        better = with_it > best[s:]
-        took[i, s:] = better
-        best[s:] = np.where(better, with_it, best[s:])
+        with_it = best[: capacity + 1 - s] + np.float32(g)
+        np.greater(with_it, best[s:], out=took[i, s:])
+        np.maximum(with_it, best[s:], out=best[s:])
     out, c = np.zeros(len(sizes), np.int64), int(best.argmax())
     for i in range(len(who) - 1, -1, -1):
         if took[i, c]:
@@ -84,12 +85,20 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
         if not (left[live] >= run).any():
             run = int(left[live].max())
         behind = (left[live] / total[live]) / (tokens / all_tokens) - 1
-        weight = sizes[live] * np.exp(np.minimum(RATE * behind, STEEPEST))
+        if len(live) > PRICED + SHORTEST:  # sizes fall, so that the shortest stand last
+            some = np.union1d(np.argpartition(-behind, PRICED)[:PRICED], np.arange(len(live) - SHORTEST, len(live)))
+            live, behind = live[some], behind[some]
+            if not (left[live] >= run).any():
+                run = int(left[live].max())
+        weight = sizes[live] / capacity * np.exp(np.minimum(RATE * behind, STEEPEST))
         config = price(weight, sizes[live], left[live] // run, capacity)
-        # rare lengths may leave room that no length left in such numbers fills: then the run is shortened
-        while run > 1 and (sizes[live] * config).sum() < capacity * 0.995 and (left[live] < run).any():
-            run = max(1, run // 4)
-            config = price(weight, sizes[live], left[live] // run, capacity)
+        # lengths too rare for the run may fill the room that is left: then a shorter run is taken, if it is fuller
+        room = capacity - int((sizes[live] * config).sum())
+        if run > 1 and room > capacity * 0.005 and (left[live] < run).any():
+            shorter = max(1, run // 8)
+            other = price(weight, sizes[live], left[live] // shorter, capacity)
+            if capacity - int((sizes[live] * other).sum()) < room / 2:
+                run, config = shorter, other
         for k in np.flatnonzero(config):
             s = live[k]
             rows.append((int(sizes[s]), int(total[s] - left[s]), base, int(config[k])))
