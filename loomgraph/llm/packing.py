@@ -3,7 +3,7 @@
 A configuration is a multiset of lengths that fits one container; the program asks how often to use each so that every
 length is covered with the fewest containers. It is solved by multiplicative weights: each length has a weight that grows while
 it is behind the others in being covered and falls while it is ahead, a round prices configurations by a knapsack dynamic
-program over the weights, and the best one is used for a 1/ROUNDS share of what is left. Shares are rounded to whole
+program over the weights, and the best one is used for a small share of what is left. Shares are rounded to whole
 containers, and no configuration asks for more items than are left, so that the result is whole and needs no repair.
 
 The program sees the histogram alone: at most `capacity` numbers, whatever the number of items, and its rounds grow with the
@@ -23,10 +23,11 @@ from pyspark.sql.window import Window as W
 
 from loomgraph import storage
 
-#: A round places one in so many of the containers still needed (at least one).
-ROUNDS = 64
+#: A round places one in so many of the containers still needed (at least one): ROUND_WORK / capacity, within FEWEST and MOST,
+#: as rounds are cheaper and their precision matters more where containers are small.
+ROUND_WORK, FEWEST, MOST = 64_000, 64, 250
 #: How strongly a length that is behind is preferred; bounds the exponent.
-RATE, STEEPEST = 1.0, 6.0
+RATE, STEEPEST = 0.3, 6.0
 #: Lengths priced in a round: those furthest behind, and the shortest, which fill what room is left.
 PRICED, SHORTEST = 256, 48
 #: Items of one length that are ranked in one task.
@@ -78,10 +79,11 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
     sizes = np.array(sorted((s for s in histogram if 0 < s < capacity and histogram[s] > 0), reverse=True), np.int64)
     total = np.array([histogram[s] for s in sizes], np.int64)
     left, all_tokens = total.copy(), int((sizes * total).sum())
+    rounds = min(MOST, max(FEWEST, ROUND_WORK // capacity))
     while left.any():
         live = np.flatnonzero(left)
         tokens = int((sizes * left).sum())
-        run = max(1, tokens // capacity // ROUNDS)
+        run = max(1, tokens // capacity // rounds)
         if not (left[live] >= run).any():
             run = int(left[live].max())
         behind = (left[live] / total[live]) / (tokens / all_tokens) - 1
