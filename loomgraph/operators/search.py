@@ -53,9 +53,8 @@ class Search:
         if not sets:
             return {}
         member = F.broadcast(spark.createDataFrame([(k, int(t)) for k, s in enumerate(sets) for t in s] or [(-1, -1)], "set_no int, type long"))
-        every = F.broadcast(spark.createDataFrame([(k,) for k in range(len(sets))], "set_no int"))
         own = self.types.join(member, "type").groupBy("set_no", "entity").agg(F.sort_array(F.collect_set("type")).alias("vector"))
-        cand = self.candidates.join(every).join(own, ["set_no", "entity"], "left").withColumn("vector", F.coalesce(F.array_join(F.col("vector").cast("array<string>"), ","), F.lit("")))
+        cand = self.candidates.withColumn("set_no", F.explode(F.sequence(F.lit(0), F.lit(len(sets) - 1)))).join(own, ["set_no", "entity"], "left").withColumn("vector", F.coalesce(F.array_join(F.col("vector").cast("array<string>"), ","), F.lit("")))
         top = cand.groupBy("set_no", "surface_id", "vector").agg(F.max(F.struct("cnt", (-F.col("entity")).alias("neg"))).alias("b"))
         solved = top.select("set_no", "surface_id", (-F.col("b.neg")).alias("entity")).join(self.rest, ["surface_id", "entity"])
         got = {r["set_no"]: r["n"] for r in solved.groupBy("set_no").agg(F.sum("n").alias("n")).collect()}
