@@ -98,25 +98,31 @@ class TypeGraph:
                 members = [merged]
         return _union(members)
 
-    def connection_path(self, relations: list[str], sources: DataFrame, target: int, most: int = 32) -> DataFrame:
+    def connection_path(self, relations: list[str], sources: DataFrame, target: int, most: int | None = None) -> DataFrame:
         """(entity, path array<string>): of each source a shortest way up to the target as node, relation, node ...; ties by the path's text.
 
-        Sources that don't reach the target within `most` steps have no row. The search goes down from the target, once for all sources.
+        Sources that don't reach the target, or not within `most` steps if given, have no row. The search goes down from the target,
+        once for all sources, until a round finds nothing new; what was found is never entered again, so that cycles end.
         """
         spark = self.edges.sparkSession
         links = storage.cut(self._allowed(self.edges.where(F.col("prop").isin(list(relations))).select("prop", F.col("child").cast("long"), F.col("parent").cast("long")).distinct()), "links")
-        front = spark.createDataFrame([(int(target), [str(target)])], "entity long, path array<string>")
-        found = [storage.cut(front, "paths")]
-        for _ in range(most):
-            nxt = found[-1].select(F.col("entity").alias("parent"), "path").join(links, "parent")
+        front = storage.cut(spark.createDataFrame([(int(target), [str(target)])], "entity long, path array<string>"), "paths")
+        found, seen = [front], [front.select("entity")]
+        while most is None or len(found) <= most:
+            nxt = front.select(F.col("entity").alias("parent"), "path").join(links, "parent")
             nxt = nxt.select(F.col("child").alias("entity"), F.concat(F.array(F.col("child").cast("string"), F.col("prop")), F.col("path")).alias("path"))
             nxt = self._good(nxt.groupBy("entity").agg(F.min("path").alias("path")))
-            for f in found:
-                nxt = nxt.join(f.select("entity"), "entity", "left_anti")
-            nxt = storage.cut(nxt, "paths")
-            if nxt.isEmpty():
+            for s in seen:
+                nxt = nxt.join(s, "entity", "left_anti")
+            front = storage.cut(nxt, "paths")
+            if front.isEmpty():
                 break
-            found.append(nxt)
+            found.append(front)
+            seen.append(front.select("entity"))
+            if len(seen) > 4:  # keeps the number of anti-joins bounded
+                merged = storage.cut(_union(seen), "seen")
+                storage.drop(seen[0])
+                seen = [merged]
         return _union(found).join(sources.select(F.col("entity").cast("long")).distinct(), "entity", "left_semi")
 
     def path_reach(self, starts: DataFrame, steps: list[tuple[str, int]]) -> DataFrame:

@@ -57,6 +57,15 @@ def test_closure_rules(spark):
     assert sorted(map(tuple, g.path_reach(spark.createDataFrame([(5,)], "entity long"), [("P", 1), ("Q", 1), ("P", 2)]).collect())) == [(5, 1), (5, 2)]
 
 
+def test_connection_path_of_any_depth(spark):
+    g = TypeGraph(edges(spark, [("P", i + 1, i) for i in range(1, 40)] + [("P", 1, 40)]))  # a cycle
+    asked = spark.createDataFrame([(40,), (3,)], "entity long")
+    got = {r["entity"]: r["path"] for r in g.connection_path(["P"], asked, 1).collect()}
+    assert {e: len(p) for e, p in got.items()} == {40: 2 * 39 + 1, 3: 2 * 2 + 1}
+    assert got[40][:3] == ["40", "P", "39"]
+    assert [r["entity"] for r in g.connection_path(["P"], asked, 1, 2).collect()] == [3]
+
+
 def test_export_takes_the_later_name(spark):
     s = lambda *x: spark.createDataFrame([(i,) for i in x], "entity long")
     got = {tuple(r) for r in C.export(s(1, 2, 3), {"a": s(), "b": s(1), "c": s(1, 2)}).collect()}
