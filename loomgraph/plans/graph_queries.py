@@ -55,7 +55,7 @@ query("prune_nested_fields", f"WITH {M._RECORDS} SELECT qid, count(*) AS n_leave
 )
 query("entity_index", f"WITH {M.ENTITIES} SELECT entity, qid FROM entities")(lambda s, d: M.entities(s, d))
 query("known_names", f"WITH {M.TITLES} SELECT entity, min(title) AS name FROM titles WHERE wiki = 'enwiki' AND entity < 2000 GROUP BY entity")(
-    lambda s, d: M.titles(s, d).where("wiki = 'enwiki' and entity < 2000").groupBy("entity").agg(F.min("title").alias("name"))
+    lambda s, d: M.titles(s, d).where("wiki = 'enwiki'").groupBy("entity").agg(F.min("title").alias("name"))
 )
 query("json_nested_project", f"WITH {M._RECORDS} SELECT qid, prop, claim_no, leaf_text FROM leaves WHERE leaf_kind = 'main' AND prop IN ('P31', 'P279', 'P569')")(
     lambda s, d: M.leaves(s, d).where("leaf_kind = 'main' and prop in ('P31', 'P279', 'P569')").select("qid", "prop", "claim_no", "leaf_text")
