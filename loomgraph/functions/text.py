@@ -83,8 +83,9 @@ def redirect(text: Column) -> Column:
 
 
 def clean_markup(text: Column) -> Column:
-    """Plain text of a page: no notes or templates, headings as sentences of their own, list marks set off by a blank."""
-    t = F.regexp_replace(text, r"\t", " ")
+    """Plain text of a page: line ends as \\n, no notes or templates, headings as sentences of their own, list marks set off by a blank."""
+    t = F.regexp_replace(text, r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"\t", " ")
     t = F.regexp_replace(t, r"(?s)<ref[^<>]*>.*?</ref>", " ")
     t = F.regexp_replace(t, r"(?s)\{\{[^{}]*\}\}", " ")
     t = F.regexp_replace(t, r"(?m)^==+ ?([^=\n]*?) ?==+[ \t]*$", "\n\n$1. ")

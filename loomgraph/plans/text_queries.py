@@ -123,7 +123,7 @@ query("acceptable_surface", rf"WITH {_SURFACE} SELECT DISTINCT clean, clean <> '
     lambda s, d: _surfaces(s, d).select("clean").distinct().withColumn("ok", X.acceptable_surface(F.col("clean")))
 )
 query("clean_markup", _P + r""" SELECT article_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(doc, '\t', ' ', 'g'), '(?s)<ref[^<>]*>.*?</ref>', ' ', 'g'), '(?s)\{\{[^{}]*\}\}', ' ', 'g'), '(?m)^==+ ?([^=\n]*?) ?==+[ \t]*$', chr(10) || chr(10) || '\1. ', 'g'), '(?m)^([*#]+) ?', '\1 ', 'g') AS plain FROM pages WHERE doc IS NOT NULL AND NOT contains(doc, chr(13))""")(
-    lambda s, d: M.pages(s, d).where("doc is not null and not contains(doc, char(13))").select("article_id", X.clean_markup(F.col("doc")).alias("plain"))
+    lambda s, d: M.pages(s, d).where("doc is not null").select("article_id", X.clean_markup(F.col("doc")).alias("plain"))
 )
 _FRAG = M.PAGES + r""", pieces AS (SELECT article_id, generate_subscripts(x, 1) - 1 AS n, unnest(x) AS x FROM (SELECT article_id, list_filter(string_split(regexp_replace(doc, '(\[\[[^\]\[]*\]\])', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') AS x FROM pages WHERE doc IS NOT NULL)),
 frags AS MATERIALIZED (SELECT article_id, CAST(n AS INTEGER) AS pos, CASE WHEN link THEN split_part(x[3:-3], '|', -1) ELSE x END AS text, CASE WHEN link THEN nullif(trim(split_part(x[3:-3], '|', 1)), '') END AS dest FROM (SELECT *, regexp_full_match(x, '(?s)\[\[[^\]\[]*\]\]') AS link FROM pieces))"""

@@ -1,8 +1,10 @@
 """Queries that must not stop short of their input. Expected rows come from the SQL without its bound, or by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import oracle_check
+from loomgraph.functions import text as X
 from loomgraph.plans import registry
 
 
@@ -22,3 +24,10 @@ def test_known_names_of_all_ids(spark, wider):
     sql = without(registry.oracle_sql()["known_names"], " AND entity < 2000")
     said = oracle_check.compare(spark, oracle_check.connect(wider), "known_names", wider, registry.queries()["known_names"], sql)
     assert said.startswith("ok 383 rows"), said
+
+
+def test_clean_markup_of_any_line_ends(spark, wider):
+    assert [r[0] for r in spark.createDataFrame([("== A ==\r\nb\tc\r* d",)], "x string").select(X.clean_markup(F.col("x"))).collect()] == ["\n\nA. \nb c\n* d"]
+    sql = without(registry.oracle_sql()["clean_markup"], " AND NOT contains(doc, chr(13))").replace("(doc, '\\t', ' ', 'g')", "(regexp_replace(doc, '\\r\\n?', chr(10), 'g'), '\\t', ' ', 'g')")
+    said = oracle_check.compare(spark, oracle_check.connect(wider), "clean_markup", wider, registry.queries()["clean_markup"], sql)
+    assert said.startswith("ok 598 rows"), said
