@@ -106,17 +106,22 @@ def fragments(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words, numbers and single marks in order: our own plain tokenizer, blanks dropped."""
-    return F.regexp_extract_all(text, F.lit(r"[A-Za-z]+(?:'[A-Za-z]+)?|[0-9]+|[^A-Za-z0-9\s]"), F.lit(0))
+    """Words, numbers and single marks in order, of any script: our own plain tokenizer, blanks dropped. Combining marks belong to words;
+    a run of letters without blanks (Thai, Chinese) is one word."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+(?:'[\p{L}\p{M}]+)?|\p{Nd}+|[^\p{L}\p{M}\p{Nd}\p{Z}\s]"), F.lit(0))
+
+
+def uppercase(word: Column) -> Column:
+    """Whether a word begins with an upper-case letter of any script."""
+    return word.rlike(r"^\p{Lu}")
 
 
 def token_features(word: Column, size: int = 3) -> dict[str, Column]:
     """Features of a token by name: suffix, prefix, digits only, number of ASCII marks, upper-case beginning."""
-    first = F.substring(word, 1, 1)
     return {
         "suffix": F.substring(word, -size, size),
         "prefix": F.substring(word, 1, size),
-        "digit": word.rlike("^[0-9]+$"),
+        "digit": word.rlike(r"^\p{Nd}+$"),
         "punctuation_count": F.length(F.regexp_replace(word, r"[^!-/:-@\[-`{-~]", "")),
-        "uppercase": first.rlike("^[A-Z]$"),
+        "uppercase": uppercase(word),
     }

@@ -155,13 +155,13 @@ _TOKENS = M.PAGES + r", tokens AS MATERIALIZED (SELECT article_id, wiki, CAST(ge
 
 
 def _tokens(s, d) -> DataFrame:
-    return M.pages(s, d).where("wiki = 'enwiki'").select("article_id", "wiki", F.posexplode(X.tokens(F.col("doc"))).alias("pos", "token"))
+    return M.pages(s, d).select("article_id", "wiki", F.posexplode(X.tokens(F.col("doc"))).alias("pos", "token"))
 
 
 _T = f"WITH {_TOKENS}"
 query("tokenize_text", _T + " SELECT article_id, pos, token FROM tokens")(lambda s, d: _tokens(s, d).select("article_id", "pos", "token"))
 query("retokenize_labels", _T + r", w AS (SELECT article_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS word_no, unnest(x) AS word FROM (SELECT article_id, string_split(doc, ' ') AS x FROM pages WHERE wiki = 'enwiki')) SELECT article_id, word_no, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS k, unnest(y) AS token, regexp_matches(word, '^[A-Z]') AS label FROM (SELECT *, regexp_extract_all(word, '[A-Za-z]+(?:''[A-Za-z]+)?|[0-9]+|[^A-Za-z0-9\s]') AS y FROM w)")(
-    lambda s, d: M.pages(s, d).where("wiki = 'enwiki'").select("article_id", F.posexplode(F.split("doc", " ")).alias("word_no", "word")).select("article_id", "word_no", F.posexplode(X.tokens(F.col("word"))).alias("k", "token"), F.col("word").rlike("^[A-Z]").alias("label"))
+    lambda s, d: M.pages(s, d).select("article_id", F.posexplode(F.split("doc", " ")).alias("word_no", "word")).select("article_id", "word_no", F.posexplode(X.tokens(F.col("word"))).alias("k", "token"), X.uppercase(F.col("word")).alias("label"))
 )
 _FEATURES = r"substr(token, greatest(length(token) - 2, 1)) AS suffix, substr(token, 1, 3) AS prefix, regexp_matches(token, '^[0-9]+$') AS digit, CAST(length(regexp_replace(token, '[^!-/:-@\[-`{-~]', '', 'g')) AS INTEGER) AS punctuation_count, regexp_matches(token, '^[A-Z]') AS uppercase"
 query("token_features", _T + f" SELECT DISTINCT token, {_FEATURES} FROM tokens")(lambda s, d: _tokens(s, d).select("token").distinct().select("token", *[c.alias(n) for n, c in X.token_features(F.col("token")).items()]))
@@ -186,7 +186,7 @@ _GROUPS = ", marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY ar
 
 
 def _gap_groups(s, d) -> DataFrame:
-    return S.gap_groups(_tokens(s, d).drop("wiki"), "article_id", "pos", F.col("token").rlike("^[A-Z]"), 5)
+    return S.gap_groups(_tokens(s, d).drop("wiki"), "article_id", "pos", X.uppercase(F.col("token")), 5)
 
 
 query("gap_groups", _T + _GROUPS + " SELECT * FROM groups")(_gap_groups)
@@ -217,7 +217,7 @@ query("dataset_union", "SELECT 'articles' AS source, count(*) AS n FROM articles
 query("pad_sequences", _T + ", s AS (SELECT article_id, pos // 10 AS chunk, list(token ORDER BY pos) AS x FROM tokens GROUP BY ALL) SELECT article_id, chunk, array_to_string(x || list_resize(CAST([] AS VARCHAR[]), 10 - len(x), '_'), ' ') AS padded FROM s")(
     lambda s, d: _tokens(s, d).groupBy("article_id", F.expr("cast(pos div 10 as int)").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x")).select("article_id", "chunk", F.array_join(S.pad(F.transform("x", lambda t: t["token"]), 10, F.lit("_")), " ").alias("padded"))
 )
-query("label_mask", _T + " SELECT article_id, pos, regexp_matches(token, '^[A-Z]') AS mask FROM tokens")(lambda s, d: _tokens(s, d).select("article_id", "pos", F.col("token").rlike("^[A-Z]").alias("mask")))
+query("label_mask", _T + " SELECT article_id, pos, regexp_matches(token, '^[A-Z]') AS mask FROM tokens")(lambda s, d: _tokens(s, d).select("article_id", "pos", X.uppercase(F.col("token")).alias("mask")))
 query("batch_packing")(lambda s, d: S.pack_batches(_tokens(s, d).groupBy("article_id").agg(F.count("*").alias("n")), "article_id", "n", 200, 8))
 
 # -- metrics ---------------------------------------------------------------------------------------------------------------------

@@ -31,3 +31,28 @@ def test_clean_markup_of_any_line_ends(spark, wider):
     sql = without(registry.oracle_sql()["clean_markup"], " AND NOT contains(doc, chr(13))").replace("(doc, '\\t', ' ', 'g')", "(regexp_replace(doc, '\\r\\n?', chr(10), 'g'), '\\t', ' ', 'g')")
     said = oracle_check.compare(spark, oracle_check.connect(wider), "clean_markup", wider, registry.queries()["clean_markup"], sql)
     assert said.startswith("ok 598 rows"), said
+
+
+def test_tokens_of_all_scripts(spark):
+    got = [r[0] for r in spark.createDataFrame([("L'Été à 12 km.",), ("Жизнь, ١٢",), ("สวัสดี ครับ",), ("مُحَمَّد",)], "x string").select(X.tokens(F.col("x"))).collect()]
+    assert got == [["L'Été", "à", "12", "km", "."], ["Жизнь", ",", "١٢"], ["สวัสดี", "ครับ"], ["مُحَمَّد"]]
+    assert [r[0] for r in spark.createDataFrame([("Été",), ("жизнь",), ("Ж",), ("1A",)], "x string").select(X.uppercase(F.col("x"))).collect()] == [True, False, True, False]
+
+
+LETTERS = {"[A-Za-z]": r"[\p{L}\p{M}]", "[0-9]+": r"\p{Nd}+", r"[^A-Za-z0-9\s]": r"[^\p{L}\p{M}\p{Nd}\p{Z}\s]", "^[A-Z]": r"^\p{Lu}"}
+TOKEN_QUERIES = "tokenize_text token_features vocab_build vocab_topk feature_vocabs gap_groups context_windows sliding_windows pad_sequences label_mask retokenize_labels".split()
+
+
+@pytest.mark.parametrize("name", TOKEN_QUERIES)
+def test_tokens_of_all_wikis(spark, sf_dir, name):
+    sql = without(registry.oracle_sql()[name], " WHERE wiki = 'enwiki'")
+    for ascii_only, any_script in LETTERS.items():
+        sql = sql.replace(ascii_only, any_script)
+    said = oracle_check.compare(spark, oracle_check.connect(sf_dir), name, sf_dir, registry.queries()[name], sql)
+    assert said.startswith("ok"), said
+
+
+def test_batches_of_all_wikis(spark, sf_dir):
+    packed = registry.queries()["batch_packing"](spark, sf_dir)
+    tokenized = registry.queries()["tokenize_text"](spark, sf_dir).select("article_id").distinct()
+    assert packed.count() == tokenized.count() > 50
