@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -39,6 +42,7 @@ class Search:
         self.candidates = storage.cut(dictionary.join(self.rest.select("surface_id").distinct(), "surface_id", "left_semi"), "candidates")
         self.types = storage.cut(types, "types")
         self.names = [x["type"] for x in self.types.select("type").distinct().orderBy("type").collect()]  # the types proposed, a list by design
+        self.cases = storage.cut(self._cases(), "cases")
 
     def objective(self, improvement: int, picks: tuple) -> float:
         if not self.total or len(picks) > 400:
@@ -47,18 +51,50 @@ class Search:
         return (self.greedy + improvement * mean) / self.total - self.penalty * len(picks)
 
     def gains(self, sets: list[tuple[int, ...]]) -> dict[int, int]:
-        """By number of the set: mentions solved beside the prior's. All sets are scored in one query: candidates get their combination of the
-        set's types, and of each combination of a surface the highest count is found by a hash aggregation."""
-        spark = self.types.sparkSession
+        """By number of the set: mentions solved beside the prior's. All sets are scored in one pass over the cases; a set is one bit."""
         if not sets:
             return {}
-        member = F.broadcast(spark.createDataFrame([(k, int(t)) for k, s in enumerate(sets) for t in s] or [(-1, -1)], "set_no int, type long"))
-        own = self.types.join(member, "type").groupBy("set_no", "entity").agg(F.sort_array(F.collect_set("type")).alias("vector"))
-        cand = self.candidates.withColumn("set_no", F.explode(F.sequence(F.lit(0), F.lit(len(sets) - 1)))).join(own, ["set_no", "entity"], "left").withColumn("vector", F.coalesce(F.array_join(F.col("vector").cast("array<string>"), ","), F.lit("")))
-        top = cand.groupBy("set_no", "surface_id", "vector").agg(F.max(F.struct("cnt", (-F.col("entity")).alias("neg"))).alias("b"))
-        solved = top.select("set_no", "surface_id", (-F.col("b.neg")).alias("entity")).join(self.rest, ["surface_id", "entity"])
-        got = {r["set_no"]: r["n"] for r in solved.groupBy("set_no").agg(F.sum("n").alias("n")).collect()}
-        return {k: got.get(k, 0) for k in range(len(sets))}
+        place = {t: k for k, t in enumerate(self.names)}
+        asked = np.zeros((max(1, len(place)), -(-len(sets) // 64) * 64), dtype=bool)
+        for k, s in enumerate(sets):
+            asked[[place[t] for t in s], k] = True
+        words, n_sets = np.packbits(asked, axis=1).view(np.uint64), len(sets)
+
+        def score(batches):
+            total = np.zeros(n_sets, dtype=np.int64)
+            for batch in batches:
+                n, rivals = batch.column("n").to_numpy(), batch.column("rivals")
+                for at in range(0, len(n), 1024):
+                    rows = rivals.slice(at, 1024)
+                    pairs = rows.flatten()
+                    first = lambda x: np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy())[:-1]))
+                    told = np.bitwise_or.reduceat(words[pairs.flatten().to_numpy()], first(pairs), axis=0)
+                    solved = np.bitwise_and.reduceat(told, first(rows), axis=0)
+                    bits = np.unpackbits(solved.view(np.uint8), axis=1)[:, :n_sets]
+                    total += (n[at : at + 1024].astype(np.float64) @ bits.astype(np.float64)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"gain": pa.array([total.tolist()], pa.list_(pa.int64()))})
+
+        parts = [r["gain"] for r in self.cases.mapInArrow(score, "gain array<bigint>").collect()]
+        got = np.sum(parts, axis=0, dtype=np.int64) if parts else np.zeros(n_sets, dtype=np.int64)
+        return {k: int(got[k]) for k in range(n_sets)}
+
+    def _cases(self) -> DataFrame:
+        """(rivals array<array<int>>, n): mentions that types can solve, those of the same rivals together.
+
+        A mention is solved by a set if each candidate above the truth has another combination of the set's types than the truth, thus
+        if the set holds one of the types that only one of the two has: a rival is the list of those (as places in names). Of candidates
+        with the same types only the highest is a rival, and only it can be solved.
+        """
+        places = F.broadcast(self.types.sparkSession.createDataFrame([(int(t), k) for k, t in enumerate(self.names)], "type long, k int"))
+        own = self.types.join(places, "type").groupBy("entity").agg(F.sort_array(F.collect_set("k")).alias("own"))
+        cand = self.candidates.join(own, "entity", "left").withColumn("own", F.coalesce("own", F.array().cast("array<int>")))
+        tops = cand.groupBy("surface_id", "own").agg(F.max(F.struct("cnt", (-F.col("entity")).alias("neg"))).alias("rank"))
+        tops = storage.cut(tops, "tops")
+        truth = tops.withColumn("entity", -F.col("rank.neg")).join(self.rest, ["surface_id", "entity"]).select("surface_id", "own", "rank", "n")
+        pairs = truth.alias("t").join(tops.alias("r"), (F.col("t.surface_id") == F.col("r.surface_id")) & (F.col("r.rank") > F.col("t.rank")))
+        apart = F.sort_array(F.array_union(F.array_except("t.own", "r.own"), F.array_except("r.own", "t.own")))
+        rivals = pairs.groupBy("t.surface_id", "t.own", "t.n").agg(F.sort_array(F.collect_set(apart)).alias("rivals"))
+        return rivals.groupBy("rivals").agg(F.sum("n").alias("n"))
 
     def round(self, beam: list[tuple[int, ...]]) -> DataFrame:
         """(picks, type, improvement, objective): every extension of the beam by a type it lacks."""
@@ -84,10 +120,10 @@ class Search:
         rows = [(k, int(t), round(self.objective(gain, picks), 6)) for k, t in enumerate(sorted(picks))]
         return self.types.sparkSession.createDataFrame(rows, "place int, type long, objective double")
 
-    def solve(self, width: int = 8, most: int = 20) -> DataFrame:
-        """(place, type, objective) by beam search (greedy with width 1): each candidate is kept as stopped beside its extensions; ends when all have stopped."""
+    def solve(self, width: int = 8, most: int | None = None) -> DataFrame:
+        """(place, type, objective) by beam search (greedy with width 1): each candidate is kept as stopped beside its extensions; ends when all have stopped, or after `most` rounds if given."""
         beam: list[tuple[float, tuple, int, bool]] = [(self.objective(0, ()), (), 0, False)]
-        for _ in range(most):
+        for _ in itertools.count() if most is None else range(most):
             live = [b for b in beam if not b[3]]
             if not live:
                 break

@@ -308,9 +308,14 @@ query("transition_compose")(lambda s, d: L.iterate(_dictionary(s, d), _pass(s, d
 TYPES = "types AS MATERIALIZED (SELECT DISTINCT child AS entity, parent AS type FROM edges WHERE prop = 'P31' AND parent IN (SELECT entity FROM core_entities WHERE kind_name = 'city'))"
 
 
-def _search(s, d) -> T.Search:
-    types = M.edges(s, d).where("prop = 'P31'").join(table(s, d, "core_entities").where("kind_name = 'city'").select(F.col("entity").cast("long").alias("parent")), "parent", "left_semi").select(F.col("child").alias("entity"), F.col("parent").alias("type")).distinct()
-    return T.Search(_mentions(s, d), _dictionary(s, d), types, penalty=0.0005)
+def _search(s, d, types: DataFrame | None = None) -> T.Search:
+    """Over all targets of instance-of, or the types (entity, type) given."""
+    own = M.edges(s, d).where("prop = 'P31'").select(F.col("child").alias("entity"), F.col("parent").alias("type")).distinct()
+    return T.Search(_mentions(s, d), _dictionary(s, d), own if types is None else own.join(types.select("type"), "type", "left_semi").select("entity", "type"), penalty=0.0005)
+
+
+def _cities(s, d) -> DataFrame:
+    return table(s, d, "core_entities").where("kind_name = 'city'").select(F.col("entity").cast("long").alias("type"))
 
 
 GAIN = f"""WITH {M.EDGES}, {M.DICTIONARY}, {MENTIONS}, {TYPES},
@@ -323,8 +328,8 @@ totals AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (b = entit
 query("greedy_remainder", GAIN + " SELECT surface_id, entity, n FROM rest")(lambda s, d: _search(s, d).rest.select("surface_id", "entity", "n"))
 query("beam_round", GAIN + " SELECT t.type, coalesce(improvement, 0) AS improvement, round((greedy + coalesce(improvement, 0)) / total - 0.0005, 6) AS objective FROM (SELECT DISTINCT type FROM types) t LEFT JOIN gains USING (type) CROSS JOIN totals")(lambda s, d: _search(s, d).round([()]).select("type", "improvement", "objective"))
 query("type_objective", GAIN + " SELECT round(greedy / total, 6) AS base, round(max((greedy + improvement) / total), 6) AS best_one FROM gains CROSS JOIN totals GROUP BY greedy, total")(lambda s, d: _search(s, d).best_single())
-query("type_disambiguate", GAIN + " SELECT type, surface_id, has, b AS best FROM tops WHERE type IN (SELECT min(type) FROM types)")(lambda s, d: _search(s, d).one_type_tops())
-query("greedy_search")(lambda s, d: _search(s, d).solve(1, 3))
-query("beam_search")(lambda s, d: _search(s, d).solve(4, 3))
-query("cross_entropy_search")(lambda s, d: _search(s, d).cross_entropy(samples=24, rounds=3))
-query("genetic_search")(lambda s, d: _search(s, d).genetic(size=24, generations=3))
+query("type_disambiguate", GAIN + " SELECT type, surface_id, has, b AS best FROM tops WHERE type IN (SELECT min(type) FROM types)")(lambda s, d: _search(s, d, _cities(s, d)).one_type_tops())
+query("greedy_search")(lambda s, d: _search(s, d).solve(1))
+query("beam_search")(lambda s, d: _search(s, d).solve())
+query("cross_entropy_search")(lambda s, d: _search(s, d).cross_entropy())
+query("genetic_search")(lambda s, d: _search(s, d).genetic())
