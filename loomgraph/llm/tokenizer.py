@@ -110,18 +110,20 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids by text, all ids). Null and empty texts have none."""
-        sizes, ids, part, size = [], [], [], 0
-        for t in texts:
-            part.append(t)
-            size += len(t or "")
-            if size >= WORK:
-                a, b = self._part(part)
-                sizes.append(a), ids.append(b)
-                part, size = [], 0
-        a, b = self._part(part)
-        return np.concatenate([*sizes, a]), np.concatenate([*ids, b])
-
-    def _part(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, ids = [], []
+        for part in _pieces(texts):
+            n, first, size, code, pool = self._part(part)
+            total = np.cumsum(size[code])
+            sizes.append(n)
+            ids.append(pool[np.repeat(first[code] - total + size[code], size[code]) + np.arange(total[-1])] if len(code) else pool[:0])
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def count(self, texts: list[str | None]) -> np.ndarray:
+        """The number of ids by text, without making them."""
+        return np.concatenate([self._part(part)[0] for part in _pieces(texts)])
+
+    def _part(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of ids by text, by distinct word the place and number of its ids in the pool, the words' numbers in order, pool)."""
         flat: list[str] = []
         upto = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
@@ -129,7 +131,8 @@ class Encoder:
                 flat += self.split.findall(t)
             upto[i + 1] = len(flat)
         if not flat:
-            return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
+            none = np.zeros(0, np.int64)
+            return np.zeros(len(texts), np.int64), none, none, none, np.zeros(0, np.int32)
         code, words = pd.factorize(np.array(flat, object))
         raw = [w.encode() for w in words]
         length = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -154,10 +157,19 @@ class Encoder:
             first[i], size[i] = base + len(merged), len(ids)
             merged += ids
         pool = np.concatenate([self.lexicon.out_ids, np.array(merged, np.int32)])
-        n = size[code]
-        total = np.r_[0, np.cumsum(n)]
-        at = np.repeat(first[code] - total[:-1], n) + np.arange(total[-1])
-        return np.diff(total[upto]), pool[at]
+        return np.diff(np.r_[0, np.cumsum(size[code])][upto]), first, size, code, pool
+
+
+def _pieces(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of about WORK code points; at least one, which may be empty."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= WORK:
+            yield part
+            part, size = [], 0
+    yield part
 
 
 def ship(spark: SparkSession, lexicon: Transducer) -> str:
@@ -167,17 +179,15 @@ def ship(spark: SparkSession, lexicon: Transducer) -> str:
     return path.rsplit("/", 1)[1]
 
 
-def _per_batch(docs: DataFrame, id_column: str, text: str, vocabulary: str, make, kind: str) -> DataFrame:
+def _per_batch(docs: DataFrame, id_column: str, text: str, ranks: dict[bytes, int], lexicon: Transducer, make, kind: str) -> DataFrame:
     spark = docs.sparkSession
-    ranks = load_ranks(vocabulary)
-    name = ship(spark, build_lexicon(docs, text, ranks))
+    name = ship(spark, lexicon)
     shared = spark.sparkContext.broadcast(ranks)  # the public vocabulary: 50,000 entries, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(Transducer.memory_map(SparkFiles.get(name)), shared.value)
         for b in batches:
-            n, ids = enc.encode(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), make(n, ids)], ["id", "out"])
+            yield pa.RecordBatch.from_arrays([b.column(0), make(enc, b.column(1).to_pylist())], ["id", "out"])
 
     id_kind = dict(docs.dtypes)[id_column]
     out = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {id_kind}, out {kind}")
@@ -191,12 +201,19 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocab
     are ignored, an empty table gives no rows. Texts are never cut; a worker takes them up in pieces of WORK code points.
     """
 
-    def lists(n: np.ndarray, ids: np.ndarray) -> pa.Array:
+    def lists(enc: Encoder, texts: list[str | None]) -> pa.Array:
+        n, ids = enc.encode(texts)
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids, pa.int32()))
 
-    return _per_batch(docs, id_column, text, vocabulary, lists, "array<int>").withColumnRenamed("out", "ids")
+    ranks = load_ranks(vocabulary)
+    return _per_batch(docs, id_column, text, ranks, build_lexicon(docs, text, ranks), lists, "array<int>").withColumnRenamed("out", "ids")
 
 
 def count_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, n_tokens long) of every row: the size of encode's list."""
-    return _per_batch(docs, id_column, text, vocabulary, lambda n, ids: pa.array(n, pa.int64()), "long").withColumnRenamed("out", "n_tokens")
+    """(id, n_tokens long) of every row: the size of encode's list.
+
+    The transducer holds the vocabulary's own words, so that no pass over the corpus comes first; a word takes as many ids either way.
+    """
+    ranks = load_ranks(vocabulary)
+    lexicon = Transducer.compile({token: [i] for token, i in ranks.items()})
+    return _per_batch(docs, id_column, text, ranks, lexicon, lambda enc, texts: pa.array(enc.count(texts), pa.int64()), "long").withColumnRenamed("out", "n_tokens")
