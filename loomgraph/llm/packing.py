@@ -1,13 +1,14 @@
 """Problem 7: filling containers of fixed capacity, by the configuration linear program over the histogram of lengths.
 
-A configuration is a multiset of lengths that fits one container; the program asks how often to use each so that every
-length is covered with the fewest containers. It is solved by multiplicative weights: each length has a weight that grows while
-it is behind the others in being covered and falls while it is ahead, a round prices configurations by a knapsack dynamic
-program over the weights, and the best one is used for a small share of what is left. Shares are rounded to whole
-containers, and no configuration asks for more items than are left, so that the result is whole and needs no repair.
+A configuration is a multiset of lengths that fits one container; the program asks how many containers, whole or not, to fill by each so
+that every length is used up with the fewest containers. It is solved by multiplicative weights: each length has a weight that grows
+in every round and falls by the share of its items that the round uses; a round prices all configurations by a knapsack dynamic
+program over the weights and gives the best one an equal share of the containers. The fractional solution is then rounded down to
+whole containers, and what that leaves over is a smaller program of its own, until a share is one container.
 
 The program sees the histogram alone: at most `capacity` numbers, whatever the number of items, and its rounds grow with the
-logarithm of their count. The items themselves are only counted, ranked within their length and told their container.
+logarithm of their count. All lengths are priced in every round. The items themselves are only counted, ranked within their length and
+told their container.
 """
 
 from __future__ import annotations
@@ -23,45 +24,102 @@ from pyspark.sql.window import Window as W
 
 from loomgraph import storage
 
-#: A round places one in so many of the containers still needed (at least one): ROUND_WORK / capacity, within FEWEST and MOST,
-#: as rounds are cheaper and their precision matters more where containers are small.
-ROUND_WORK, FEWEST, MOST = 64_000, 64, 250
-#: How strongly a length that is behind is preferred; bounds the exponent.
-RATE, STEEPEST = 0.3, 6.0
-#: Lengths priced in a round: those furthest behind, and the shortest, which fill what room is left.
-PRICED, SHORTEST = 256, 48
+#: Rounds of one program: each configuration priced gets one in so many of the containers still needed.
+ROUNDS = 200
+#: A length unused over a whole program has its weight multiplied by exp(STEEPNESS), one used up at once is divided by it.
+STEEPNESS = 4.0
+#: A length of which all programs so far left twice the share of the whole begins with its weight multiplied by exp(BEHIND).
+BEHIND = 0.5
+#: A program ends before its rounds do when a configuration leaves so much more room than the fullest: finer shares fill it better.
+SLACK = 0.002
+#: A configuration within this share of the greatest weight counts as the greatest, as rounds don't depend on less.
+PRECISION = 1e-4
 #: Items of one length that are ranked in one task.
 RANKED = 100_000
 
 
 def price(weight: np.ndarray, sizes: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each size the configuration of greatest weight holds, at most limit of it: a bounded knapsack by dynamic programming."""
+    """How many of each size the configuration of greatest weight holds, at most limit of it: a bounded knapsack by dynamic programming.
+
+    The relaxed knapsack, filled by weight per token, bounds every configuration from above, a filled one bounds the greatest from below.
+    Taking an item off the relaxed filling or adding one costs a known weight; where that is more than the two bounds
+    are apart, the number of such items is settled. The program runs over all the others and the room they can have.
+    """
+    limit = np.minimum(limit, capacity // sizes)
+    order = np.argsort(-weight / sizes, kind="stable")
+    w, s, most = weight[order], sizes[order], limit[order]
+    load = np.cumsum(s * most)
+    out = np.zeros(len(sizes), np.int64)
+    if load[-1] <= capacity:
+        out[order] = most
+        return out
+    k = int(np.searchsorted(load, capacity, "right"))
+    base = most.copy()
+    base[k:] = 0
+    room = capacity - (int(load[k - 1]) if k else 0)
+    base[k] = room // s[k]
+    room -= int(base[k] * s[k])
+    value = float(w @ base)
+    density = w[k] / s[k]
+    upper = value + room * density
+    # a filled configuration: the heaviest that fits the room, again and again
+    full, left = base.copy(), room
+    while left > 0:
+        fits = np.flatnonzero((s[k:] <= left) & (most[k:] > full[k:])) + k
+        if not len(fits):
+            break
+        j = fits[np.argmax(w[fits] * np.minimum(most[fits] - full[fits], left // s[fits]))]
+        n = min(int(most[j] - full[j]), left // int(s[j]))
+        full[j] += n
+        left -= n * int(s[j])
+    lower = float(w @ full)
+    gap = upper - lower
+    if gap > PRECISION * upper:
+        swing = np.floor(np.minimum(gap / np.maximum(np.abs(w - s * density), 1e-300), 1e9)).astype(np.int64)
+        swing[k] = most[k]
+        low, high = np.maximum(base - swing, 0), np.minimum(base + swing, most)
+        open_ = np.flatnonzero(high > low)
+        kept = base.copy()
+        kept[open_] = low[open_]
+        best, got = _table(w[open_], s[open_], (high - low)[open_], capacity - int(s @ kept))
+        if float(w @ kept) + best > lower:
+            full = kept
+            full[open_] += got
+    out[order] = full
+    return out
+
+
+def _table(weight: np.ndarray, sizes: np.ndarray, limit: np.ndarray, room: int) -> tuple[float, np.ndarray]:
+    """The dynamic program over the room: (greatest weight, how many of each size)."""
     who, load, gain = [], [], []
     for k in range(len(sizes)):
-        left, m = int(min(limit[k], capacity // sizes[k])), 1
+        left, m = int(min(limit[k], room // sizes[k])), 1
         while left > 0:  # 1, 2, 4 ... and the rest, so that each number up to the limit can be made
             m = min(m, left)
-            who.append(k), load.append(int(sizes[k]) * m), gain.append(weight[k] * m)
+            who.append(k), load.append(int(sizes[k]) * m), gain.append(float(weight[k]) * m)
             left, m = left - m, 2 * m
-    best = np.zeros(capacity + 1, np.float32)
-    took = np.zeros((len(who), capacity + 1), bool)
-    for i, (s, g) in enumerate(zip(load, gain, strict=True)):
-        with_it = best[: capacity + 1 - s] + np.float32(g)
-        np.greater(with_it, best[s:], out=took[i, s:])
-        np.maximum(with_it, best[s:], out=best[s:])
+    best, with_it = np.zeros(room + 1, np.float32), np.empty(room + 1, np.float32)
+    took = np.zeros((len(who), room + 1), bool)
+    for i, (size, g) in enumerate(zip(load, gain, strict=True)):
+        new, old = with_it[: room + 1 - size], best[size:]
+        np.add(best[: room + 1 - size], np.float32(g), out=new)
+        np.greater(new, old, out=took[i, size:])
+        np.maximum(new, old, out=old)
     out, c = np.zeros(len(sizes), np.int64), int(best.argmax())
+    top = float(best[c])
     for i in range(len(who) - 1, -1, -1):
         if took[i, c]:
             out[who[i]] += load[i] // sizes[who[i]]
             c -= load[i]
-    return out
+    return top, out
 
 
 @dataclass
 class Plan:
     """Runs of equal containers as ranges of ranks: items of `size` from rank `first` on go to container `base` and up, `each` to one.
 
-    Sorted by (size, first). The number of rows is bounded by the rounds times the capacity.
+    Sorted by (size, first); lengths and shorter: the lengths, and by length the number of shorter items. The number of rows is
+    bounded by the rounds times the capacity.
     """
 
     size: np.ndarray
@@ -69,6 +127,52 @@ class Plan:
     base: np.ndarray
     each: np.ndarray
     containers: int
+    lengths: np.ndarray
+    shorter: np.ndarray
+
+    def container(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The container of each item. Items and ranges have ordinals over all items by length, then rank, so that one search finds the range."""
+        own = self.shorter[np.searchsorted(self.lengths, size)]
+        k = np.searchsorted(self.shorter[np.searchsorted(self.lengths, self.size)] + self.first, own + rank, "right") - 1
+        assert (self.size[k] == size).all()
+        return self.base[k] + (rank - self.first[k]) // self.each[k]
+
+
+def program(sizes: np.ndarray, demand: np.ndarray, capacity: int, log_weight: np.ndarray, rounds: int = ROUNDS) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """A fractional solution for items of `sizes`: (containers, places in sizes, how many of each) of every configuration used.
+
+    log_weight is where the weights begin. No length is used more than its demand. A share is what makes `rounds` of them all the containers, but not more than lengths with
+    half of the tokens have items. Where that is not more than one container it is one, and the program goes on until
+    all items are used; else it ends with its rounds, and some items can be left.
+    """
+    tokens = sizes * demand
+    by = np.argsort(demand, kind="stable")
+    half = int(demand[by[np.searchsorted(np.cumsum(tokens[by]), tokens.sum() / 2)]])
+    share = max(1.0, min(float(tokens.sum()) / capacity / rounds, half))
+    whole = share == 1.0
+    left = demand.astype(float)
+    used: list[tuple[float, np.ndarray, np.ndarray]] = []
+    log_weight = log_weight.copy()
+    fullest = 0
+    live = np.flatnonzero(left >= share)
+    t = 0
+    while len(live) and (whole or t < rounds):
+        log_weight += STEEPNESS / rounds
+        steep = log_weight[live]
+        weight = sizes[live] / capacity * np.exp(np.maximum(steep - steep.max(), -20.0))
+        config = price(weight, sizes[live], np.floor(left[live] / share + 1e-9).astype(np.int64), capacity)
+        k = np.flatnonzero(config)
+        filled = int(sizes[live[k]] @ config[k])
+        fullest = max(fullest, filled)
+        if not whole and filled < fullest - SLACK * capacity:
+            break
+        at, many = live[k], config[k]
+        used.append((share, at, many))
+        left[at] -= many * share
+        log_weight[at] -= STEEPNESS * many * share / demand[at]
+        live = live[left[live] >= share * (1 - 1e-9)]
+        t += 1
+    return used
 
 
 def solve(histogram: dict[int, int], capacity: int) -> Plan:
@@ -78,37 +182,19 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
         rows.append((capacity, 0, 0, 1))
     sizes = np.array(sorted((s for s in histogram if 0 < s < capacity and histogram[s] > 0), reverse=True), np.int64)
     total = np.array([histogram[s] for s in sizes], np.int64)
-    left, all_tokens = total.copy(), int((sizes * total).sum())
-    rounds = min(MOST, max(FEWEST, ROUND_WORK // capacity))
-    while left.any():
-        live = np.flatnonzero(left)
-        tokens = int((sizes * left).sum())
-        run = max(1, tokens // capacity // rounds)
-        if not (left[live] >= run).any():
-            run = int(left[live].max())
-        behind = (left[live] / total[live]) / (tokens / all_tokens) - 1
-        if len(live) > PRICED + SHORTEST:  # sizes fall, so that the shortest stand last
-            some = np.union1d(np.argpartition(-behind, PRICED)[:PRICED], np.arange(len(live) - SHORTEST, len(live)))
-            live, behind = live[some], behind[some]
-            if not (left[live] >= run).any():
-                run = int(left[live].max())
-        weight = sizes[live] / capacity * np.exp(np.minimum(RATE * behind, STEEPEST))
-        config = price(weight, sizes[live], left[live] // run, capacity)
-        # lengths too rare for the run may fill the room that is left: then a shorter run is taken, if it is fuller
-        room = capacity - int((sizes[live] * config).sum())
-        if run > 1 and room > capacity * 0.005 and (left[live] < run).any():
-            shorter = max(1, run // 8)
-            other = price(weight, sizes[live], left[live] // shorter, capacity)
-            if capacity - int((sizes[live] * other).sum()) < room / 2:
-                run, config = shorter, other
-        for k in np.flatnonzero(config):
-            s = live[k]
-            rows.append((int(sizes[s]), int(total[s] - left[s]), base, int(config[k])))
-            left[s] -= config[k] * run
-        base += run
+    left, tokens = total.copy(), float(sizes @ total)
+    while (live := np.flatnonzero(left)).size:
+        behind = left[live] / total[live] * (tokens / float(sizes @ left)) - 1
+        for share, at, many in program(sizes[live], left[live], capacity, np.minimum(BEHIND * behind, STEEPNESS)):
+            whole, at = int(share), live[at]  # rounded down; the rest of the share stays for the next program
+            for s, m in zip(at, many, strict=True):
+                rows.append((int(sizes[s]), int(total[s] - left[s]), base, int(m)))
+                left[s] -= m * whole
+            base += whole
     rows.sort()
     size, first, at, each = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 4
-    return Plan(size, first, at, each, base)
+    lengths = np.array(sorted(s for s in histogram if 0 < s <= capacity and histogram[s] > 0), np.int64)
+    return Plan(size, first, at, each, base, lengths, np.r_[0, np.cumsum([histogram[s] for s in lengths])][:-1].astype(np.int64))
 
 
 def pieces(items: DataFrame, capacities: dict[str, int]) -> DataFrame:
@@ -158,12 +244,7 @@ def _assign(cut: DataFrame, plans: dict[str, Plan], buckets: int) -> DataFrame:
                 at = np.flatnonzero((names == name) & (size > 0))
                 if not len(at):
                     continue
-                low, high = np.searchsorted(p.size, size[at]), np.searchsorted(p.size, size[at], "right")
-                # ranges of one size are sorted by their first rank: one search over (size, rank) as a single ascending number
-                span = int(max(p.first.max(), rank[at].max())) + 1
-                k = np.searchsorted(p.size.astype(float) * span + p.first, size[at].astype(float) * span + rank[at], "right") - 1 if p.size.max() * span > 1 << 62 else np.searchsorted(p.size * span + p.first, size[at] * span + rank[at], "right") - 1
-                assert ((k >= low) & (k < high)).all()
-                out[at] = p.base[k] + (rank[at] - p.first[k]) // p.each[k]
+                out[at] = p.container(size[at], rank[at])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(out)], ["size_name", "doc_id", "piece_no", "n_tokens", "container_id"])
 
     kind = dict(cut.dtypes)

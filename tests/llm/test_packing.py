@@ -21,6 +21,48 @@ def test_solution_covers_all_items_tightly():
     assert bound <= plan.containers <= bound * 1.01
 
 
+@pytest.mark.parametrize("capacity", [2048, 8192])
+def test_thousands_of_lengths_in_large_containers(capacity):
+    rng = np.random.default_rng(0)
+    hist = Counter(np.minimum(np.exp(rng.normal(5, 1.2, 60_000)).astype(int) + 1, capacity).tolist())
+    plan = P.solve({int(k): v for k, v in hist.items()}, capacity)
+    bound = -(-sum(s * n for s, n in hist.items()) // capacity)
+    assert len(hist) > 1500 and bound <= plan.containers <= bound * 1.01
+
+
+def test_price_is_exact():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        m, capacity = int(rng.integers(1, 9)), int(rng.integers(9, 60))
+        sizes = rng.permutation(np.arange(1, capacity + 1))[:m]
+        limit, weight = rng.integers(0, 5, m), rng.random(m) * sizes
+        best = np.full(capacity + 1, 0.0)
+        for s, n, w in zip(sizes, limit, weight):
+            for _ in range(n):
+                best[s:] = np.maximum(best[s:], best[:-s] + w)
+        got = P.price(weight, sizes, limit, capacity)
+        assert (got <= limit).all() and got @ sizes <= capacity
+        assert got @ weight >= best.max() * (1 - 2 * P.PRECISION)
+
+
+def test_program_uses_no_more_than_there_is():
+    sizes, demand = np.array([700, 300, 50, 49, 3]), np.array([900, 1100, 5000, 37, 9000])
+    used = P.program(sizes, demand, 1000, np.zeros(5))
+    share = used[0][0]
+    assert share > 1 and all(sizes[k] @ n <= 1000 for _, k, n in used)
+    total = np.zeros(5)
+    for x, k, n in used:
+        total[k] += x * n
+    assert (total <= demand + 1e-6).all()
+
+
+def test_ranks_beyond_32_bits():
+    plan = P.solve({3: 10**14, 7: 5 * 10**13, 10: 10**14}, 10)
+    assert plan.container(np.array([10, 10]), np.array([0, 10**14 - 1])).tolist() == [0, 10**14 - 1]
+    assert plan.containers == 10**14 + 5 * 10**13 + -(-5 * 10**13 // 3)  # sevens with a three, the other threes by three
+    assert plan.container(np.array([3]), np.array([10**14 - 1]))[0] < plan.containers
+
+
 def run(spark, rows, caps):
     return P.pack(spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, n_tokens long, size_name string, container_id int"), caps).collect()
 
