@@ -36,7 +36,7 @@ THRESHOLD = 0.62
 #: Code points of one piece of scoring work.
 WORK = 1 << 20
 
-# ---- fixed values: words that mark a kind of offence in the languages of the corpus; only a start, which training moves ----------
+# ---- fixed values: words that mark a kind of offence in the languages of the corpus; they set the prior of a few weights (see fit) --------
 INSULTS = """idiot idiots moron morons stupid dumb imbecile retard retarded scum scumbag bastard bitch asshole arsehole dickhead prick twat cunt wanker loser pathetic
 worthless filthy fuck fucking fucked fucker motherfucker shit shitty bullshit piss stfu parasite pig cretin jackass dipshit
 arschloch idiotin vollidiot schwachkopf dreckskerl drecksack wichser fotze hurensohn missgeburt penner spast schlampe trottel depp scheiße scheiß
@@ -168,8 +168,11 @@ class Terms:
     term: np.ndarray
 
 
-def terms(texts: list[str | None], codes: _Codes | None = None) -> Terms:
-    """The terms of all sentences of the texts. Null and empty texts have no sentence."""
+def terms(texts: list[str | None], codes: _Codes | None = None, slot: np.ndarray | None = None) -> Terms:
+    """The terms of all sentences of the texts. Null and empty texts have no sentence.
+
+    With the slots of a model only the terms it has learnt are kept: the others weigh nothing and would only be sorted.
+    """
     codes = _Codes() if codes is None else codes
     flat: list[int] = []
     sizes = np.zeros(len(texts), np.int64)
@@ -244,11 +247,20 @@ def terms(texts: list[str | None], codes: _Codes | None = None) -> Terms:
     add(quotes, np.full(len(quotes), _flag_term(20, False), np.uint64))
     told = np.flatnonzero(spaced_docs[sentence_doc])
     add(told, np.full(len(told), _flag_term(21, False), np.uint64))
-    key = np.concatenate(out_s).astype(np.int64) * HASHED + (np.concatenate(out_t) % np.uint64(HASHED)).astype(np.int64)
-    key = np.unique(key)
+    at, hashed = np.concatenate(out_s).astype(np.int64), (np.concatenate(out_t) & np.uint64(HASHED - 1)).astype(np.int64)
+    if slot is not None:
+        known = np.flatnonzero(slot[hashed])
+        at, hashed = at[known], hashed[known]
+    key = _distinct(at * HASHED + hashed)
     return Terms(sentence_doc, key // HASHED, key % HASHED)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats (a plain sort is faster here than the hash table of np.unique, whose cost grows faster than its input)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _flag_term(k: int, inside: bool) -> np.uint64:
     return _mix(np.array([k * 2 + inside]), 9)[0]
 
@@ -269,33 +281,50 @@ class Model:
     def sentence_scores(self, t: Terms) -> np.ndarray:
         row = self.slot[t.term]
         known = np.flatnonzero(row)
-        s, row = t.sentence[known], row[known]
-        n = len(t.doc)
-        linear = np.bincount(s, self.weight[row], n)
-        inter = np.zeros(n)
+        return self._of_rows(row[known], t.sentence[known], len(t.doc))
+
+    def _of_rows(self, row: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+        """Scores of n sentences from their learnt terms, which are sorted by sentence."""
+        out = np.full(n, float(self.bias))
+        if not len(row):
+            return out
+        begin = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+        # half of (the sum's square less the squares' sum) over all factors is the sum over all pairs
+        z = np.add.reduceat((self.weight - (self.factors**2).sum(1) / 2).astype(float)[row], begin)
         for f in range(self.factors.shape[1]):
-            v = self.factors[row, f]
-            inter += np.bincount(s, v, n) ** 2 - np.bincount(s, v * v, n)
-        return self.bias + linear + inter / 2
+            z += np.add.reduceat(self.factors[:, f].astype(float)[row], begin) ** 2 / 2
+        out[sentence[begin]] += z
+        return out
 
     def scores(self, t: Terms, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """By document the highest score of its sentences (-inf if it has none), and that sentence's number (-1)."""
-        z = self.sentence_scores(t)
-        best, at = np.full(n_docs, -np.inf), np.full(n_docs, -1)
-        if len(z):
-            order = np.lexsort((z, t.doc))
-            last = np.flatnonzero(np.r_[t.doc[order][1:] != t.doc[order][:-1], True])
-            at[t.doc[order[last]]] = order[last]
-            best[t.doc[order[last]]] = z[order[last]]
-        return best, at
-
-
-def fit(texts: list[str], verdicts: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """A model from documents and their mean verdicts (0 to 1). Without any verdicts it is what the word lists alone say."""
-    t = terms(texts)
-    n_docs = len(texts)
+        return _worst(self.sentence_scores(t), t.doc, n_docs)
+
+
+def _worst(z: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """By document its highest score and the last sentence that has it; doc is sorted."""
+    best, at = np.full(n_docs, -np.inf), np.full(n_docs, -1)
+    if len(z):
+        begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        best[doc[begin]] = np.maximum.reduceat(z, begin)
+        top = np.flatnonzero(z == best[doc])
+        at[doc[top]] = top
+    return best, at
+
+
+def fit(texts: list[str], verdicts: np.ndarray, epochs: int = EPOCHS, seed: int = 7, factors: int = FACTORS) -> Model:
+    """A model from documents and their mean verdicts (0 to 1). Without any verdicts it is what the word lists alone say.
+
+    The word lists are the mean of the weights' prior: a few terms (an insult, a second person, a quotation ...) are drawn towards the
+    weights named here, all others towards 0, for as long as it trains; verdicts outweigh that by their number (DECAY).
+    With factors = 0 it is a linear model.
+    """
+    return fit_terms(terms(texts), len(texts), verdicts, epochs, seed, factors)
+
+
+def fit_terms(t: Terms, n_docs: int, verdicts: np.ndarray, epochs: int = EPOCHS, seed: int = 7, factors: int = FACTORS) -> Model:
     y = np.clip(verdicts.astype(float), SMOOTH, 1 - SMOOTH)
-    doc_term = np.unique(t.doc[t.sentence] * HASHED + t.term) if n_docs else np.zeros(0, np.int64)
+    doc_term = _distinct(t.doc[t.sentence] * HASHED + t.term) if n_docs else np.zeros(0, np.int64)
     d, term = doc_term // HASHED, doc_term % HASHED
     n = np.bincount(term, minlength=HASHED)
     prior_terms = {_flag_slot(3): 2.2, _flag_slot(4): 1.6, _flag_slot(5): 0.7, _flag_slot(6): 0.5, _flag_slot(7): 0.5, _flag_slot(1): 1.0, _flag_slot(2): 0.7, _flag_slot(3, True): -0.3, _flag_slot(20): -0.7, _flag_slot(8): -0.9}
@@ -313,33 +342,34 @@ def fit(texts: list[str], verdicts: np.ndarray, epochs: int = EPOCHS, seed: int
     for s, v in prior_terms.items():
         prior[slot[s]] = v
     w = np.r_[0.0, 0.35 * odds[learnt]] + prior
-    v = rng.normal(0, 0.02, (size, FACTORS))
+    v = rng.normal(0, 0.02, (size, factors))
     v[0] = 0
     m = Model(slot, w, v, -2.5)
     row = slot[t.term]
     known = np.flatnonzero(row)
-    s_all, r_all = t.sentence[known], row[known]
-    upto = np.searchsorted(s_all, np.arange(len(t.doc) + 1))
+    of, s_all, r_all = _same_sentences(t.sentence[known], row[known], len(t.doc))
+    upto = np.searchsorted(s_all, np.arange(of.max(initial=-1) + 2))
     first_w, second_w = np.zeros(size), np.zeros(size)
-    first_v, second_v = np.zeros((size, FACTORS)), np.zeros((size, FACTORS))
+    first_v, second_v = np.zeros((size, factors)), np.zeros((size, factors))
     fb = sb = 0.0
-    n_sentences = len(t.doc)
+    n_sentences = len(upto) - 1
     for e in range(1, epochs + 1 if n_docs else 1):
-        z, at = m.scores(t, n_docs)
+        z, at = _worst(m._of_rows(r_all, s_all, n_sentences)[of], t.doc, n_docs)
         have = np.flatnonzero(at >= 0)
         p = 1 / (1 + np.exp(-np.clip(z[have], -30, 30)))
         g_doc = (p - y[have]) / max(1, len(have))
-        chosen = at[have]
+        chosen = of[at[have]]
         length = upto[chosen + 1] - upto[chosen]
         g = np.repeat(g_doc, length)
         at_term = np.repeat(upto[chosen] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        rows, sent = r_all[at_term], s_all[at_term]
+        rows = r_all[at_term]
         gw = np.bincount(rows, g, size) + DECAY * (m.weight - prior) / n_docs
-        gv = np.zeros((size, FACTORS))
-        for f in range(FACTORS):
+        gv = np.zeros((size, factors))
+        place = np.repeat(np.arange(len(chosen)), length)
+        for f in range(factors):
             x = m.factors[rows, f]
-            total = np.bincount(sent, x, n_sentences)
-            gv[:, f] = np.bincount(rows, g * (total[sent] - x), size)
+            total = np.bincount(place, x, len(chosen))
+            gv[:, f] = np.bincount(rows, g * (total[place] - x), size)
         gv += DECAY * m.factors / n_docs
         gb = g_doc.sum()
         a1, a2 = 1 - 0.9**e, 1 - 0.99**e
@@ -355,16 +385,38 @@ def fit(texts: list[str], verdicts: np.ndarray, epochs: int = EPOCHS, seed: int
     return m
 
 
+def _same_sentences(sentence: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences of the same learnt terms taken once: (by sentence its number among those, and their numbers and terms, sorted)."""
+    sign = np.zeros(n, np.uint64)
+    begin = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(row) else np.zeros(0, np.int64)
+    if len(row):
+        sign[sentence[begin]] = np.add.reduceat(_mix(row, 5), begin)
+    order = np.argsort(sign, kind="stable")
+    new = np.r_[True, sign[order][1:] != sign[order][:-1]] if n else np.zeros(0, bool)
+    of = np.zeros(n, np.int64)
+    of[order] = np.cumsum(new) - 1
+    taken = np.zeros(n, bool)
+    taken[order[new]] = True
+    keep = np.flatnonzero(taken[sentence])
+    by = np.argsort(of[sentence[keep]], kind="stable")
+    return of, of[sentence[keep]][by], row[keep][by]
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     """Fits on at most `most` labelled documents, drawn by a hash of their ids; several verdicts of one document are averaged.
 
     Null verdicts, verdicts of unknown documents and documents without text are left out.
     """
+    got = _labelled(docs, labels, most)
+    return fit(got["text"].tolist(), got["y"].to_numpy(float))
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> pd.DataFrame:
+    """(doc_id, text, y) of the documents that a model is fitted on."""
     mean = labels.where("doc_id is not null and verdict is not null").groupBy("doc_id").agg(F.avg(F.col("verdict").cast("double")).alias("y"))
     mean = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    few = docs.where("text is not null").join(F.broadcast(mean), "doc_id").select("doc_id", "text", "y")
-    got = few.toPandas().sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates("doc_id")
-    return fit(got["text"].tolist(), got["y"].to_numpy(float))
+    few = docs.where("text is not null").join(F.broadcast(mean), "doc_id").select("doc_id", "text", "y")  # at most `most` rows
+    return few.toPandas().sort_values(["doc_id", "text"], ignore_index=True).drop_duplicates("doc_id")
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -386,7 +438,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 while j < len(texts) and (j == i or size < WORK):
                     size += len(texts[j] or "")
                     j += 1
-                z[i:j] = shared.value.scores(terms(texts[i:j], codes), j - i)[0]
+                z[i:j] = shared.value.scores(terms(texts[i:j], codes, shared.value.slot), j - i)[0]
                 i = j
             p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             p[~np.isfinite(z)] = 0.0
@@ -403,13 +455,22 @@ def by_source(scored: DataFrame, source: str = "source") -> DataFrame:
     return out.select(source, "n_docs", "n_offensive", F.round(F.col("n_offensive") / F.col("n_docs"), 6).alias("rate"), F.round("mean_score", 6).alias("mean_score"))
 
 
-def held_out(docs: pd.DataFrame, part: int = 5) -> pd.DataFrame:
+def held_out(docs: pd.DataFrame, part: int = 5, factors: int = FACTORS) -> pd.DataFrame:
     """(doc_id, y, score) of each document (doc_id, text, y), scored by a model that was fitted without its part."""
-    fold = docs["doc_id"].map(lambda i: xxhash.xxh64_intdigest(str(i)) % part).to_numpy()
+    fold = docs["doc_id"].map(_fold(part)).to_numpy(np.int64)
     out = np.zeros(len(docs))
     for k in range(part):
-        m = fit(docs["text"][fold != k].tolist(), docs["y"][fold != k].to_numpy(float))
-        own = docs["text"][fold == k].tolist()
-        z = m.scores(terms(own), len(own))[0]
-        out[fold == k] = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        out[fold == k] = _one_part(docs["text"].to_numpy(object), docs["y"].to_numpy(float), fold, k, factors)
     return docs[["doc_id", "y"]].assign(score=out)
+
+
+def _fold(part: int):
+    return lambda i: xxhash.xxh64_intdigest(str(i)) % part
+
+
+def _one_part(text: np.ndarray, y: np.ndarray, fold: np.ndarray, k: int, factors: int) -> np.ndarray:
+    """Scores of the documents of part k by a model of the others."""
+    m = fit(text[fold != k].tolist(), y[fold != k], factors=factors)
+    own = text[fold == k].tolist()
+    z = m.scores(terms(own, slot=m.slot), len(own))[0]
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))

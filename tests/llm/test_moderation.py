@@ -51,3 +51,29 @@ def test_tables(spark):
     rates = {r["source"]: r["n_docs"] for r in M.by_source(out).collect()}
     assert rates == {None: 150, "s": 154}
     assert M.score(docs.limit(0), M.train(docs, labels.limit(0))).count() == 0
+
+
+def test_filter_of_learnt_terms_changes_no_score():
+    texts, y, _ = corpus(200)
+    m = M.fit(texts[:150], y[:150])
+    a, b = M.terms(texts[150:]), M.terms(texts[150:], slot=m.slot)
+    assert len(b.term) < len(a.term)
+    assert np.array_equal(m.scores(a, 50)[0], m.scores(b, 50)[0])
+
+
+def test_scores_are_sums_over_pairs():
+    texts, y, _ = corpus(120)
+    m = M.fit(texts, y)
+    t = M.terms(texts[:20])
+    z = m.sentence_scores(t)
+    for s in range(len(t.doc)):
+        row = m.slot[t.term[t.sentence == s]]
+        row = row[row > 0]
+        want = m.bias + m.weight[row].sum() + sum(m.factors[a] @ m.factors[b] for k, a in enumerate(row) for b in row[k + 1 :])
+        assert abs(z[s] - want) < 1e-4
+
+
+def test_same_sentences_are_scored_once():
+    of, s, r = M._same_sentences(np.array([0, 0, 2, 3, 3]), np.array([5, 7, 5, 5, 7]), 4)
+    assert of[0] == of[3] and len({of[0], of[1], of[2]}) == 3
+    assert sorted(zip(s.tolist(), r.tolist())) == sorted([(of[0], 5), (of[0], 7), (of[2], 5)])
