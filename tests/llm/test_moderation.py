@@ -77,3 +77,13 @@ def test_same_sentences_are_scored_once():
     of, s, r = M._same_sentences(np.array([0, 0, 2, 3, 3]), np.array([5, 7, 5, 5, 7]), 4)
     assert of[0] == of[3] and len({of[0], of[1], of[2]}) == 3
     assert sorted(zip(s.tolist(), r.tolist())) == sorted([(of[0], 5), (of[0], 7), (of[2], 5)])
+
+
+def test_held_out_report(spark):
+    texts, y, truth = corpus(300)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, verdict int")
+    got = {r["model"]: r for r in M.held_out_report(docs, labels, part=2).collect()}
+    assert set(got) == {"linear", "pairs"} and got["pairs"]["n_docs"] == 300 and got["pairs"]["n_offensive"] == int(y.sum())
+    assert got["pairs"]["auc"] > 0.8
+    assert M.held_out_report(docs, labels.limit(0)).count() == 0
