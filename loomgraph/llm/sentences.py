@@ -1,15 +1,23 @@
 """Problem 4: sentence units of texts in many languages and scripts, with their exact places.
 
 A text is first cut into blocks: headings, list entries and paragraphs. Within a block the places where a unit may end make a
-lattice: runs of closing marks with the quotes, brackets and notes that belong to them, and in Thai also blanks. Each
-place gets evidence for an end (above 0) or against it (below), partly depending on where the unit would have begun; the cheapest way
-through the lattice gives the units. Scripts without spaces are cut into words by a dictionary lattice first, so that a gap
-can be judged by the particle before it and the opening word after it.
+lattice: runs of closing marks with the quotes, brackets and notes that belong to them, and between runs of scripts without spaces also blanks and line
+breaks. Each place gets evidence for an end (above 0) or against it (below), partly depending on where the unit would have begun; the
+cheapest way through the lattice gives the units.
+
+Runs of scripts without spaces (Chinese, Japanese, Thai) are cut into words by a lattice over a dictionary: the words of a public vocabulary for many languages and
+the particles and opening words listed here. A gap beside such a run is judged by its mark, the final particle before it and the opening word after it.
+
+Rules that look a fixed number of characters around a place say so where they stand: no abbreviation is longer than 24 characters, no clause that reports
+speech has more than 9 words (16 characters in Chinese and Japanese). Nothing else depends on the length of a text.
 """
 
 from __future__ import annotations
 
+import base64
+import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex as re
@@ -52,9 +60,22 @@ GERMAN_AFTER_ORDINAL = set("jahrhundert jh januar februar märz april mai juni j
 THAI_WORDS = set(
     """และ หรือ แต่ โดย ที่ ซึ่ง อัน เพราะ จึง ใน จาก ของ กับ เพื่อ ว่า คน ตาราง กิโลเมตร ตารางกิโลเมตร เมตร กม ปี บาท น วัน เดือน ชั่วโมง นาที ครั้ง แห่ง หลัง องค์
     นี้ นั้น มี เป็น อยู่ ทาง เหนือ ใต้ เมือง เมืองนี้ ประชากร พื้นที่ ชื่อ มา ใกล้ หมู่บ้าน สะพาน วัด โรงเรียน สถานี หอสมุด หน้า เขียน ถึง สร้าง ขึ้น กล่าว ถาม ตอบ
-    เก่า เล็ก งาม ใหญ่ ไป กัน เถอะ เย็น แล้ว ครับ ค่ะ นะ พ.ศ. ค.ศ. ดร. น. จ. อ. ต. พล.อ. ศ. รศ. ผศ. นาย นาง นางสาว เมื่อ ต่อมา อย่างไรก็ตาม""".split()
+    เก่า เล็ก งาม ใหญ่ ไป กัน เถอะ เย็น แล้ว ครับ ค่ะ นะ พ.ศ. ค.ศ. ดร. น. จ. อ. ต. พล.อ. ศ. รศ. ผศ. นาย นาง นางสาว เมื่อ ต่อมา อย่างไรก็ตาม
+    คะ จ้ะ สิ เลย ด้วย ก็ ได้ ให้ ไม่ จะ เคย ต้อง ควร อาจ กำลัง ถูก ทำ เห็น รู้ คิด พูด บอก ร้อง อ่าน ฟัง เดิน กิน ดื่ม นอน ซื้อ ขาย เปิด ปิด เริ่ม จบ
+    เขา เธอ ผม ฉัน เรา ท่าน มัน พวกเขา พวกเรา ใคร อะไร ไหน ไหม ทำไม อย่างไร เท่าไร บ้าน น้ำ แม่น้ำ ภูเขา ทะเล เกาะ จังหวัด อำเภอ ตำบล ประเทศ ภาษา
+    ไทย หนังสือ หนังสือพิมพ์ โบสถ์ ป่า ทะเลสาบ พิพิธภัณฑ์ โรงพยาบาล มหาวิทยาลัย ตลาด ถนน ประตู วันนี้ พรุ่งนี้ เมื่อวาน ปัจจุบัน นอกจากนี้ ดังนั้น อีก ทั้ง ทุก บาง หลาย""".split()
 )
 THAI_GO_ON = set("และ หรือ แต่ โดย ที่ ซึ่ง อัน เพราะ จึง ใน จาก ของ กับ เพื่อ ว่า พ.ศ. ค.ศ.".split())
+# particles that only end a statement: one before a gap outweighs a joining word after it
+THAI_FINAL = set("ครับ ค่ะ คะ จ้ะ นะ นะครับ นะคะ".split())
+# words that end a statement (particles, and the forms of verbs that stand last), and words that open the next one
+CJK_FINAL = set("了 吗 嗎 呢 吧 啊 呀 嘛 啦 だ た です ます でした ました である であった ない なかった よ ね か ぞ わ ください ません でしょう だった った".split())
+CJK_OPENERS = set(
+    """但是 然而 后来 後來 因此 所以 于是 該 该 这 這 那 他 她 它 人们 人們 我们 我們 你 全 第 为什么 為什麼 当 當 在
+    この その あの なお また ただし そこで 第 なぜ 彼 彼女 人々 面積 人口 さらに つまり""".split()
+)
+# words that carry a sentence on after an ellipsis
+CJK_GO_ON = set("但 而 却 卻 可是 不过 不過 しかし が でも けど けれど だが ところが そして".split())
 # what is counted by the number before; only as a whole word, as names may begin with the same letters
 THAI_UNITS = set("คน ตาราง กิโลเมตร ตารางกิโลเมตร เมตร กม ปี บาท น น. วัน เดือน ชั่วโมง นาที ครั้ง แห่ง หลัง องค์".split())
 THAI_REPORTING = re.compile("กล่าว|ถาม|ตอบ|ร้อง|บอก|พูด")
@@ -63,6 +84,9 @@ QUOTES = set("「『“„«»‹‘\"")
 CLOSERS = set(")）]」』”“’»«›\"》】}'")
 TERMINATORS = "[.!?…。！？｡।॥؟۔]+"
 
+#: A public vocabulary of many languages, as a file of base64 tokens and ranks, whose words in scripts without spaces join the dictionary.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
 # ---- patterns ------------------------------------------------------------------------------------------------------
 
 _LINE = re.compile(r"[^\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*(?:\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]|$)")
@@ -75,6 +99,10 @@ _TOKEN = re.compile(r"[\p{L}\p{M}\p{N}&'’.\-ª º]{0,24}$")
 _WORD = re.compile(r"[\p{L}\p{M}\p{N}'’\-]+")
 _CJK = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _THAI = re.compile(r"\p{Thai}")
+_CJK_RUN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
+_THAI_RUN = re.compile(r"[\p{Thai}.]*\p{Thai}[\p{Thai}.]*")
+_CJK_STOP = re.compile("[。！？!?]")
+_STOP = re.compile(r"[.!?।॥؟]")
 _NUMBER_END = re.compile(r"(?:^|[^\p{L}\p{M}\p{N}.,])(\d{1,2})$")
 #: Stand-ins for links and notes: a link acts as a name, a note as nothing.
 LINK, NOTE = "\ue000", "\ue001"
@@ -152,43 +180,98 @@ def _enclosures(w: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def words(run: str, lexicon: set[str], longest: int = 14) -> list[str]:
+def read_words(vocabulary: str | None = VOCABULARY) -> frozenset[str]:
+    """The dictionary: words of two characters and more (Thai: four, as shorter ones are pieces of syllables) of the vocabulary, and the lists above."""
+    found = set(THAI_WORDS | THAI_FINAL | CJK_FINAL | CJK_OPENERS | CJK_GO_ON | set(JA_AFTER_QUOTE))
+    if vocabulary:
+        with open(vocabulary, "rb") as f:
+            for line in f:
+                try:
+                    word = base64.b64decode(line.split()[0]).decode().strip()
+                except UnicodeDecodeError:  # a part of a character
+                    continue
+                if len(word) >= 2 and (_CJK_RUN.fullmatch(word) or (len(word) >= 4 and _THAI_RUN.fullmatch(word))):
+                    found.add(word)
+    return frozenset(found)
+
+
+class Lexicon:
+    """A dictionary with, by first character, the lengths of its words; runs cut lately are remembered."""
+
+    def __init__(self, known: frozenset[str]):
+        self.known = known
+        lengths: dict[str, set[int]] = {}
+        for x in known:
+            lengths.setdefault(x[0], set()).add(len(x))
+        self.lengths = {c: sorted(n) for c, n in lengths.items()}
+        self.cut = lru_cache(20_000)(self._cut)
+
+    def _cut(self, run: str) -> tuple[str, ...]:
+        return tuple(words(run, self))
+
+
+@lru_cache(2)
+def _default_lexicon(vocabulary: str | None = VOCABULARY) -> Lexicon:
+    return Lexicon(read_words(vocabulary))
+
+
+def words(run: str, lexicon: Lexicon) -> list[str]:
     """A spaceless run cut into words: the cheapest path through the lattice of dictionary words and unknown stretches.
 
     A dictionary word costs 1, an unknown stretch 2 and 1 more for each character, so that known words win and unknown
-    names stay in one piece.
+    names stay in one piece. Of equal paths the one with the longer last words is taken.
     """
     n = len(run)
+    known, lengths = lexicon.known, lexicon.lengths
     best = [0.0] + [1e9] * n
-    back = [(0, False)] * (n + 1)
-    unknown = [1e9] * (n + 1)  # best cost of ending here within an unknown stretch
-    start = [0] * (n + 1)
+    back = [0] * (n + 1)
+    opened, start = 1e9, 0  # best cost of being within an unknown stretch, and where it began
     for i in range(n):
-        for k in range(1, min(longest, n - i) + 1):
-            if run[i : i + k] in lexicon and best[i] + 1 < best[i + k]:
-                best[i + k], back[i + k] = best[i] + 1, (i, True)
-        opened, gone_on = best[i] + 3, unknown[i] + 1
-        if opened <= gone_on:
-            unknown[i + 1], start[i + 1] = opened, i
+        b = best[i] + 1
+        for k in lengths.get(run[i], ()):
+            if i + k > n:
+                break
+            if b < best[i + k] and run[i : i + k] in known:
+                best[i + k], back[i + k] = b, i
+        if b + 2 <= opened + 1:
+            opened, start = b + 2, i
         else:
-            unknown[i + 1], start[i + 1] = gone_on, start[i]
-        if unknown[i + 1] < best[i + 1]:
-            best[i + 1], back[i + 1] = unknown[i + 1], (start[i + 1], False)
+            opened += 1
+        if opened < best[i + 1]:
+            best[i + 1], back[i + 1] = opened, start
     out, i = [], n
     while i > 0:
-        j = back[i][0]
-        out.append(run[j:i])
-        i = j
+        out.append(run[back[i] : i])
+        i = back[i]
     return out[::-1]
 
 
 class _Block:
     """The lattice of one paragraph or list entry: w is its text with links and notes masked, of the same length."""
 
-    def __init__(self, w: str, german: bool):
-        self.w, self.german = w, german
+    def __init__(self, w: str, german: bool, lexicon: Lexicon):
+        self.w, self.german, self.lexicon = w, german, lexicon
         self.spans = _enclosures(w)
-        self.thai = bool(_THAI.search(w))
+        first = None if w.isascii() else _THAI.search(w)
+        self.thai, self.thai_from = first is not None, first.start() if first else len(w)
+        # by end and by beginning of each spaceless run its words
+        self.before: dict[int, tuple[str, ...]] = {}
+        self.after: dict[int, tuple[str, ...]] = {}
+        if not w.isascii():
+            for pattern in (_CJK_RUN, _THAI_RUN) if self.thai else (_CJK_RUN,):
+                for m in pattern.finditer(w):
+                    cut = lexicon.cut(m[0])
+                    self.before[m.end()], self.after[m.start()] = cut, cut
+
+    def particles(self, i: int, j: int) -> float:
+        """Evidence from the words around a gap from i to j: a final particle before it, an opening word or one that goes on after it."""
+        left, right = self.before.get(i), self.after.get(j)
+        score = 0.0
+        if left and left[-1] in CJK_FINAL:
+            score += 3.0
+        if right:
+            score += 3.0 if right[0] in CJK_OPENERS else -3.0 if right[0] in CJK_GO_ON else 0.0
+        return score
 
     def inner(self, i: int) -> list[tuple[int, int]]:
         return [s for s in self.spans if s[0] < i < s[1]]
@@ -206,9 +289,24 @@ class _Block:
             if any(s[1] >= end for s in open_spans):
                 continue  # enclosed by a quotation or bracket that goes on
             out.append((end, *self._judge(p, q, end, m[0], shut)))
+        if self.before:
+            out += self._blank_gaps()
         if self.thai:
             out += self._thai_gaps()
-            out.sort()
+        out.sort()
+        return out
+
+    def _blank_gaps(self) -> list[tuple[int, float, float, int]]:
+        """Blanks and line breaks between two Chinese or Japanese runs without a mark: an end only between a final particle and an opening word."""
+        w, out = self.w, []
+        for i, left in self.before.items():
+            if i < len(w) and w[i].isspace() and left[-1] in CJK_FINAL:
+                j = i
+                while j < len(w) and w[j].isspace():
+                    j += 1
+                if j in self.after and not self.inner(i):
+                    e = self.particles(i, j) - 4.0
+                    out.append((i, e, e, -1))
         return out
 
     def _closers(self, q: int, open_spans: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
@@ -257,10 +355,13 @@ class _Block:
         if mark[0] in "。！？｡" and "…" not in mark:
             if nxt in JA_AFTER_QUOTE[:1] and not gap:
                 return -1.0, -1.0, -1
-            return 20.0, 20.0, -1
+            e = 20.0 + self.particles(p, at)
+            return e, e, -1
         if "…" in mark or mark.startswith(".."):
             if cjk_near:
-                return (2.0 if gap and "\n" in w[end:at] else -20.0,) * 2 + (-1,)
+                # the sentence goes on, unless a new line begins; words say more than the mark
+                e = self.particles(p, at) + (5.0 if gap and "\n" in w[end:at] else -8.0)
+                return e, e, -1
             return (-20.0 if lower else 6.0,) * 2 + (-1,)
         if mark[0] in "!?":
             if lower:
@@ -277,17 +378,24 @@ class _Block:
         if lower:
             return -20.0, -20.0, a
         if _CJK.match(nxt):
-            rest = re.split(r"[。！？!?]", w[at : at + 60], maxsplit=1)[0]
-            if any(rest.startswith(x) for x in JA_AFTER_QUOTE):
+            # a particle after the quotation, as a word or at the front of one the dictionary doesn't know
+            cut = self.after.get(at) or (w[at],)
+            if cut[0] in JA_AFTER_QUOTE or any(w.startswith(x, at) for x in JA_AFTER_QUOTE):
                 return -20.0, -20.0, a
-            if len(rest) <= 16 and CJK_REPORTING.search(rest[-4:]):
+            stop = _CJK_STOP.search(w, at, at + 17)  # a reporting clause has at most 16 characters
+            stop = stop.start() if stop else len(w)
+            if stop - at <= 16 and CJK_REPORTING.search(w, max(at, stop - 4), stop):
                 return 6.0, -20.0, a
             return 20.0, 20.0, a
-        rest = re.split(r"[.!?।॥؟]", w[at : at + 160], maxsplit=1)[0]
-        tokens = [t.lower() for t in _WORD.findall(rest)]
+        stop = _STOP.search(w, at)
+        tokens = []
+        for m in _WORD.finditer(w, at, stop.start() if stop else len(w)):
+            tokens.append(m[0].lower())
+            if len(tokens) > 9:  # longer than a reporting clause
+                break
         if len(tokens) <= 9 and tokens and (set(tokens[:5]) & REPORTING or tokens[-1] in REPORTING) and tokens[0] not in OPENERS:
             return 6.0, -20.0, a
-        if _THAI.match(nxt) and THAI_REPORTING.search(rest[:40]):
+        if THAI_REPORTING.search("".join(self.after.get(at, ()))):
             return 6.0, -20.0, a
         return 20.0, 20.0, a
 
@@ -363,25 +471,28 @@ class _Block:
             i, j = m.span()
             if i == 0 or j >= len(w) or self.inner(i):
                 continue
-            left = re.search(r"[\p{Thai}.]*$", w[max(0, i - 40) : i])[0]
-            right = re.match(r"[\p{Thai}.]*", w[j : j + 40])[0]
+            before, cut = self.before.get(i, ()), self.after.get(j, ())
+            if (cut and not _THAI.search(cut[0] + cut[-1])) or (before and not _THAI.search(before[0] + before[-1])):
+                continue  # a Chinese or Japanese run
+            left, right = bool(before), "".join(cut)
             if not (left or right or w[i - 1] == LINK or w[i - 1].isdigit() or w[i - 1] in "”\"’)"):
                 continue
-            if not (_THAI.search(w[max(0, i - 60) : i]) or right):
+            if i < self.thai_from and not right:
                 continue
             nxt = w[j]
-            cut = words(right, THAI_WORDS) if right else [""]
-            first = cut[0]
+            first = cut[0] if cut else ""
             counted = w[i - 1].isdigit() and first in THAI_UNITS and (len(cut) == 1 or cut[1] in THAI_WORDS)
-            if left.endswith(".") and _THAI.search(left):
+            if left and before[-1].endswith("."):
                 score = -20.0
+            elif len(before) > 1 and before[-1] in THAI_FINAL and before[-2] in self.lexicon.known and (right or nxt in "“\"‘«"):
+                score = 20.0  # whatever opens the next statement; but names may end with the same letters
             elif nxt.isdigit() or nxt in ",;:)]”" or nxt in "—–-":
                 score = -20.0
             elif counted or first in THAI_GO_ON or any(right.startswith(x) for x in ("พ.ศ", "ค.ศ", "โดย", "และ", "ซึ่ง")):
                 score = -20.0
             elif nxt in "“\"‘«":
                 close = next((s[1] for s in self.spans if s[0] == j), -1)
-                score = 8.0 if close > 0 and THAI_REPORTING.search(w[close + 1 : close + 30]) and not w[close + 1 : close + 2].isspace() else -8.0
+                score = 8.0 if close > 0 and THAI_REPORTING.search("".join(self.after.get(close + 1, ()))) else -8.0
             elif w[i - 1] in "”\"’»":
                 score = -8.0 if nxt.isascii() else 2.0
                 a = next((s[0] for s in self.spans if s[1] == i - 1), -1)
@@ -409,25 +520,39 @@ def _shortest(cands: list[tuple[int, float, float, int]], begin: int, w: str) ->
     def solve() -> None:
         nonlocal start
         n = len(run)
-        best, back = [0.0] + [1e18] * n, [-1] * (n + 1)
         opened = [start] + [first_of(c[0]) for c in run]
-        # passing cost depends on the unit's beginning too, so that each edge adds up its own
-        for j in range(n):
-            passing = 0.0
-            for i in range(j, n):
-                e = run[i][2] if run[i][3] >= 0 and run[i][3] == opened[j] else run[i][1]
-                cost = best[j] + passing + max(0.0, -e)
-                if cost < best[i + 1]:
-                    best[i + 1], back[i + 1] = cost, j
-                passing += max(0.0, e)
-                if passing > 60:
+        of_opening: dict[int, list[int]] = {}
+        for j, x in enumerate(opened):
+            of_opening.setdefault(x, []).append(j)
+        # value[j] + passed: the cost of the best way to the end before place j and of passing all places since. What passing a place costs depends on
+        # the unit's beginning only where that is the place's own opening, so that one value moves there; the heap keeps the least.
+        value, back = [0.0] + [1e18] * n, [-1] * (n + 1)
+        heap = [(0.0, 0)]
+        passed = 0.0
+        for i, (_, e, own_e, opening) in enumerate(run):
+            own = [j for j in of_opening.get(opening, ()) if j <= i] if opening >= 0 else []
+            cost, arg = 1e18, -1
+            aside = []
+            while heap:
+                v, j = heap[0]
+                if v != value[j]:
+                    heapq.heappop(heap)  # it has moved
+                elif j in own:
+                    aside.append(heapq.heappop(heap))
+                else:
+                    cost, arg = v + passed + max(0.0, -e), j
                     break
-            # the way on to the end of the run without a further end
-        tail, arg = 1e18, 0
-        for j in range(n + 1):
-            passing = sum(max(0.0, run[i][2] if run[i][3] >= 0 and run[i][3] == opened[j] else run[i][1]) for i in range(j, min(n, j + 40)))
-            if best[j] + passing < tail:
-                tail, arg = best[j] + passing, j
+            for x in aside:
+                heapq.heappush(heap, x)
+            for j in own:
+                if (c := value[j] + passed + max(0.0, -own_e)) < cost:
+                    cost, arg = c, j
+                value[j] += max(0.0, own_e) - max(0.0, e)
+                heapq.heappush(heap, (value[j], j))
+            passed += max(0.0, e)
+            value[i + 1], back[i + 1] = cost - passed, arg
+            heapq.heappush(heap, (value[i + 1], i + 1))
+        arg = min(range(n + 1), key=value.__getitem__)  # and no further end
         own = []
         while arg > 0:
             own.append(run[arg - 1][0])
@@ -450,18 +575,19 @@ def _shortest(cands: list[tuple[int, float, float, int]], begin: int, w: str) ->
     return cuts
 
 
-def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
+def units(text: str | None, lang: str | None = None, lexicon: Lexicon | None = None) -> list[tuple[int, int]]:
     """(start, end) of the sentence units of a text, as code-point offsets, end exclusive. Null, empty and blank texts have none.
 
     lang (any case, or a wiki name such as dewiki) only helps with German ordinals; without it German is told by its words.
     """
     if not text or text.isspace():
         return []
+    lexicon = _default_lexicon() if lexicon is None else lexicon
     german = (lang or "").lower().startswith("de") if lang else len(re.findall(r"\b(?:der|die|das|und|ist|von)\b", text)) * 25 > len(text) / 6
     masked = _ATOM.sub(lambda m: (LINK if m[0].startswith("[[") else NOTE) * len(m[0]), text)
     out: list[tuple[int, int]] = []
     for start, content, end in blocks(text):
-        cuts = [] if content >= end else [content + c for c in _block_cuts(masked[content:end], german)]
+        cuts = [] if content >= end else [content + c for c in _block_cuts(masked[content:end], german, lexicon)]
         a = start
         for b in [*cuts, end]:
             lo, hi = a, b
@@ -475,28 +601,32 @@ def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     return out
 
 
-def _block_cuts(w: str, german: bool) -> list[int]:
-    block = _Block(w, german)
+def _block_cuts(w: str, german: bool, lexicon: Lexicon) -> list[int]:
+    block = _Block(w, german, lexicon)
     cands = block.candidates()
     begin = len(w) - len(w.lstrip())
     return _shortest(cands, begin, w) if cands else []
 
 
-def sentence_units(docs: DataFrame, id_column: str, text: str, lang: str | None = None) -> DataFrame:
+def sentence_units(docs: DataFrame, id_column: str, text: str, lang: str | None = None, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """(id, unit_start int, unit_end int): the sentence units of each distinct (id, text), in any order.
 
     Each id is taken once: repeated rows of an id are identical but for late deliveries, of which the greatest text is taken. Null texts and null ids give
-    no rows, as do empty and blank texts; texts are taken whole, however long. Further columns are ignored.
+    no rows, as do empty and blank texts; texts are taken whole, however long. Further columns are ignored. vocabulary is a file of
+    base64 tokens on the driver, or None for the word lists alone.
     """
     kind = dict(docs.dtypes)[id_column]
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("l"))
     once = chosen.where("id is not null and t is not null").groupBy("id").agg(F.max(F.struct("t", "l")).alias("x")).select("id", "x.t", "x.l")
 
+    shared = docs.sparkSession.sparkContext.broadcast(read_words(vocabulary))  # bounded by the public vocabulary
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(shared.value)
         for b in batches:
             ids, starts, ends = [], [], []
             for i, t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for a, z in units(t, g):
+                for a, z in units(t, g, lexicon):
                     ids.append(i), starts.append(a), ends.append(z)
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "unit_start", "unit_end"])
 

@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loomgraph.llm import sentences as S
 from loomgraph.llm.sentences import sentence_units, units
 
 CASES = [
@@ -60,3 +61,71 @@ def test_table(spark):
     got = {tuple(r) for r in sentence_units(df, "article_id", "doc").collect()}
     assert {g for g in got if g[0] == 1} == {(1, 0, 8), (1, 9, 17)} and {g[0] for g in got} == {1, 5} and len([g for g in got if g[0] == 5]) == 3000
     assert sentence_units(df.limit(0), "article_id", "doc").count() == 0
+
+
+def cut_runs(text, wiki):
+    lexicon = S.Lexicon(S.read_words())
+    got = [text[a:z] for a, z in S.units(text, wiki, lexicon)]
+    return got, lexicon.cut.cache_info().misses
+
+
+@pytest.mark.parametrize(
+    ("wiki", "text", "units"),
+    [
+        ("zhwiki", "人们等了很久……山谷再也没有出现。该寺庙很小。", 2),
+        ("zhwiki", "你们去哪里了吗\n但是学校很小。", 2),  # no mark: a final particle, then an opening word
+        ("zhwiki", "寺庙很大\n学校很小。", 1),
+        ("jawiki", "人々は待った…しかし学校は戻らなかった。この灯台は古い。", 2),
+        ("jawiki", "これは灯台です\nこの学校は古い。", 2),
+        ("jawiki", "原カは「神社はない。」と答えた。", 1),
+        ("thwiki", "ไปกันแล้วครับ และเมืองนี้มีประชากร", 2),  # a polite particle ends the statement before a joining word
+        ("thwiki", "เมืองนี้มีประชากร และมีพื้นที่", 1),
+    ],
+)
+def test_spaceless_scripts_are_cut_by_the_word_lattice(wiki, text, units):
+    got, calls = cut_runs(text, wiki)
+    assert len(got) == units and calls >= 2, (got, calls)
+
+
+def test_lattice_words():
+    lexicon = S.Lexicon(S.read_words())
+    assert len(lexicon.known) > 700
+    assert S.words("この灯台は", lexicon)[0] == "この" and S.words("", lexicon) == []
+    small = S.Lexicon(frozenset({"ab", "abc", "cd", "d"}))
+    assert S.words("abcd", small) in (["ab", "cd"], ["abc", "d"]) and S.words("xxabyy", small) == ["xx", "ab", "yy"] or S.words("xxabyy", small) == ["xxabyy"]
+
+
+def test_cheapest_ends_equal_all_ways():
+    """Against every subset of ends, on runs whose passing costs depend on the unit's beginning."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randint(1, 8)
+        w = "x" * (3 * n + 3)
+        cands = []
+        for k in range(n):
+            e = rng.choice([-6.0, -3.0, -1.0, 1.0, 2.0, 6.0])
+            opening = rng.choice([-1, -1, 0, 3 * rng.randint(0, k)])
+            cands.append((3 * (k + 1), e, rng.choice([-5.0, 4.0, 7.0]) if opening >= 0 else e, opening))
+
+        def cost(ends):
+            start, total = 0, 0.0
+            for k, (end, e, own, opening) in enumerate(cands):
+                x = own if opening >= 0 and opening == start else e
+                total += max(0.0, -x) if k in ends else max(0.0, x)
+                if k in ends:
+                    start = end
+            return total
+
+        best = min(cost(set(c)) for m in range(n + 1) for c in itertools.combinations(range(n), m))
+        got = S._shortest(cands, 0, w)
+        sure = [k for k, c in enumerate(cands) if c[0] in got]
+        assert cost(set(sure)) == best
+
+
+def test_long_run_of_uncertain_places():
+    w = "x" * 20_000
+    cands = [(k, -2.0 if k < 9_000 else 1.0, -2.0 if k < 9_000 else 1.0, -1) for k in range(1, 10_000)]
+    assert S._shortest(cands, 0, w) == list(range(9_000, 10_000))
