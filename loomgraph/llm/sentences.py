@@ -8,7 +8,7 @@ cheapest way through the lattice gives the units.
 Runs of scripts without spaces (Chinese, Japanese, Thai) are cut into words by a lattice over a dictionary: the words of a public vocabulary for many languages and
 the particles and opening words listed here. A gap beside such a run is judged by its mark, the final particle before it and the opening word after it.
 
-Rules that look a fixed number of characters around a place say so where they stand: no abbreviation is longer than 24 characters, no clause that reports
+Rules that look a fixed number of characters around a place say so where they stand: no abbreviation is longer than 24 characters, an address is told by its last 80, no clause that reports
 speech has more than 9 words (16 characters in Chinese and Japanese). Nothing else depends on the length of a text.
 """
 
@@ -104,6 +104,25 @@ _THAI_RUN = re.compile(r"[\p{Thai}.]*\p{Thai}[\p{Thai}.]*")
 _CJK_STOP = re.compile("[。！？!?]")
 _STOP = re.compile(r"[.!?।॥؟]")
 _NUMBER_END = re.compile(r"(?:^|[^\p{L}\p{M}\p{N}.,])(\d{1,2})$")
+# what stands before and after a full stop
+_PAIRED = re.compile(r"[()（）\[\]「」『』“”„«»‹›‘’\"《》【】]")
+_THREE_DIGITS = re.compile(r"\d{3}$")
+_ARABIC = re.compile(r"\p{Arabic}")
+_ARABIC_METRES = re.compile(r"\d\s*م$")
+_DEVANAGARI = re.compile(r"\p{Devanagari}")
+_INITIAL = re.compile(r"(?:^|[\s.\-'’(])\p{Lu}$")
+_ABBREVIATED = re.compile(r"(?:\p{L}{1,3}\.\s?)*[\p{L}&\-]*$")
+_SPACED_CAPITAL = re.compile(r"\p{Lu}\.\s")
+_NAME_INITIAL = re.compile(r"(?:\p{Lu}\p{L}*\.?[\s\-]|\p{Lu}\.)\p{Lu}$")
+_YEAR_RU = re.compile(r"\d\s*г$")
+_OPENING_YEAR_RU = re.compile(r"(?:^|[.!?»…]\s+)\p{Lu}\p{L}*\s+\d+\s*г$")
+_UNIT_OF_MEASURE = re.compile(r"\d\s*\p{L}$")
+_DOTTED = re.compile(r"(?:\p{L}\.){1,3}\p{L}$")
+_ROMAN = re.compile(r"[ivxlcdm]+")
+_LAST_CHUNK = re.compile(r"\S*$")
+_BLANK = re.compile(r"\s+")
+_GERMAN = re.compile(r"\b(?:der|die|das|und|ist|von)\b")
+_STOP_BLANK = re.compile(r"\.\s*")
 #: Stand-ins for links and notes: a link acts as a name, a note as nothing.
 LINK, NOTE = "\ue000", "\ue001"
 #: Evidence from here on, either way, is certain: the lattice is cut there.
@@ -152,7 +171,7 @@ def _enclosures(w: str) -> list[tuple[int, int]]:
                 return True
         return False
 
-    for m in re.finditer(r"[()（）\[\]「」『』“”„«»‹›‘’\"《》【】]", w):
+    for m in _PAIRED.finditer(w):
         c, i = m[0], m.start()
         before, after = w[i - 1 : i], w[i + 1 : i + 2]
         if c == '"':
@@ -411,24 +430,24 @@ class _Block:
             if cjk_near and not (before.isascii() and nxt.isascii()):
                 return 12.0 if not before.isdigit() else -20.0
             if nxt == LINK or (nxt.isupper() and w[at + 1 : at + 2].islower()):
-                long_word = before == LINK or (before.isalpha() and len(low) >= 3 and "." not in low and "@" not in low) or (before.isdigit() and re.search(r"\d{3}$", low) is not None) or before in ")»”"
+                long_word = before == LINK or (before.isalpha() and len(low) >= 3 and "." not in low and "@" not in low) or (before.isdigit() and _THREE_DIGITS.search(low) is not None) or before in ")»”"
                 return 10.0 if long_word and low not in OPEN_ABBREVIATIONS and not self._address(p) else -20.0
             return -20.0
         if lower and not caseless:
             return -20.0
-        if re.match(r"\p{Arabic}", nxt) or re.match(r"\p{Arabic}", before or " "):
-            if low in ("أ", "د", "ص", "م.أ") or (len(low) == 1 and low != "م") or (low == "م" and not re.search(r"\d\s*م$", w[max(0, p - 8) : p])):
+        if _ARABIC.match(nxt) or _ARABIC.match(before or " "):
+            if low in ("أ", "د", "ص", "م.أ") or (len(low) == 1 and low != "م") or (low == "م" and not _ARABIC_METRES.search(w[max(0, p - 8) : p])):
                 return -20.0
             return 20.0 if not nxt.isdigit() else 2.0
-        if re.match(r"\p{Devanagari}", before or " "):
+        if _DEVANAGARI.match(before or " "):
             return -20.0 if len(low) <= 5 else 6.0
         if self.thai and _THAI.match(before or " "):
             return -20.0
         bare = low.rstrip(".")
-        initial = re.search(r"(?:^|[\s.\-'’(])\p{Lu}$", w[max(0, p - 3) : p]) is not None
-        raw = re.search(r"(?:\p{L}{1,3}\.\s?)*[\p{L}&\-]*$", w[max(0, p - 16) : p])[0]
+        initial = _INITIAL.search(w[max(0, p - 3) : p]) is not None
+        raw = _ABBREVIATED.search(w[max(0, p - 16) : p])[0]
         # spaced capitals are initials; the abbreviations of this form are written close, or with a small letter
-        joined = "" if re.match(r"\p{Lu}\.\s", raw) else re.sub(r"\.\s*", ".", raw.lower())
+        joined = "" if _SPACED_CAPITAL.match(raw) else _STOP_BLANK.sub(".", raw.lower())
         if nxt.isdigit():
             if bare in OPEN_ABBREVIATIONS or bare in CLOSE_ABBREVIATIONS or joined in OPEN_ABBREVIATIONS or len(bare) == 1:
                 return -20.0
@@ -436,38 +455,38 @@ class _Block:
         if initial and joined not in CLOSE_ABBREVIATIONS - {bare}:
             # an initial, unless a word follows that opens sentences and isn't an initial itself
             opens = word.lower() in OPENERS and len(word) > 1 and w[at + len(word) : at + len(word) + 1] != "."
-            return 3.0 if opens and not re.search(r"(?:\p{Lu}\p{L}*\.?[\s\-]|\p{Lu}\.)\p{Lu}$", w[max(0, p - 12) : p]) else -8.0
+            return 3.0 if opens and not _NAME_INITIAL.search(w[max(0, p - 12) : p]) else -8.0
         if bare in CLOSE_ABBREVIATIONS or joined in CLOSE_ABBREVIATIONS:
             return 8.0 if opening or caseless else -8.0
         if joined in OPEN_ABBREVIATIONS or bare in OPEN_ABBREVIATIONS:
             return -12.0
         if len(bare) == 1 and bare.isalpha():
-            if bare == "г" and re.search(r"\d\s*г$", w[max(0, p - 8) : p]):
+            if bare == "г" and _YEAR_RU.search(w[max(0, p - 8) : p]):
                 # the year at a sentence's beginning is followed by what it says; elsewhere the year often stands last
-                return -8.0 if re.search(r"(?:^|[.!?»…]\s+)\p{Lu}\p{L}*\s+\d+\s*г$", w[max(0, p - 24) : p]) else 6.0
-            if re.search(r"\d\s*\p{L}$", w[max(0, p - 8) : p]) and not (len(word) == 1 and w[at + 1 : at + 2] == "."):
+                return -8.0 if _OPENING_YEAR_RU.search(w[max(0, p - 24) : p]) else 6.0
+            if _UNIT_OF_MEASURE.search(w[max(0, p - 8) : p]) and not (len(word) == 1 and w[at + 1 : at + 2] == "."):
                 return 6.0  # a unit of measure
             return -8.0
         if self.german and (m := _NUMBER_END.search(w[max(0, p - 4) : p])):
             if word.lower() in GERMAN_AFTER_ORDINAL:
                 return -20.0
             return 4.0 if word.lower() in OPENERS else -3.0
-        if re.search(r"(?:\p{L}\.){1,3}\p{L}$", low) and "-" not in low:
+        if _DOTTED.search(low) and "-" not in low:
             return 2.0 if word.lower() in OPENERS else -2.0
-        if re.fullmatch(r"[ivxlcdm]+", bare) and len(bare) <= 4 and not opening:
+        if _ROMAN.fullmatch(bare) and len(bare) <= 4 and not opening:
             return -2.0
         if opening or caseless:
             return 20.0
         return 2.0
 
     def _address(self, p: int) -> bool:
-        chunk = re.search(r"\S*$", self.w[max(0, p - 80) : p])[0]
+        chunk = _LAST_CHUNK.search(self.w[max(0, p - 80) : p])[0]
         return "://" in chunk or "@" in chunk or chunk.startswith("www.")
 
     def _thai_gaps(self) -> list[tuple[int, float, float, int]]:
         """Blanks between Thai statements: judged by the words around them, cut out of the runs by the dictionary lattice."""
         w, out = self.w, []
-        for m in re.finditer(r"\s+", w):
+        for m in _BLANK.finditer(w):
             i, j = m.span()
             if i == 0 or j >= len(w) or self.inner(i):
                 continue
@@ -583,7 +602,7 @@ def units(text: str | None, lang: str | None = None, lexicon: Lexicon | None = N
     if not text or text.isspace():
         return []
     lexicon = _default_lexicon() if lexicon is None else lexicon
-    german = (lang or "").lower().startswith("de") if lang else len(re.findall(r"\b(?:der|die|das|und|ist|von)\b", text)) * 25 > len(text) / 6
+    german = (lang or "").lower().startswith("de") if lang else len(_GERMAN.findall(text)) * 25 > len(text) / 6
     masked = _ATOM.sub(lambda m: (LINK if m[0].startswith("[[") else NOTE) * len(m[0]), text)
     out: list[tuple[int, int]] = []
     for start, content, end in blocks(text):
