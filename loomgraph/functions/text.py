@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: words stripped from both ends of a surface, and marks that make one unusable
-STOP_WORDS = ("a an the of in on at to by for and or from with as is de des du la le les un une el los las y en der die das ein eine und von").split()
+# fixed values: words stripped from both ends of a surface
+STOP_WORDS = (
+    "a an in the of it from with this that they he she some where what since his her their le la les il elle ce ça ci ceux ceci cela celle se cet cette "
+    "dans avec con sans pendant durant avant après puis el lo la ese esto que qui quoi dont ou où si este esta cual eso ella depuis y a à su de des du los las "
+    "un une una uno para asi later into dentro dedans depuis después desde al et por at for when why how with whether if thus then and but on during while as "
+    "within was is est au fait font va vont sur en pour del cuando cuan do does until sinon encore to by be which have not were has also its isbn pp. &amp; p. ces o"
+).split()
+# fixed values: marks at an end that make a surface unusable
 END_MARKS = "',-!.?:’"
-CATEGORY_PREFIXES = "Category Catégorie Kategorie Categoría Categoria Категория Categorie Kategori Kategoria".split()
-REDIRECT_WORDS = "REDIRECT weiterleitung REDIRECCIÓN REDIRECIONAMENTO".split()
+# fixed values: what the titles of category pages begin with
+CATEGORY_PREFIXES = "Category: Catégorie: Categorie: Categoría: Categoria: Kategorie: Kategoria: Категория: Kategori:".split()
+# fixed values: what a page that redirects begins its link with
+REDIRECT_WORDS = "#REDIRECT #weiterleitung #REDIRECCIÓN REDIRECIONAMENTO".split()
+# fixed values: what the titles of pages that are no articles begin with
 HIDDEN_TITLES = ("Wikipedia:", "Wikipédia:", "File:", "Media:", "Help:", "User:")
 
 
@@ -32,7 +43,7 @@ def clean_surface(surface: Column) -> Column:
     s = F.regexp_replace(s, r"^[lLdDjJtT]'", "")
     s = F.regexp_replace(s, r"'s$", "")
     words = F.filter(F.split(s, r"[ \t\n\r]+"), lambda w: w != "")
-    stop = "|".join(STOP_WORDS)
+    stop = "|".join(re.escape(w) for w in dict.fromkeys(STOP_WORDS))
     joined = F.lower(F.array_join(words, " "))
     joined = F.regexp_replace(joined, rf"^(?:(?:{stop})(?: |$))+", "")
     joined = F.regexp_replace(joined, rf"(?:(?:^| )(?:{stop}))+$", "")
@@ -71,14 +82,14 @@ def anchors(text: Column) -> Column:
 def categories(text: Column) -> Column:
     """Array of category titles linked by a text, without what stands after a pipe."""
     names = "|".join(CATEGORY_PREFIXES)
-    inner = F.regexp_extract_all(text, F.lit(rf"\[\[((?:{names}):[^\]\[]*)\]\]"), F.lit(1))
+    inner = F.regexp_extract_all(text, F.lit(rf"\[\[((?:{names})[^\]\[]*)\]\]"), F.lit(1))
     return F.transform(inner, lambda x: F.trim(F.when(x.contains("|"), F.substring_index(F.regexp_extract(x, r"^(.*)\|", 1), "#", 1)).otherwise(x)))
 
 
 def redirect(text: Column) -> Column:
     """The title that a page redirects to, null if it is no redirect."""
     words = "|".join(REDIRECT_WORDS)
-    inner = F.regexp_extract(text, rf"(?i)#(?:{words})\s*\[\[([^\]\[]*)\]\]", 1)
+    inner = F.regexp_extract(text, rf"(?iu)(?:{words})\s*\[\[([^\]\[]*)\]\]", 1)
     return F.nullif(F.trim(F.substring_index(F.substring_index(inner, "|", 1), "#", 1)), F.lit(""))
 
 

@@ -54,7 +54,7 @@ query("prune_nested_fields", f"WITH {M._RECORDS} SELECT qid, count(*) AS n_leave
     lambda s, d: M.leaves(s, d).where("leaf_kind in ('main', 'qualifier')").groupBy("qid").agg(F.count("*").alias("n_leaves"))
 )
 query("entity_index", f"WITH {M.ENTITIES} SELECT entity, qid FROM entities")(lambda s, d: M.entities(s, d))
-query("known_names", f"WITH {M.TITLES} SELECT entity, min(title) AS name FROM titles WHERE wiki = 'enwiki' AND entity < 2000 GROUP BY entity")(
+query("known_names", f"WITH {M.TITLES} SELECT entity, min(title) AS name FROM titles WHERE wiki = 'enwiki' GROUP BY entity")(
     lambda s, d: M.titles(s, d).where("wiki = 'enwiki'").groupBy("entity").agg(F.min("title").alias("name"))
 )
 query("json_nested_project", f"WITH {M._RECORDS} SELECT qid, prop, claim_no, leaf_text FROM leaves WHERE leaf_kind = 'main' AND prop IN ('P31', 'P279', 'P569')")(
@@ -127,8 +127,7 @@ query("blacklist_resolve", f"WITH {M.EDGES}, {_BAD} SELECT child, parent FROM ba
 @query(
     "connection_path",
     f"""WITH RECURSIVE {M.EDGES}, links AS (SELECT DISTINCT prop, child, parent FROM edges WHERE prop IN ('P31', 'P279')),
-depth AS (SELECT CAST(3 AS BIGINT) AS entity, 0 AS d UNION SELECT l.child, d + 1 FROM depth JOIN links l ON l.parent = depth.entity WHERE d < 32),
-least AS MATERIALIZED (SELECT entity, min(d) AS d FROM depth GROUP BY entity),
+least(entity, d) USING KEY (entity) AS (SELECT CAST(3 AS BIGINT), 0 UNION SELECT l.child, min(x.d) + 1 FROM least x JOIN links l ON l.parent = x.entity ANTI JOIN recurring.least y ON y.entity = l.child GROUP BY l.child),
 paths AS (SELECT entity, d, [CAST(entity AS VARCHAR)] AS path FROM least WHERE d = 0 UNION ALL
     SELECT x.entity, x.d, x.path FROM (SELECT c.entity, c.d, min([CAST(c.entity AS VARCHAR), l.prop] || p.path) AS path FROM paths p JOIN links l ON l.parent = p.entity JOIN least c ON c.entity = l.child AND c.d = p.d + 1 GROUP BY c.entity, c.d) x)
 SELECT entity, array_to_string(path, ' ') AS path FROM paths""",

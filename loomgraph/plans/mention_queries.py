@@ -88,10 +88,14 @@ query("attr_compare", f"{_FIRST} SELECT e.entity, coalesce(year < 1500, false) A
 )
 
 
-@query("time_classifier", f"{_FIRST}, f AS (SELECT entity, max(year < 1500) AS b, max(year >= 1500) AS a FROM first WHERE prop IN ('P569', 'P570', 'P571', 'P577') GROUP BY entity) SELECT entity, CASE WHEN b THEN 'before' WHEN a THEN 'after' ELSE 'other' END AS label FROM every LEFT JOIN f USING (entity)")
+# fixed values: the dates that tell how old something is, and the year between the classes
+DATED, DATED_YEAR = ["P577", "P569", "P571", "P576", "P585", "P580"], 1950
+
+
+@query("time_classifier", f"{_FIRST}, f AS (SELECT entity, max(year < 1950) AS b, max(year >= 1950) AS a FROM first WHERE prop IN ('P577', 'P569', 'P571', 'P576', 'P585', 'P580') GROUP BY entity) SELECT entity, CASE WHEN b THEN 'pre-1950' WHEN a THEN 'post-1950' ELSE 'other' END AS label FROM every LEFT JOIN f USING (entity)")
 def time_classifier(s, d) -> DataFrame:
-    before, after = C.by_time(storage.cut(M.dates(s, d), "dates"), ["P569", "P570", "P571", "P577"], 1500)
-    return C.export(_all(s, d), {"before": before, "after": after}).select("entity", "label")
+    before, after = C.by_time(storage.cut(M.dates(s, d), "dates"), DATED, DATED_YEAR)
+    return C.export(_all(s, d), {"pre-1950": before, "post-1950": after}).select("entity", "label")
 
 
 @query("rules_classifier", f"""WITH RECURSIVE {M.EDGES}, {KINDS}, roots AS (SELECT CAST(entity AS BIGINT) AS root, kind_name AS kind FROM core_entities WHERE kind_name IN ('city', 'human', 'film')),
@@ -305,17 +309,13 @@ query("transition_compose")(lambda s, d: L.iterate(_dictionary(s, d), _pass(s, d
 
 # -- type search -------------------------------------------------------------------------------------------------------------
 
-TYPES = "types AS MATERIALIZED (SELECT DISTINCT child AS entity, parent AS type FROM edges WHERE prop = 'P31' AND parent IN (SELECT entity FROM core_entities WHERE kind_name = 'city'))"
-
-
-def _search(s, d, types: DataFrame | None = None) -> T.Search:
-    """Over all targets of instance-of, or the types (entity, type) given."""
-    own = M.edges(s, d).where("prop = 'P31'").select(F.col("child").alias("entity"), F.col("parent").alias("type")).distinct()
-    return T.Search(_mentions(s, d), _dictionary(s, d), own if types is None else own.join(types.select("type"), "type", "left_semi").select("entity", "type"), penalty=0.0005)
+TYPES = "types AS MATERIALIZED (SELECT DISTINCT child AS entity, parent AS type FROM edges WHERE prop = 'P31')"
 
 
-def _cities(s, d) -> DataFrame:
-    return table(s, d, "core_entities").where("kind_name = 'city'").select(F.col("entity").cast("long").alias("type"))
+def _search(s, d) -> T.Search:
+    """Over all targets of instance-of."""
+    types = M.edges(s, d).where("prop = 'P31'").select(F.col("child").alias("entity"), F.col("parent").alias("type")).distinct()
+    return T.Search(_mentions(s, d), _dictionary(s, d), types, penalty=0.0005)
 
 
 GAIN = f"""WITH {M.EDGES}, {M.DICTIONARY}, {MENTIONS}, {TYPES},
@@ -328,7 +328,7 @@ totals AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n) FILTER (b = entit
 query("greedy_remainder", GAIN + " SELECT surface_id, entity, n FROM rest")(lambda s, d: _search(s, d).rest.select("surface_id", "entity", "n"))
 query("beam_round", GAIN + " SELECT t.type, coalesce(improvement, 0) AS improvement, round((greedy + coalesce(improvement, 0)) / total - 0.0005, 6) AS objective FROM (SELECT DISTINCT type FROM types) t LEFT JOIN gains USING (type) CROSS JOIN totals")(lambda s, d: _search(s, d).round([()]).select("type", "improvement", "objective"))
 query("type_objective", GAIN + " SELECT round(greedy / total, 6) AS base, round(max((greedy + improvement) / total), 6) AS best_one FROM gains CROSS JOIN totals GROUP BY greedy, total")(lambda s, d: _search(s, d).best_single())
-query("type_disambiguate", GAIN + " SELECT type, surface_id, has, b AS best FROM tops WHERE type IN (SELECT min(type) FROM types)")(lambda s, d: _search(s, d, _cities(s, d)).one_type_tops())
+query("type_disambiguate", GAIN + " SELECT type, surface_id, has, b AS best FROM tops WHERE type IN (SELECT min(type) FROM types)")(lambda s, d: _search(s, d).one_type_tops())
 query("greedy_search")(lambda s, d: _search(s, d).solve(1))
 query("beam_search")(lambda s, d: _search(s, d).solve())
 query("cross_entropy_search")(lambda s, d: _search(s, d).cross_entropy())

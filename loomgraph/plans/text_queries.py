@@ -48,8 +48,8 @@ query("extract_anchors", _A + " SELECT article_id, pos, anchor, target FROM anch
 query("anchor_rows_with_self", _A + " SELECT article_id, title AS context, title AS anchor, title AS target FROM pages WHERE NOT contains(title, ':') UNION ALL SELECT article_id, title, anchor, target FROM anchors JOIN pages USING (article_id) WHERE NOT contains(title, ':')")(
     lambda s, d: (lambda p: p.select("article_id", F.col("title").alias("context"), F.col("title").alias("anchor"), F.col("title").alias("target")).unionByName(p.select("article_id", F.col("title").alias("context"), F.explode(X.anchors(F.col("doc"))).alias("a")).select("article_id", "context", "a.anchor", "a.target")))(M.pages(s, d).where("not contains(title, ':')"))
 )
-_CATEGORY = "|".join(X.CATEGORY_PREFIXES)
-_CATS = rf"cats AS (SELECT doc_id, unnest(regexp_extract_all(text, '\[\[((?:{_CATEGORY}):[^\]\[]*)\]\]', 1)) AS x FROM documents), categories AS (SELECT doc_id, trim(CASE WHEN contains(x, '|') THEN split_part(regexp_extract(x, '^(.*)\|', 1), '#', 1) ELSE x END) AS category FROM cats)"
+# the SQL of this module gives all fixed values itself, so that it is independent of the code it checks
+_CATS = r"cats AS (SELECT doc_id, unnest(regexp_extract_all(text, '\[\[((?:Category|Catégorie|Categorie|Categoría|Categoria|Kategorie|Kategoria|Категория|Kategori):[^\]\[]*)\]\]', 1)) AS x FROM documents), categories AS (SELECT doc_id, trim(CASE WHEN contains(x, '|') THEN split_part(regexp_extract(x, '^(.*)\|', 1), '#', 1) ELSE x END) AS category FROM cats)"
 
 
 def _categories(s, d) -> DataFrame:
@@ -57,7 +57,7 @@ def _categories(s, d) -> DataFrame:
 
 
 query("extract_categories", f"WITH {_CATS} SELECT * FROM categories")(_categories)
-query("extract_redirects", r"SELECT doc_id, nullif(trim(split_part(split_part(regexp_extract(text, '(?i)#(?:" + "|".join(X.REDIRECT_WORDS) + r")\s*\[\[([^\]\[]*)\]\]', 1), '|', 1), '#', 1)), '') AS target FROM documents WHERE text IS NOT NULL")(
+query("extract_redirects", r"SELECT doc_id, nullif(trim(split_part(split_part(regexp_extract(text, '(?i)(?:#REDIRECT|#weiterleitung|#REDIRECCIÓN|REDIRECIONAMENTO)\s*\[\[([^\]\[]*)\]\]', 1), '|', 1), '#', 1)), '') AS target FROM documents WHERE text IS NOT NULL")(
     lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", X.redirect(F.col("text")).alias("target"))
 )
 _TITLE = "upper(substr({t}, 1, 1)) || substr({t}, 2)"
@@ -107,10 +107,11 @@ query("name_alternates", f"WITH {M.TITLES}, t AS (SELECT DISTINCT title FROM tit
 query("fixed_points", f"WITH {M.TITLES}, {_CATS}, t AS (SELECT DISTINCT split_part(category, ':', -1) AS title FROM categories), {_ALT}, names AS (SELECT title AS alt, min(entity) AS entity FROM titles GROUP BY title) SELECT title, arg_min(entity, k) AS entity FROM alts JOIN names USING (alt) GROUP BY title")(
     lambda s, d: _categories(s, d).select(F.substring_index("category", ":", -1).alias("title")).distinct().select("title", F.posexplode(X.name_alternates(F.col("title"))).alias("k", "alt")).join(M.titles(s, d).groupBy(F.col("title").alias("alt")).agg(F.min("entity").alias("entity")), "alt").groupBy("title").agg(F.min_by("entity", "k").alias("entity"))
 )
-_STOP, _MARKS = "|".join(X.STOP_WORDS), ", ".join("'" + m.replace("'", "''") + "'" for m in X.END_MARKS)
-_SURFACE = rf"""trimmed AS (SELECT surface, regexp_replace(rtrim(surface), '^[()\[\]]+|[()\[\]]+$', '', 'g') AS t FROM (SELECT DISTINCT surface FROM surface_dictionary WHERE surface IS NOT NULL)),
-joined AS (SELECT surface, t, lower(array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(t, '^[lLdDjJtT]''', ''), '''s$', ''), '[ \t\n\r]+'), lambda x: x <> ''), ' ')) AS j FROM trimmed),
-cleaned AS MATERIALIZED (SELECT surface, CASE WHEN t = '' OR left(t, 1) IN ({_MARKS}) OR right(t, 1) IN ({_MARKS}) THEN '' ELSE regexp_replace(regexp_replace(j, '^(?:(?:{_STOP})(?: |$))+', ''), '(?:(?:^| )(?:{_STOP}))+$', '') END AS clean FROM joined)"""
+_SURFACE = r"""stop AS MATERIALIZED (SELECT string_split('a an in the of it from with this that they he she some where what since his her their le la les il elle ce ça ci ceux ceci cela celle se cet cette dans avec con sans pendant durant avant après puis el lo ese esto que qui quoi dont ou où si este esta cual eso ella depuis y à su de des du los las un une una uno para asi later into dentro dedans después desde al et por at for when why how whether if thus then and but on during while as within was is est au fait font va vont sur en pour del cuando cuan do does until sinon encore to by be which have not were has also its isbn pp. &amp; p. ces o', ' ') AS st),
+trimmed AS (SELECT surface, regexp_replace(rtrim(surface), '^[()\[\]]+|[()\[\]]+$', '', 'g') AS t FROM (SELECT DISTINCT surface FROM surface_dictionary WHERE surface IS NOT NULL)),
+worded AS (SELECT surface, t, list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(t, '^[lLdDjJtT]''', ''), '''s$', ''), '[ \t\n\r]+'), lambda x: x <> ''), lambda x: lower(x)) AS w FROM trimmed),
+kept AS (SELECT surface, t, w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(st, w[i])) AS k FROM worded, stop),
+cleaned AS MATERIALIZED (SELECT surface, CASE WHEN t = '' OR left(t, 1) IN ('''', ',', '-', '!', '.', '?', ':', '’') OR right(t, 1) IN ('''', ',', '-', '!', '.', '?', ':', '’') OR len(k) = 0 THEN '' ELSE array_to_string(w[k[1]:k[-1]], ' ') END AS clean FROM kept)"""
 
 
 def _surfaces(s, d) -> DataFrame:
@@ -122,7 +123,7 @@ query("surface_vocabulary", f"WITH {_SURFACE} SELECT DISTINCT clean FROM cleaned
 query("acceptable_surface", rf"WITH {_SURFACE} SELECT DISTINCT clean, clean <> '' AND NOT regexp_matches(clean, '^\d+$') AND NOT regexp_matches(clean, '^\d+(?:st|nd|rd|th)$') AND NOT regexp_matches(clean, '^[\d\s.,/:;%()+-]*$') AS ok FROM cleaned")(
     lambda s, d: _surfaces(s, d).select("clean").distinct().withColumn("ok", X.acceptable_surface(F.col("clean")))
 )
-query("clean_markup", _P + r""" SELECT article_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(doc, '\t', ' ', 'g'), '(?s)<ref[^<>]*>.*?</ref>', ' ', 'g'), '(?s)\{\{[^{}]*\}\}', ' ', 'g'), '(?m)^==+ ?([^=\n]*?) ?==+[ \t]*$', chr(10) || chr(10) || '\1. ', 'g'), '(?m)^([*#]+) ?', '\1 ', 'g') AS plain FROM pages WHERE doc IS NOT NULL AND NOT contains(doc, chr(13))""")(
+query("clean_markup", _P + r""" SELECT article_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(doc, '\r\n?', chr(10), 'g'), '\t', ' ', 'g'), '(?s)<ref[^<>]*>.*?</ref>', ' ', 'g'), '(?s)\{\{[^{}]*\}\}', ' ', 'g'), '(?m)^==+ ?([^=\n]*?) ?==+[ \t]*$', chr(10) || chr(10) || '\1. ', 'g'), '(?m)^([*#]+) ?', '\1 ', 'g') AS plain FROM pages WHERE doc IS NOT NULL""")(
     lambda s, d: M.pages(s, d).where("doc is not null").select("article_id", X.clean_markup(F.col("doc")).alias("plain"))
 )
 _FRAG = M.PAGES + r""", pieces AS (SELECT article_id, generate_subscripts(x, 1) - 1 AS n, unnest(x) AS x FROM (SELECT article_id, list_filter(string_split(regexp_replace(doc, '(\[\[[^\]\[]*\]\])', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') AS x FROM pages WHERE doc IS NOT NULL)),
@@ -151,7 +152,7 @@ def span_overlap_join(s, d) -> DataFrame:
     return S.first_overlap(words.select("article_id", "pos", "start", "end"), spans, "article_id").select("article_id", "pos", "label")
 
 
-_TOKENS = M.PAGES + r", tokens AS MATERIALIZED (SELECT article_id, wiki, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(x) AS token FROM (SELECT article_id, wiki, regexp_extract_all(doc, '[A-Za-z]+(?:''[A-Za-z]+)?|[0-9]+|[^A-Za-z0-9\s]') AS x FROM pages WHERE wiki = 'enwiki'))"
+_TOKENS = M.PAGES + r", tokens AS MATERIALIZED (SELECT article_id, wiki, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(x) AS token FROM (SELECT article_id, wiki, regexp_extract_all(doc, '[\p{L}\p{M}]+(?:''[\p{L}\p{M}]+)?|\p{Nd}+|[^\p{L}\p{M}\p{Nd}\p{Z}\t\n\v\f\r]') AS x FROM pages))"
 
 
 def _tokens(s, d) -> DataFrame:
@@ -160,10 +161,10 @@ def _tokens(s, d) -> DataFrame:
 
 _T = f"WITH {_TOKENS}"
 query("tokenize_text", _T + " SELECT article_id, pos, token FROM tokens")(lambda s, d: _tokens(s, d).select("article_id", "pos", "token"))
-query("retokenize_labels", _T + r", w AS (SELECT article_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS word_no, unnest(x) AS word FROM (SELECT article_id, string_split(doc, ' ') AS x FROM pages WHERE wiki = 'enwiki')) SELECT article_id, word_no, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS k, unnest(y) AS token, regexp_matches(word, '^[A-Z]') AS label FROM (SELECT *, regexp_extract_all(word, '[A-Za-z]+(?:''[A-Za-z]+)?|[0-9]+|[^A-Za-z0-9\s]') AS y FROM w)")(
+query("retokenize_labels", _T + r", w AS (SELECT article_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS word_no, unnest(x) AS word FROM (SELECT article_id, string_split(doc, ' ') AS x FROM pages)) SELECT article_id, word_no, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS k, unnest(y) AS token, regexp_matches(word, '^\p{Lu}') AS label FROM (SELECT *, regexp_extract_all(word, '[\p{L}\p{M}]+(?:''[\p{L}\p{M}]+)?|\p{Nd}+|[^\p{L}\p{M}\p{Nd}\p{Z}\t\n\v\f\r]') AS y FROM w)")(
     lambda s, d: M.pages(s, d).select("article_id", F.posexplode(F.split("doc", " ")).alias("word_no", "word")).select("article_id", "word_no", F.posexplode(X.tokens(F.col("word"))).alias("k", "token"), X.uppercase(F.col("word")).alias("label"))
 )
-_FEATURES = r"substr(token, greatest(length(token) - 2, 1)) AS suffix, substr(token, 1, 3) AS prefix, regexp_matches(token, '^[0-9]+$') AS digit, CAST(length(regexp_replace(token, '[^!-/:-@\[-`{-~]', '', 'g')) AS INTEGER) AS punctuation_count, regexp_matches(token, '^[A-Z]') AS uppercase"
+_FEATURES = r"substr(token, greatest(length(token) - 2, 1)) AS suffix, substr(token, 1, 3) AS prefix, regexp_matches(token, '^\p{Nd}+$') AS digit, CAST(length(regexp_replace(token, '[^!-/:-@\[-`{-~]', '', 'g')) AS INTEGER) AS punctuation_count, regexp_matches(token, '^\p{Lu}') AS uppercase"
 query("token_features", _T + f" SELECT DISTINCT token, {_FEATURES} FROM tokens")(lambda s, d: _tokens(s, d).select("token").distinct().select("token", *[c.alias(n) for n, c in X.token_features(F.col("token")).items()]))
 _VOCAB = "vocab AS (SELECT token, count(*) AS n, min((article_id, pos)) AS f FROM tokens GROUP BY token), ranked AS (SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS id FROM vocab)"
 
@@ -182,7 +183,7 @@ query("feature_vocabs", _T + ", long AS (SELECT 'word' AS feature, token AS valu
 
 # -- sequences -------------------------------------------------------------------------------------------------------------------
 
-_GROUPS = ", marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY article_id ORDER BY pos) > 5 OR lag(pos) OVER (PARTITION BY article_id ORDER BY pos) IS NULL THEN 1 ELSE 0 END AS fresh FROM tokens WHERE regexp_matches(token, '^[A-Z]')), groups AS MATERIALIZED (SELECT article_id, pos, token, CAST(sum(fresh) OVER (PARTITION BY article_id ORDER BY pos) AS BIGINT) AS group_no FROM marked)"
+_GROUPS = r", marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY article_id ORDER BY pos) > 5 OR lag(pos) OVER (PARTITION BY article_id ORDER BY pos) IS NULL THEN 1 ELSE 0 END AS fresh FROM tokens WHERE regexp_matches(token, '^\p{Lu}')), groups AS MATERIALIZED (SELECT article_id, pos, token, CAST(sum(fresh) OVER (PARTITION BY article_id ORDER BY pos) AS BIGINT) AS group_no FROM marked)"
 
 
 def _gap_groups(s, d) -> DataFrame:
@@ -217,7 +218,7 @@ query("dataset_union", "SELECT 'articles' AS source, count(*) AS n FROM articles
 query("pad_sequences", _T + ", s AS (SELECT article_id, pos // 10 AS chunk, list(token ORDER BY pos) AS x FROM tokens GROUP BY ALL) SELECT article_id, chunk, array_to_string(x || list_resize(CAST([] AS VARCHAR[]), 10 - len(x), '_'), ' ') AS padded FROM s")(
     lambda s, d: _tokens(s, d).groupBy("article_id", F.expr("cast(pos div 10 as int)").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x")).select("article_id", "chunk", F.array_join(S.pad(F.transform("x", lambda t: t["token"]), 10, F.lit("_")), " ").alias("padded"))
 )
-query("label_mask", _T + " SELECT article_id, pos, regexp_matches(token, '^[A-Z]') AS mask FROM tokens")(lambda s, d: _tokens(s, d).select("article_id", "pos", X.uppercase(F.col("token")).alias("mask")))
+query("label_mask", _T + r" SELECT article_id, pos, regexp_matches(token, '^\p{Lu}') AS mask FROM tokens")(lambda s, d: _tokens(s, d).select("article_id", "pos", X.uppercase(F.col("token")).alias("mask")))
 query("batch_packing")(lambda s, d: S.pack_batches(_tokens(s, d).groupBy("article_id").agg(F.count("*").alias("n")), "article_id", "n", 200, 8))
 
 # -- metrics ---------------------------------------------------------------------------------------------------------------------
