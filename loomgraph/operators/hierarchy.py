@@ -26,6 +26,8 @@ from loomgraph import storage
 
 #: Children of one node that are ordered in one window; more are spread over buckets.
 BUCKET = 50_000
+#: Parents that may be broadcast for having more.
+MOST_HOT = 100_000
 #: One arc in so many is a ruler.
 RULER = 8
 #: Nodes in a chunk of the path scan.
@@ -76,12 +78,12 @@ def cycle_minimum(links: DataFrame, cycle_nodes: DataFrame) -> DataFrame:
 def _sibling_order(tree: DataFrame, n_links: int) -> tuple[DataFrame, DataFrame]:
     """(node, next sibling or null), and (parent, first and last child); siblings ordered by (bucket, node).
 
-    A parent with more than BUCKET children (or a thousandth of all, whichever is more) has them ordered within hashed
-    buckets, which are then strung together; there are at most 1,000 such parents, which is what is broadcast.
+    A parent with more than BUCKET children has them ordered within hashed buckets, which are then strung together. There is at most one such parent
+    for BUCKET links; while that bounds them to MOST_HOT they are broadcast, else Spark chooses the join.
     """
-    limit = max(BUCKET, n_links // 1000)
-    many = tree.groupBy("parent").count().where(F.col("count") > limit).select("parent", (F.col("count") / BUCKET + 1).cast("int").alias("buckets"))
-    spread = tree.join(F.broadcast(many), "parent", "left").select("node", "parent", F.when(F.col("buckets").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "buckets")).cast("int").alias("bucket"), F.col("buckets").isNotNull().alias("hot"))
+    many = tree.groupBy("parent").count().where(F.col("count") > BUCKET).select("parent", (F.col("count") / BUCKET + 1).cast("int").alias("buckets"))
+    many = F.broadcast(many) if n_links // BUCKET <= MOST_HOT else many
+    spread = tree.join(many, "parent", "left").select("node", "parent", F.when(F.col("buckets").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "buckets")).cast("int").alias("bucket"), F.col("buckets").isNotNull().alias("hot"))
     order = F.struct("bucket", "node")
     ends = spread.groupBy("parent").agg(F.min(order).alias("a"), F.max(order).alias("z")).select("parent", F.col("a.node").alias("first"), F.col("z.node").alias("last"))
     within = spread.select("node", "parent", "bucket", "hot", F.lead("node").over(W.partitionBy("parent", "bucket").orderBy("node")).alias("next"))
@@ -227,30 +229,8 @@ def paths(nodes: DataFrame) -> DataFrame:
     walk = nodes.select("node", "tree", (-F.col("last_place")).alias("enter"), (-F.col("first_place")).alias("leave"))
     walk = walk.repartitionByRange(chunks, "tree", "enter").sortWithinPartitions("tree", "enter").withColumn("chunk", F.spark_partition_id())
     walk = storage.cut(walk, "walk")
-    starts = walk.groupBy("chunk").agg(F.min(F.struct("tree", "enter", "node")).alias("s")).select("chunk", "s.tree", "s.enter").toPandas().sort_values(["tree", "enter"])
-    start_tree, start_enter, start_chunk = starts["tree"].to_numpy(), starts["enter"].to_numpy(), starts["chunk"].to_numpy()
-
-    def covering(batches):
-        """The chunks whose first row lies strictly inside a node's interval: that node stands on the chunk's first stack."""
-        import numpy as np
-
-        trees = np.unique(start_tree)
-        for b in batches:
-            b = b[np.isin(b["tree"].to_numpy(), trees)]
-            rows = []
-            for t in np.unique(b["tree"].to_numpy()):
-                lo, hi = np.searchsorted(start_tree, t), np.searchsorted(start_tree, t, "right")
-                own = b[b["tree"].to_numpy() == t]
-                i = lo + np.searchsorted(start_enter[lo:hi], own["enter"].to_numpy(), "right")
-                j = lo + np.searchsorted(start_enter[lo:hi], own["leave"].to_numpy(), "left")
-                k = np.maximum(j - i, 0)
-                row = np.repeat(np.arange(len(own)), k)
-                at = np.repeat(i, k) + np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
-                rows.append(pd.DataFrame({"chunk": start_chunk[at].astype("int32"), "node": own["node"].to_numpy()[row], "enter": own["enter"].to_numpy()[row], "leave": own["leave"].to_numpy()[row]}))
-            if rows:
-                yield pd.concat(rows)
-
-    stacks = walk.select("node", "tree", "enter", "leave").mapInPandas(covering, "chunk int, node long, enter long, leave long")
+    starts = walk.groupBy("chunk").agg(F.min(F.struct("tree", "enter")).alias("s")).select("chunk", "s.tree", F.col("s.enter").alias("at"))
+    stacks = _around(walk.select("node", "tree", "enter", "leave"), starts).select(*[F.col(c).alias(c) for c in ("chunk", "node", "enter", "leave")])
 
     def scan(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         rows, above = rows.sort_values(["tree", "enter"]), above.sort_values("enter")
@@ -269,6 +249,20 @@ def paths(nodes: DataFrame) -> DataFrame:
     return walk.groupBy("chunk").cogroup(stacks.groupBy("chunk")).applyInPandas(scan, schema) if n else spark.createDataFrame([], schema)
 
 
+def _around(intervals: DataFrame, points: DataFrame) -> DataFrame:
+    """Points (tree, at, ...) with each interval (tree, enter, leave, ...) that has them strictly inside.
+
+    An interval of up to 2**k places lies in one or two stretches of 2**k, a point in one stretch for each k: so that an equi-join finds the
+    pairs, with at most two rows for an interval and 64 for a point.
+    """
+    level = F.ceil(F.log2(F.col("leave") - F.col("enter") + 1)).cast("int")
+    own = intervals.withColumn("level", level)
+    own = own.withColumn("stretch", F.explode(F.expr("array_distinct(array(shiftright(enter, level), shiftright(leave, level)))")))
+    most = int(own.agg(F.max("level")).first()[0] or 0)  # at most 63
+    asked = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("stretch", F.expr("shiftright(at, level)"))
+    return own.join(asked, ["tree", "level", "stretch"]).where("enter < at and at < leave")
+
+
 #: Places in a bucket of the interval join of descendants().
 SPAN = 1_024
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph import storage
@@ -87,25 +87,56 @@ PARENT_PROPS = ["P131", "P171", "P279"]
 _NUMBER = r"^Q(0|[1-9][0-9]{0,16})$"
 
 
-def parent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, parent) of all properties in one graph: 4 times the id's number plus the property's place in PARENT_PROPS.
+#: Ids that aren't Q and at most 17 digits are numbered from here on, after all that are.
+_OTHERS = 10**17
 
-    Ids other than Q and a number have no number to be compared by and are left out. The parent is the first value that is the id of a record;
-    whether it is one is asked for the distinct pairs of target and property only after hot targets are set apart.
+
+def _other_ids(recs: DataFrame) -> DataFrame:
+    """(qid, number): records' ids of another form, numbered by hashed bucket and id. Usually there are none."""
+    odd = recs.where(~F.col("qid").rlike(_NUMBER)).select("qid", F.pmod(F.xxhash64("qid"), F.lit(4096)).cast("int").alias("b"))
+    sizes = odd.groupBy("b").count()  # at most 4,096 rows
+    before = sizes.select("b", (F.sum("count").over(Window.orderBy("b")) - F.col("count")).alias("before"))
+    own = odd.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("qid")) - 1)
+    return storage.cut(own.join(F.broadcast(before), "b").select("qid", (F.lit(_OTHERS) + F.col("before") + F.col("k")).cast("long").alias("number")), "p2-others")
+
+
+def parent_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame | None]:
+    """(node, parent) of all properties in one graph: 4 times the id's number plus the property's place in PARENT_PROPS; and (qid, number)
+    of the ids that have no number of their own, None if all have.
+
+    The parent is the first value that is the id of a record; whether it is one is asked for the distinct pairs of target and property only after
+    hot targets are set apart.
     """
-    recs = storage.cut(nested.links(table(spark, sf_dir, "entity_dump"), PARENT_PROPS).where(F.col("qid").rlike(_NUMBER)), "p2-records")
-    number = lambda c: F.regexp_extract(c, r"^Q(\d+)$", 1).cast("long")
-    ids = recs.select(number("qid").alias("target"))
+    recs = storage.cut(nested.links(table(spark, sf_dir, "entity_dump"), PARENT_PROPS).where("qid is not null"), "p2-records")
+    others = _other_ids(recs)
+    others = None if others.isEmpty() else others
+
+    def numbered(rows: DataFrame, qid: str, name: str) -> DataFrame:
+        """rows with the id's number; ids of another form that belong to no record go."""
+        own = F.when(F.col(qid).rlike(_NUMBER), F.regexp_extract(qid, r"^Q(\d+)$", 1).cast("long"))
+        if others is None:
+            return rows.withColumn(name, own).where(F.col(name).isNotNull())
+        return rows.join(others.select(F.col("qid").alias(qid), F.col("number").alias("__other")), qid, "left").withColumn(name, F.coalesce(own, "__other")).drop("__other").where(F.col(name).isNotNull())
+
+    ids = numbered(recs.select("qid"), "qid", "target").select("target")
     arrays = F.array(*[F.struct(F.lit(i).alias("code"), F.col(p).alias("targets")) for i, p in enumerate(PARENT_PROPS)])
-    wide = recs.select(number("qid").alias("id"), F.explode(arrays).alias("a")).select("id", "a.code", F.posexplode("a.targets").alias("pos", "t"))
-    cand = storage.cut(wide.where(F.col("t").rlike(_NUMBER)).select("id", "code", "pos", number("t").alias("target")), "p2-candidates")
+    wide = numbered(recs, "qid", "id").select("id", F.explode(arrays).alias("a")).select("id", "a.code", F.posexplode("a.targets").alias("pos", "t"))
+    cand = storage.cut(numbered(wide.where("t is not null"), "t", "target").select("id", "code", "pos", "target"), "p2-candidates")
     real = skew.skew_semi_join(cand, ids, "target", skew.heavy_keys(cand, F.col("target"), 0.005))
     first = real.groupBy("id", "code").agg(F.min_by("target", "pos").alias("target"))
-    return first.select((F.col("id") * 4 + F.col("code")).alias("node"), (F.col("target") * 4 + F.col("code")).alias("parent"))
+    return first.select((F.col("id") * 4 + F.col("code")).alias("node"), (F.col("target") * 4 + F.col("code")).alias("parent")), others
 
 
-def _q(c: str):
-    return F.concat(F.lit("Q"), F.expr(f"{c} div 4").cast("string"))
+def _named(rows: DataFrame, others: DataFrame | None, **names: str) -> DataFrame:
+    """rows with the ids of node columns, by the name each is to have."""
+    for name, node in names.items():
+        number = F.expr(f"{node} div 4")
+        own = F.concat(F.lit("Q"), number.cast("string"))
+        if others is None:
+            rows = rows.withColumn(name, own)
+        else:
+            rows = rows.withColumn("__n", number).join(others.select(F.col("qid").alias("__q"), F.col("number").alias("__n")), "__n", "left").withColumn(name, F.coalesce("__q", own)).drop("__n", "__q")
+    return rows
 
 
 def _prop():
@@ -113,25 +144,37 @@ def _prop():
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.hierarchy(parent_links(spark, sf_dir)).select(_prop().alias("prop"), _q("node").alias("qid"), _q("root").alias("root_qid"), F.col("depth").alias("tree_depth"))
+    links, others = parent_links(spark, sf_dir)
+    return _named(hierarchy.hierarchy(links), others, qid="node", root_qid="root").select(_prop().alias("prop"), "qid", "root_qid", F.col("depth").alias("tree_depth"))
 
 
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything known of a node: parent, root, depth, interval, number of descendants, and its path as ids joined by >."""
-    nodes = storage.cut(hierarchy.hierarchy(parent_links(spark, sf_dir)), "p2-nodes")
-    path = hierarchy.paths(nodes).select("node", F.array_join(F.transform("path", lambda x: F.concat(F.lit("Q"), F.shiftright(x, 2).cast("string"))), ">").alias("path"))
-    return nodes.join(path, "node").select(
-        _prop().alias("prop"), _q("node").alias("qid"), _q("parent").alias("parent_qid"), _q("root").alias("root_qid"), F.col("depth").alias("tree_depth"),
-        "on_cycle", "first_place", "last_place", "n_descendants", "path",
+    links, others = parent_links(spark, sf_dir)
+    nodes = storage.cut(hierarchy.hierarchy(links), "p2-nodes")
+    steps = hierarchy.paths(nodes)
+    if others is None:
+        path = steps.select("node", F.array_join(F.transform("path", lambda x: F.concat(F.lit("Q"), F.shiftright(x, 2).cast("string"))), ">").alias("path"))
+    else:
+        each = _named(steps.select("node", F.posexplode("path").alias("k", "step")), others, q="step")
+        path = each.groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]), ">").alias("path"))
+    return _named(nodes.join(path, "node"), others, qid="node", parent_qid="parent", root_qid="root").select(
+        _prop().alias("prop"), "qid", "parent_qid", "root_qid", F.col("depth").alias("tree_depth"), "on_cycle", "first_place", "last_place", "n_descendants", "path",
     )
 
 
+def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prop, qid, path): the part of p2_hierarchy that doesn't depend on the order of siblings."""
+    return p2_hierarchy(spark, sf_dir).select("prop", "qid", "parent_qid", "on_cycle", "n_descendants", "path")
+
+
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = storage.cut(hierarchy.hierarchy(parent_links(spark, sf_dir)), "p2-nodes")
-    return hierarchy.descendants(nodes).select(_prop().alias("prop"), _q("ancestor").alias("qid"), _q("node").alias("descendant_qid"))
+    links, others = parent_links(spark, sf_dir)
+    nodes = storage.cut(hierarchy.hierarchy(links), "p2-nodes")
+    return _named(hierarchy.descendants(nodes), others, qid="ancestor", descendant_qid="node").select(_prop().alias("prop"), "qid", "descendant_qid")
 
 
-QUERIES |= {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_descendants": p2_descendants}
+QUERIES |= {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_paths": p2_paths, "p2_descendants": p2_descendants}
 
 _LINKS = rf"""{_RECORDS},
 cand AS (SELECT prop, qid, claim_no, c->'mainsnak'->'datavalue'->'value'->>'id' AS t FROM claims WHERE prop IN ('P131', 'P171', 'P279')),
@@ -149,6 +192,9 @@ found AS (SELECT hang.prop, hang.qid, coalesce(least, top) AS root_qid, CASE WHE
     FROM hang LEFT JOIN ring ON ring.prop = hang.prop AND ring.qid = hang.top)"""
 SQL |= {
     "p2_found": f"WITH RECURSIVE {_LINKS} SELECT * FROM found",
+    "p2_paths": f"""WITH RECURSIVE {_LINKS}, below AS (SELECT t.prop, t.up AS qid, t.qid AS low FROM tree t UNION ALL SELECT b.prop, t.up, b.low FROM below b JOIN tree t ON t.prop = b.prop AND t.qid = b.qid)
+        SELECT h.prop, h.qid, p.up AS parent_qid, h.d = 0 AND c.qid IS NOT NULL AS on_cycle, (SELECT count(*) FROM below b WHERE b.prop = h.prop AND b.qid = h.qid) AS n_descendants, h.path
+        FROM hang h LEFT JOIN par p ON p.prop = h.prop AND p.qid = h.qid LEFT JOIN on_cycle c ON c.prop = h.prop AND c.qid = h.qid""",
     "p2_descendants": f"""WITH RECURSIVE {_LINKS}, pairs AS (SELECT prop, up AS qid, qid AS descendant_qid FROM tree UNION ALL
         SELECT p.prop, t.up, p.descendant_qid FROM pairs p JOIN tree t ON t.prop = p.prop AND t.qid = p.qid) SELECT * FROM pairs""",
 }

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,7 @@ from loomgraph import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session.build("tests", "local[4]", 4, **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
+    s = session.build("tests", "local[4]", 4, **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='loomgraph-tests-')}"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

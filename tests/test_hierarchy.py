@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import storage
 from loomgraph.operators import hierarchy as H
 
 
@@ -66,3 +67,30 @@ def test_empty_and_only_cycles(spark):
 def test_ranks_are_places_from_the_end(spark, n):
     arcs = spark.range(n).select(F.col("id").alias("arc"), F.when(F.col("id") < n - 1, F.col("id") + 1).alias("next"), F.lit(1).cast("long").alias("step"), F.when(F.col("id") == n - 1, 77).cast("long").alias("root"))
     assert {tuple(r) for r in H.rank_lists(arcs).collect()} == {(i, n - i, n - i, 77) for i in range(n)}
+
+
+def test_paths_over_many_chunks(spark, monkeypatch):
+    """Chunks of a few nodes, so that most stacks are looked up by interval."""
+    monkeypatch.setattr(H, "CHUNK", 5)
+    parent = {k: (k - 1) // 3 for k in range(1, 60)} | {k: k - 1 for k in range(101, 130)}
+    nodes = storage.cut(H.hierarchy(spark.createDataFrame(list(parent.items()), "node long, parent long")), "nodes")
+    got = {r["node"]: list(r["path"]) for r in H.paths(nodes).collect()}
+
+    def path(k):
+        return (path(parent[k]) if k in parent else []) + [k]
+
+    assert got == {k: path(k) for k in set(parent) | set(parent.values())}
+
+
+def test_ids_of_any_form(spark, tmp_path):
+    """An id that isn't Q and a number is numbered; paths and roots give it back."""
+    from loomgraph.plans import problems
+
+    def record(k, qid, up=None):
+        claims = "{}" if up is None else '{"P131": [{"mainsnak": {"datavalue": {"value": {"id": "%s"}}}}]}' % up
+        return (k, '{"id": "%s", "lastrevid": 1, "claims": %s}' % (qid, claims), None)
+
+    rows = [record(0, "Q5"), record(1, "L77-S1", "Q5"), record(2, "Q8", "L77-S1"), record(3, "Q123456789012345678901", "Q8"), record(4, "Q9", "X404")]
+    spark.createDataFrame(rows, "line_no long, json_line string, dumped_at timestamp").write.parquet(f"{tmp_path}/entity_dump.parquet")
+    got = {r["qid"]: (r["root_qid"], r["tree_depth"], r["path"]) for r in problems.p2_hierarchy(spark, str(tmp_path)).collect()}
+    assert got == {"Q5": ("Q5", 0, "Q5"), "L77-S1": ("Q5", 1, "Q5>L77-S1"), "Q8": ("Q5", 2, "Q5>L77-S1>Q8"), "Q123456789012345678901": ("Q5", 3, "Q5>L77-S1>Q8>Q123456789012345678901")}
