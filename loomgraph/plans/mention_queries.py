@@ -140,14 +140,14 @@ def _dictionary(s, d) -> DataFrame:
     return storage.cut(M.dictionary(s, d), "dictionary")
 
 
-query("surface_entity_counts", f"{_D} SELECT * FROM dictionary")(lambda s, d: M.dictionary(s, d))
-query("surface_context_counts", f"{_D} SELECT surface_id, coalesce(entity, -1) AS entity, count(*) AS n FROM slots GROUP BY ALL")(
+query("dictionary_counts", f"{_D} SELECT * FROM dictionary")(lambda s, d: M.dictionary(s, d))
+query("dictionary_deleted", f"{_D} SELECT surface_id, coalesce(entity, -1) AS entity, count(*) AS n FROM slots GROUP BY ALL")(
     lambda s, d: distinct_slots(table(s, d, "surface_dictionary")).groupBy(F.col("trie_index").alias("surface_id"), F.coalesce("entity", F.lit(-1)).cast("long").alias("entity")).agg(F.count("*").alias("n"))
 )
 query("candidate_lookup", f"{_D} SELECT m.surface_id, m.entity, m.cnt FROM dictionary m WHERE surface_id IN (SELECT surface_id FROM slots WHERE cnt > 50)")(
     lambda s, d: M.dictionary(s, d).join(distinct_slots(table(s, d, "surface_dictionary")).where("cnt > 50").select(F.col("trie_index").alias("surface_id")).distinct(), "surface_id", "left_semi")
 )
-query("resolve_diagnostics", f"{_D} SELECT count(*) AS n_slots, count(*) FILTER (entity IS NULL) AS no_entity, count(*) FILTER (entity = -1) AS deleted, count(*) FILTER (cnt IS NULL) AS no_count FROM slots")(
+query("slot_diagnostics", f"{_D} SELECT count(*) AS n_slots, count(*) FILTER (entity IS NULL) AS no_entity, count(*) FILTER (entity = -1) AS deleted, count(*) FILTER (cnt IS NULL) AS no_count FROM slots")(
     lambda s, d: distinct_slots(table(s, d, "surface_dictionary")).agg(F.count("*").alias("n_slots"), F.count_if(F.expr("entity is null")).alias("no_entity"), F.count_if(F.expr("entity = -1")).alias("deleted"), F.count_if(F.expr("cnt is null")).alias("no_count"))
 )
 query("weighted_popularity", f"{_D}, {M.ENTITIES} SELECT e.entity, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS weight FROM (SELECT DISTINCT entity FROM entities) e LEFT JOIN dictionary USING (entity) GROUP BY e.entity")(
@@ -198,7 +198,7 @@ query(
     f"{_O}, bad AS (SELECT coalesce(kind, 'other') AS label, surface_id, CAST(sum(n) AS BIGINT) AS surface_n FROM outcomes JOIN exported USING (entity) LEFT JOIN names ON k = class_id WHERE NOT obvious AND NOT strict GROUP BY ALL), "
     "r AS (SELECT *, CAST(sum(surface_n) OVER (PARTITION BY label) AS BIGINT) AS n, CAST(row_number() OVER (PARTITION BY label ORDER BY surface_n DESC, surface_id) AS INTEGER) AS k FROM bad) SELECT label, n, surface_id, surface_n, k FROM r WHERE k <= 6",
 )(lambda s, d: A.ambiguity(_outcomes(s, d), "strict", _kind_classes(s, d, _edges(s, d)).select("entity", "label")))
-query("obtain_mentions", f"{_D}, {MENTIONS} SELECT m.surface_id, m.entity, m.n, d.cnt FROM mentions m JOIN dictionary d USING (surface_id, entity)")(lambda s, d: _mentions(s, d).join(M.dictionary(s, d), ["surface_id", "entity"]).select("surface_id", "entity", "n", "cnt"))
+query("mention_counts", f"{_D}, {MENTIONS} SELECT m.surface_id, m.entity, m.n, d.cnt FROM mentions m JOIN dictionary d USING (surface_id, entity)")(lambda s, d: _mentions(s, d).join(M.dictionary(s, d), ["surface_id", "entity"]).select("surface_id", "entity", "n", "cnt"))
 
 # -- repair ----------------------------------------------------------------------------------------------------------------
 

@@ -11,6 +11,7 @@ from loomgraph import storage
 from loomgraph.functions import text as X
 from loomgraph.operators import metrics as E
 from loomgraph.operators import sequences as S
+from loomgraph.operators.links import resolve
 from loomgraph.plans import model as M
 from loomgraph.plans.tables import table
 
@@ -84,12 +85,7 @@ LEFT JOIN titles y ON y.wiki = a.wiki AND y.title = {_clean('a.target')} LEFT JO
 def resolve_title(s, d) -> DataFrame:
     """Exact, else cleaned, else one redirect away, else -1. Only distinct targets are resolved, then joined back to the links."""
     links = storage.cut(_anchors(s, d), "anchors")
-    titles = storage.cut(M.titles(s, d), "titles")
-    asked = links.select("wiki", "target").distinct().withColumn("clean", X.clean_title(F.col("target")))
-    t = lambda name, key: titles.select("wiki", F.col("title").alias(key), F.col("entity").alias(name))
-    hop = _redirects(s, d).select("wiki", F.col("source").alias("clean"), X.clean_title(F.col("target")).alias("hop"))
-    got = asked.join(t("x", "target"), ["wiki", "target"], "left").join(t("y", "clean"), ["wiki", "clean"], "left").join(hop, ["wiki", "clean"], "left").join(t("z", "hop"), ["wiki", "hop"], "left")
-    got = got.select("wiki", "target", F.coalesce("x", "y", "z", F.lit(-1)).cast("long").alias("entity"))
+    got = resolve(links, storage.cut(M.titles(s, d), "titles"), _redirects(s, d))
     return links.join(got, ["wiki", "target"]).select("article_id", "pos", "entity")
 
 
@@ -119,10 +115,7 @@ def _surfaces(s, d) -> DataFrame:
 
 
 query("clean_surface", f"WITH {_SURFACE} SELECT * FROM cleaned")(_surfaces)
-query("surface_vocabulary", f"WITH {_SURFACE} SELECT DISTINCT clean FROM cleaned WHERE clean <> ''")(lambda s, d: _surfaces(s, d).where("clean <> ''").select("clean").distinct())
-query("acceptable_surface", rf"WITH {_SURFACE} SELECT DISTINCT clean, clean <> '' AND NOT regexp_matches(clean, '^\d+$') AND NOT regexp_matches(clean, '^\d+(?:st|nd|rd|th)$') AND NOT regexp_matches(clean, '^[\d\s.,/:;%()+-]*$') AS ok FROM cleaned")(
-    lambda s, d: _surfaces(s, d).select("clean").distinct().withColumn("ok", X.acceptable_surface(F.col("clean")))
-)
+query("clean_surfaces", f"WITH {_SURFACE} SELECT DISTINCT clean FROM cleaned WHERE clean <> ''")(lambda s, d: _surfaces(s, d).where("clean <> ''").select("clean").distinct())
 query("clean_markup", _P + r""" SELECT article_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(doc, '\r\n?', chr(10), 'g'), '\t', ' ', 'g'), '(?s)<ref[^<>]*>.*?</ref>', ' ', 'g'), '(?s)\{\{[^{}]*\}\}', ' ', 'g'), '(?m)^==+ ?([^=\n]*?) ?==+[ \t]*$', chr(10) || chr(10) || '\1. ', 'g'), '(?m)^([*#]+) ?', '\1 ', 'g') AS plain FROM pages WHERE doc IS NOT NULL""")(
     lambda s, d: M.pages(s, d).where("doc is not null").select("article_id", X.clean_markup(F.col("doc")).alias("plain"))
 )
