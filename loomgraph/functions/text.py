@@ -116,10 +116,34 @@ def fragments(text: Column) -> Column:
     return F.transform(parts, parse)
 
 
+_WORD = r"[\p{L}\p{M}]+(?:'[\p{L}\p{M}]+)?|\p{Nd}+"
+_MARK = r"[^\p{L}\p{M}\p{Nd}\p{Z}\s]"
+
+
 def tokens(text: Column) -> Column:
     """Words, numbers and single marks in order, of any script: our own plain tokenizer, blanks dropped. Combining marks belong to words;
     a run of letters without blanks (Thai, Chinese) is one word."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+(?:'[\p{L}\p{M}]+)?|\p{Nd}+|[^\p{L}\p{M}\p{Nd}\p{Z}\s]"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"{_WORD}|{_MARK}"), F.lit(0))
+
+
+def pieces(text: Column) -> Column:
+    """The tokens with the runs of blanks between them: joined they are the text."""
+    return F.regexp_extract_all(text, F.lit(rf"{_WORD}|[\p{{Z}}\s]+|{_MARK}"), F.lit(0))
+
+
+def token_lines(text: Column) -> Column:
+    """The tokens with an empty one for each blank line between them."""
+    lines = F.regexp_extract_all(text, F.lit(rf"{_WORD}|{_MARK}|\r?\n[ \t]*\r?\n"), F.lit(0))
+    return F.transform(lines, lambda t: F.when(t.rlike(r"^[\r\n]"), "").otherwise(t))
+
+
+def byte_codes(word: Column, size: int) -> Column:
+    """A word's UTF-8 bytes between 255 and 256, filled up with -1 to `size` places; longer words are not cut."""
+    hexed = F.hex(F.encode(word, "UTF-8"))
+    n = F.length(hexed) / 2
+    codes = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    whole = F.concat(F.array(F.lit(255)), codes, F.array(F.lit(256)))
+    return F.concat(whole, F.array_repeat(F.lit(-1), F.greatest(F.lit(0), F.lit(size) - F.size(whole))))
 
 
 def uppercase(word: Column) -> Column:

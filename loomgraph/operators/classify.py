@@ -6,11 +6,16 @@ A set is a DataFrame (entity) without repeats. Sets stay sparse: their size foll
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import storage
+from loomgraph.operators.graph import Rule, TypeGraph
+from loomgraph.operators.ranks import top_k
+
 COMPARE = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "==": lambda a, b: a == b}
 
 
@@ -72,20 +77,65 @@ def load_rules(classify: Callable, graph) -> dict[str, DataFrame]:
 def cardinality(classes: DataFrame, sample: int = 20) -> DataFrame:
     """(label, n, first_members): sizes of classes (entity, label) with their first members by id, found by a bounded top-k in both stages."""
     n = classes.groupBy("label").agg(F.count("*").alias("n"))
-    # ids up to the sample-th smallest, from a two-stage minimum: at most `sample` per partial bucket, then overall
-    part = classes.withColumn("b", F.pmod(F.xxhash64("entity"), F.lit(64)))
-    some = part.groupBy("label", "b").agg(F.slice(F.sort_array(F.collect_set("entity")), 1, sample).alias("e"))
-    first = some.groupBy("label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("e"))), 1, sample).alias("first_members"))
-    return n.join(first, "label")
+    few = top_k(classes.select("label", "entity").distinct(), ["label"], [F.col("entity")], sample, "entity")
+    return n.join(few.groupBy("label").agg(F.sort_array(F.collect_list("entity")).alias("first_members")), "label")
 
 
 def report(members: DataFrame, edges: DataFrame, props: list[str], n: int = 20) -> DataFrame:
     """(prop, parent, n, percent): the most frequent values of each property among a set's members, ties by id, as shares of the set."""
-    from pyspark.sql.window import Window as W
-
     size = members.select("entity").distinct()
     own = edges.where(F.col("prop").isin(props)).join(size.select(F.col("entity").alias("child")), "child", "left_semi")
     counted = own.groupBy("prop", "parent").agg(F.count("*").alias("n"))
     total = size.agg(F.count("*")).scalar()
-    ranked = counted.withColumn("k", F.row_number().over(W.partitionBy("prop").orderBy(F.desc("n"), "parent"))).where(F.col("k") <= n)
+    ranked = top_k(counted, ["prop"], [F.desc("n"), F.col("parent")], n, "parent")
     return ranked.select("prop", "parent", "n", F.round(100.0 * F.col("n") / total, 6).alias("percent"))
+
+
+@dataclass(frozen=True)
+class ClassRule:
+    """A class: members of any of the named sets and of none of the sets or classes (given before it) in `without`."""
+
+    name: str
+    any: tuple[str, ...]
+    without: tuple[str, ...] = ()
+
+
+def by_rules(graph: TypeGraph, sets: list[Rule], names: dict[int, str], classes: list[ClassRule]) -> dict[str, DataFrame]:
+    """The sets of entities of a classification given as data: closures (sets, named by rule_id in names) and classes made of them.
+
+    All closures are one batched loop. Membership is one wide row for each entity that is in any set, with a boolean for each set and class, so that
+    the classes are expressions, not joins.
+    """
+    members = graph.closures(sets)
+    flags = members.groupBy("entity").agg(*[F.max((F.col("rule_id") == k).cast("int")).alias(f"s{k}") for k in names])
+    place = {n: F.col(f"s{k}") == 1 for k, n in names.items()}
+    for c in classes:
+        hit = reduce(lambda a, b: a | b, [place[n] for n in c.any])
+        for n in c.without:
+            hit = hit & ~place[n]
+        place[c.name] = hit
+    wide = storage.cut(flags.select("entity", *[place[c.name].alias(f"c{i}") for i, c in enumerate(classes)]), "classes")
+    return {c.name: wide.where(F.col(f"c{i}")).select("entity") for i, c in enumerate(classes)}
+
+
+def truth_table(members: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(rule_id, entity) of closures restricted to the entities of a corpus, without the rules that hold all of them or none."""
+    ids = corpus.select("entity").distinct()
+    total = ids.agg(F.count("*")).scalar()
+    own = members.select("rule_id", "entity").distinct().join(ids, "entity", "left_semi")
+    open_ = own.groupBy("rule_id").agg(F.count("*").alias("n")).where(F.col("n") < total).select("rule_id")
+    return own.join(open_, "rule_id", "left_semi").select("rule_id", "entity")
+
+
+def label_classes(labels: DataFrame, ids: DataFrame, classes: dict[str, DataFrame]) -> DataFrame:
+    """labels (..., qid) with the class id of each classification (entity, class_id) by name; a blank or null label has null classes.
+
+    An id that isn't known is an error, as it would silently lose labels.
+    """
+    known = ids.select("qid", "entity").distinct()
+    out = labels.withColumn("qid", F.nullif(F.trim("qid"), F.lit(""))).join(known, "qid", "left")
+    wrong = F.raise_error(F.concat(F.lit("unknown label: "), F.col("qid"))).cast("long")
+    out = out.withColumn("entity", F.when(F.col("qid").isNotNull() & F.col("entity").isNull(), wrong).otherwise(F.col("entity")))
+    for name, c in classes.items():
+        out = out.join(c.select("entity", F.col("class_id").alias(name)), "entity", "left")
+    return out.drop("entity")

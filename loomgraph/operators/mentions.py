@@ -6,11 +6,12 @@ surface and combination of classes, of which there are few.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.ranks import top_k
+
+
 def prior(dictionary: DataFrame) -> DataFrame:
     """(surface_id, best): the candidate with the highest count; ties go to the smaller entity."""
     return dictionary.groupBy("surface_id").agg(F.max(F.struct("cnt", (-F.col("entity")).alias("neg"))).alias("b")).select("surface_id", (-F.col("b.neg")).alias("best"))
@@ -103,15 +104,8 @@ def with_share(dictionary: DataFrame) -> DataFrame:
 
 def ambiguity(out: DataFrame, method: str, label: DataFrame, top: int = 6) -> DataFrame:
     """(label, n, surface_id, surface_n, k): where the method fails, by the truth's label: the total and the most frequent surfaces."""
-    from pyspark.sql.window import Window as W
-
     bad = out.where(~F.col("obvious") & ~F.col(method)).join(label, "entity")
     by = bad.groupBy("label", "surface_id").agg(F.sum("n").alias("surface_n"))
     total = by.groupBy("label").agg(F.sum("surface_n").alias("n"))
-    ranked = by.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy(F.desc("surface_n"), "surface_id"))).where(F.col("k") <= top)
-    return ranked.join(total, "label").select("label", "n", "surface_id", "surface_n", "k")
-
-
-def combinations(values: list[list[int]]) -> list[tuple[int, ...]]:
-    """All combinations of the classes of several oracles."""
-    return list(product(*values))
+    ranked = top_k(by, ["label"], [F.desc("surface_n"), F.col("surface_id")], top, "surface_id")
+    return ranked.join(total, "label").select("label", "n", "surface_id", "surface_n", F.col("k_no").alias("k"))

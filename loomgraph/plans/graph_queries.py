@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loomgraph import storage
 from loomgraph.operators import nested
+from loomgraph.operators import sequences as S
 from loomgraph.operators.graph import Rule, TypeGraph
+from loomgraph.operators.search import compact
 from loomgraph.plans import model as M
 from loomgraph.plans.tables import table
 
@@ -144,6 +146,14 @@ up AS (SELECT DISTINCT child, parent FROM edges WHERE prop = 'P131'),
 a AS (SELECT DISTINCT o.source, u.parent AS entity FROM one o JOIN up u ON u.child = o.entity),
 b AS (SELECT DISTINCT a.source, u.parent AS entity FROM a JOIN up u ON u.child = a.entity) SELECT * FROM a UNION SELECT * FROM b""",
 )(lambda s, d: (lambda g: g.path_reach(M.entities(s, d).select("entity"), [("P131", 1), ("P131", 2)]))(_graph(s, d)))
-query("delta_encode", f"WITH {M.EDGES}, n AS (SELECT child, count(*) AS k FROM edges WHERE prop = 'P31' GROUP BY child) SELECT child AS entity, child - lag(child, 1, CAST(0 AS BIGINT)) OVER (PARTITION BY child // 1000 ORDER BY child) AS delta, k FROM n")(
-    lambda s, d: M.edges(s, d).where("prop = 'P31'").groupBy("child").agg(F.count("*").alias("k")).selectExpr("child as entity", "child - lag(child, 1, 0L) over (partition by child div 1000 order by child) as delta", "k")
+_DEGREES = f"WITH {M.EDGES}, n AS (SELECT child AS entity, count(*) AS k FROM edges WHERE prop = 'P31' GROUP BY child)"
+
+
+def _degrees(s, d) -> DataFrame:
+    return storage.cut(M.edges(s, d).where("prop = 'P31'").groupBy(F.col("child").alias("entity")).agg(F.count("*").alias("k")), "degrees")
+
+
+query("delta_encode", _DEGREES + " SELECT entity, entity - lag(entity, 1, CAST(0 AS BIGINT)) OVER (ORDER BY entity) AS delta, k FROM n")(lambda s, d: S.delta_encode(_degrees(s, d), "entity").select("entity", "delta", "k"))
+query("delta_decode", _DEGREES + " SELECT row_number() OVER (ORDER BY entity) - 1 AS place, entity AS number FROM n")(
+    lambda s, d: (lambda x: S.delta_decode(x.join(compact(x.select("entity")), "entity").select(F.col("dense").alias("place"), "delta"), "place").select("place", "number"))(storage.cut(S.delta_encode(_degrees(s, d), "entity"), "deltas"))
 )

@@ -12,6 +12,7 @@ from loomgraph.functions import text as X
 from loomgraph.operators import metrics as E
 from loomgraph.operators import sequences as S
 from loomgraph.operators.links import resolve
+from loomgraph.operators.ranks import rank_in_order, top_k
 from loomgraph.plans import model as M
 from loomgraph.plans.tables import table
 
@@ -154,8 +155,24 @@ def _tokens(s, d) -> DataFrame:
 
 _T = f"WITH {_TOKENS}"
 query("tokenize_text", _T + " SELECT article_id, pos, token FROM tokens")(lambda s, d: _tokens(s, d).select("article_id", "pos", "token"))
-query("retokenize_labels", _T + r", w AS (SELECT article_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS word_no, unnest(x) AS word FROM (SELECT article_id, string_split(doc, ' ') AS x FROM pages)) SELECT article_id, word_no, CAST(generate_subscripts(y, 1) - 1 AS INTEGER) AS k, unnest(y) AS token, regexp_matches(word, '^\p{Lu}') AS label FROM (SELECT *, regexp_extract_all(word, '[\p{L}\p{M}]+(?:''[\p{L}\p{M}]+)?|\p{Nd}+|[^\p{L}\p{M}\p{Nd}\p{Z}\t\n\v\f\r]') AS y FROM w)")(
-    lambda s, d: M.pages(s, d).select("article_id", F.posexplode(F.split("doc", " ")).alias("word_no", "word")).select("article_id", "word_no", F.posexplode(X.tokens(F.col("word"))).alias("k", "token"), X.uppercase(F.col("word")).alias("label"))
+_PARTS = r"""pieces AS (SELECT article_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(x) AS token FROM (SELECT article_id, regexp_extract_all(doc, '[\p{L}\p{M}]+(?:''[\p{L}\p{M}]+)?|\p{Nd}+|[\p{Z}\t\n\v\f\r]+|[^\p{L}\p{M}\p{Nd}\p{Z}\t\n\v\f\r]') AS x FROM pages)),
+ended AS MATERIALIZED (SELECT *, CAST(sum(length(token)) OVER (PARTITION BY article_id ORDER BY pos) AS BIGINT) AS "end" FROM pieces),
+old AS (SELECT article_id, word, CAST(sum(length(word) + 1) OVER (PARTITION BY article_id ORDER BY n) - 1 AS BIGINT) AS "end" FROM (SELECT article_id, generate_subscripts(x, 1) AS n, unnest(x) AS word FROM (SELECT article_id, string_split(doc, ' ') AS x FROM pages)))"""
+
+
+def _pieces(s, d) -> DataFrame:
+    """(article_id, pos, token, end): tokens and the blanks between them, so that their lengths add up to places in the text."""
+    own = M.pages(s, d).select("article_id", F.posexplode(X.pieces(F.col("doc"))).alias("pos", "token"))
+    return S.offsets(own, "article_id", "pos", "token").drop("start")
+
+
+def _old_words(s, d) -> DataFrame:
+    words = M.pages(s, d).select("article_id", F.posexplode(F.split("doc", " ")).alias("pos", "word")).withColumn("padded", F.concat("word", F.lit(" ")))
+    return S.offsets(words, "article_id", "pos", "padded").select("article_id", "start", (F.col("start") + F.length("word")).alias("end"), X.uppercase(F.col("word")).alias("label"))
+
+
+query("retokenize_labels", _P + ", " + _PARTS + r""" SELECT e.article_id, e.pos, e.token, regexp_matches(o.word, '^\p{Lu}') AS label FROM ended e LEFT JOIN old o ON o.article_id = e.article_id AND o."end" - length(o.word) < e."end" AND e."end" <= o."end" WHERE NOT regexp_full_match(e.token, '[\p{Z}\t\n\v\f\r]+')""")(
+    lambda s, d: S.retokenize(_old_words(s, d), _pieces(s, d).where(~F.col("token").rlike(r"^[\p{Z}\s]+$")), "article_id").select("article_id", "pos", "token", "label")
 )
 _FEATURES = r"substr(token, greatest(length(token) - 2, 1)) AS suffix, substr(token, 1, 3) AS prefix, regexp_matches(token, '^\p{Nd}+$') AS digit, CAST(length(regexp_replace(token, '[^!-/:-@\[-`{-~]', '', 'g')) AS INTEGER) AS punctuation_count, regexp_matches(token, '^\p{Lu}') AS uppercase"
 query("token_features", _T + f" SELECT DISTINCT token, {_FEATURES} FROM tokens")(lambda s, d: _tokens(s, d).select("token").distinct().select("token", *[c.alias(n) for n, c in X.token_features(F.col("token")).items()]))
@@ -165,28 +182,49 @@ _VOCAB = "vocab AS (SELECT token, count(*) AS n, min((article_id, pos)) AS f FRO
 def _vocab(s, d) -> DataFrame:
     """(token, n, id): by falling count, ties by first occurrence; 0 is kept for unknown words. Ranks are made over distinct tokens."""
     v = _tokens(s, d).groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("article_id", "pos")).alias("f"))
-    return v.select("token", "n", F.row_number().over(W.orderBy(F.desc("n"), "f")).alias("id"))
+    v = storage.cut(v.select("token", "n", F.col("f.article_id").alias("article_id"), F.col("f.pos").alias("pos")), "vocabulary")
+    return rank_in_order(v, [], [-F.col("n")], "article_id", ["pos"], 64).select("token", "n", F.col("rank").cast("int").alias("id"))
 
 
 query("vocab_build", _T + f", {_VOCAB} SELECT * FROM ranked")(_vocab)
-query("vocab_topk", _T + f", {_VOCAB} SELECT * FROM ranked WHERE id <= 1000")(lambda s, d: _tokens(s, d).groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("article_id", "pos")).alias("f")).orderBy(F.desc("n"), "f").limit(1000).select("token", "n", F.row_number().over(W.orderBy(F.desc("n"), "f")).alias("id")))
-query("feature_vocabs", _T + ", long AS (SELECT 'word' AS feature, token AS value FROM tokens UNION ALL SELECT 'suffix', substr(token, greatest(length(token) - 2, 1)) FROM tokens UNION ALL SELECT 'prefix', substr(token, 1, 3) FROM tokens) SELECT feature, value, count(*) AS n FROM long GROUP BY ALL")(
-    lambda s, d: _tokens(s, d).select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in (("word", F.col("token")), ("suffix", F.substring("token", -3, 3)), ("prefix", F.substring("token", 1, 3)))])).alias("x")).groupBy("x.feature", "x.value").agg(F.count("*").alias("n"))
-)
+query("vocab_topk", _T + f", {_VOCAB} SELECT * FROM ranked WHERE id <= 1000")(lambda s, d: _vocab(s, d).where("id <= 1000"))
+_FEATURE_ROWS = ", long AS (SELECT 'word' AS feature, token AS value, article_id, pos FROM tokens UNION ALL SELECT 'suffix', substr(token, greatest(length(token) - 2, 1)), article_id, pos FROM tokens UNION ALL SELECT 'prefix', substr(token, 1, 3), article_id, pos FROM tokens)"
+
+
+def _feature_vocabs(s, d, most: int) -> DataFrame:
+    """(feature, id, value, n): by feature the most frequent values, ties by first occurrence; 0 stands for all unknown ones."""
+    parts = (("word", F.col("token")), ("suffix", F.substring("token", -3, 3)), ("prefix", F.substring("token", 1, 3)))
+    long = _tokens(s, d).select("article_id", "pos", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in parts])).alias("x"))
+    v = long.groupBy("x.feature", "x.value").agg(F.count("*").alias("n"), F.min(F.struct("article_id", "pos")).alias("f"))
+    few = top_k(v, ["feature"], [F.desc("n"), F.col("f"), F.col("value")], most, "value").select("feature", F.col("k_no").alias("id"), "value", "n")
+    unknown = few.select("feature").distinct().select("feature", F.lit(0).alias("id"), F.lit("<UNK>").alias("value"), F.lit(0).cast("long").alias("n"))
+    return few.unionByName(unknown)
+
+
+query("feature_vocabs", _T + _FEATURE_ROWS + ", v AS (SELECT feature, value, count(*) AS n, min((article_id, pos)) AS f FROM long GROUP BY ALL), r AS (SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY n DESC, f, value) AS INTEGER) AS id, value, n FROM v) SELECT * FROM r WHERE id <= 10000 UNION ALL SELECT DISTINCT feature, 0, '<UNK>', 0 FROM v")(lambda s, d: _feature_vocabs(s, d, 10_000))
 
 # -- sequences -------------------------------------------------------------------------------------------------------------------
 
-_GROUPS = r", marked AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY article_id ORDER BY pos) > 5 OR lag(pos) OVER (PARTITION BY article_id ORDER BY pos) IS NULL THEN 1 ELSE 0 END AS fresh FROM tokens WHERE regexp_matches(token, '^\p{Lu}')), groups AS MATERIALIZED (SELECT article_id, pos, token, CAST(sum(fresh) OVER (PARTITION BY article_id ORDER BY pos) AS BIGINT) AS group_no FROM marked)"
+_LINED = M.PAGES + r", token_lines AS MATERIALIZED (SELECT article_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(list_transform(x, lambda t: CASE WHEN t[1] IN (chr(10), chr(13)) THEN '' ELSE t END)) AS token FROM (SELECT article_id, regexp_extract_all(doc, '[\p{L}\p{M}]+(?:''[\p{L}\p{M}]+)?|\p{Nd}+|[^\p{L}\p{M}\p{Nd}\p{Z}\t\n\v\f\r]|\r?\n[ \t]*\r?\n') AS x FROM pages)), lined AS (SELECT *, sum(CASE WHEN token = '' THEN 1 ELSE 0 END) OVER (PARTITION BY article_id ORDER BY pos) AS para FROM token_lines)"
+_GROUPS = r", marked AS (SELECT *, CASE WHEN lag(pos) OVER w IS NULL OR pos - lag(pos) OVER w > 5 OR para <> lag(para) OVER w THEN 1 ELSE 0 END AS fresh FROM lined WHERE regexp_matches(token, '^\p{Lu}') WINDOW w AS (PARTITION BY article_id ORDER BY pos)), groups AS MATERIALIZED (SELECT article_id, pos, token, CAST(sum(fresh) OVER (PARTITION BY article_id ORDER BY pos) AS BIGINT) AS group_no FROM marked)"
+_L = f"WITH {_LINED}"
+
+
+def _token_lines(s, d) -> DataFrame:
+    """(article_id, pos, token): tokens as lines of a file, with an empty one where a blank line stands in the text."""
+    return M.pages(s, d).select("article_id", F.posexplode(X.token_lines(F.col("doc"))).alias("pos", "token"))
 
 
 def _gap_groups(s, d) -> DataFrame:
-    return S.gap_groups(_tokens(s, d).drop("wiki"), "article_id", "pos", X.uppercase(F.col("token")), 5)
+    return S.gap_groups(_token_lines(s, d), "article_id", "pos", X.uppercase(F.col("token")), 5, F.col("token") == "")
 
 
-query("gap_groups", _T + _GROUPS + " SELECT * FROM groups")(_gap_groups)
-query("context_windows", _T + _GROUPS + ", bounds AS (SELECT article_id, group_no, min(pos) - 5 AS lo, max(pos) + 5 AS hi FROM groups GROUP BY ALL) SELECT t.article_id, t.pos, token, group_no FROM tokens t JOIN bounds b ON b.article_id = t.article_id AND t.pos >= lo AND t.pos < hi")(
-    lambda s, d: S.context(_tokens(s, d).drop("wiki"), _gap_groups(s, d), "article_id", "pos", 5)
-)
+query("gap_groups", _L + _GROUPS + " SELECT * FROM groups")(_gap_groups)
+query(
+    "context_windows",
+    _L + _GROUPS + ", bounds AS (SELECT article_id, group_no, min(pos) AS f, max(pos) AS l FROM groups GROUP BY ALL), cut AS (SELECT b.*, greatest(f - 5, 0, coalesce((SELECT max(pos) FROM token_lines t WHERE t.article_id = b.article_id AND token = '' AND pos < f), 0)) AS lo, "
+    "least(l + 5, coalesce((SELECT min(pos) FROM token_lines t WHERE t.article_id = b.article_id AND token = '' AND pos > l), l + 5)) AS hi FROM bounds b) SELECT t.article_id, t.pos, token, group_no FROM token_lines t JOIN cut b ON b.article_id = t.article_id AND t.pos >= lo AND t.pos < hi",
+)(lambda s, d: (lambda lines: S.context(lines, S.gap_groups(lines, "article_id", "pos", X.uppercase(F.col("token")), 5, F.col("token") == ""), "article_id", "pos", 5, F.col("token") == "").select("article_id", "pos", "token", "group_no"))(storage.cut(_token_lines(s, d), "token-lines")))
 query("sliding_windows", _T + " SELECT article_id, pos, array_to_string(w, ' ') AS win FROM (SELECT article_id, pos, list(token) OVER (PARTITION BY article_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS w FROM tokens) WHERE len(w) = 10")(
     lambda s, d: S.sliding(_tokens(s, d), "article_id", "pos", "token", 5).select("article_id", "pos", F.array_join("window", " ").alias("win"))
 )
@@ -249,4 +287,12 @@ query("topk_tags", f"WITH {_LOGITS}, u AS (SELECT doc_id, CAST(generate_subscrip
 query("prob_threshold", f"WITH {_LOGITS}, u AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS place, unnest(p) AS score FROM probs) SELECT doc_id, place FROM u WHERE score > 0.1")(
     lambda s, d: _logits(s, d).select("doc_id", F.posexplode(E.softmax(F.col("z"))).alias("place", "score")).where("score > 0.1").select("doc_id", "place")
 )
-query("viterbi_decode")(lambda s, d: E.viterbi_decode(_logits(s, d).select((F.col("doc_id") % 50).alias("doc"), F.col("doc_id").alias("pos"), "z"), "doc", "pos", "z", np.eye(3) * 0.5))
+
+
+def _token_scores(s, d) -> DataFrame:
+    """(article_id, pos, z): three scores of each token, made from its form; what they say doesn't matter here."""
+    n = F.length("token")
+    return _tokens(s, d).select("article_id", "pos", F.array((n % 7).cast("double"), (n % 5).cast("double"), X.uppercase(F.col("token")).cast("double")).alias("z"))
+
+
+query("viterbi_decode")(lambda s, d: E.viterbi_decode(_token_scores(s, d), "article_id", "pos", "z", np.eye(3) * 0.5))

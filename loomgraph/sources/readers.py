@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from loomgraph.functions import text as X
 from loomgraph.operators import nested
@@ -53,19 +54,46 @@ def names(spark: SparkSession, path: str, prefix: str, most: int) -> DataFrame:
     return raw.where(F.col("t").startswith(prefix) & (F.col("entity") < most)).select("entity", F.expr(f"substring(t, {len(prefix) + 1})").alias("name"))
 
 
-def labelled_sequences(spark: SparkSession, path: str, comment: str = "#", ignore: str | None = None) -> DataFrame:
-    """(seq, pos, token, label) of tab-separated lines; blank and comment lines end a sequence, the ignored label becomes null, sequences without labels go.
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, k, line): the lines of text files with their order: blocks of a file by their start, the lines of a block by k.
 
-    A file is a sequence of lines whose order matters, so that each file is one row here: files are meant to be shards.
+    A block is what one task reads, so that nothing is gathered to number lines.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    from loomgraph.operators.sequences import segments
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("line"))
+
+
+def line_count(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).count()
+
+
+def labelled_sequences(spark: SparkSession, path: str, comment: str = "#", ignore: str | None = None, token: int = 0, label: int = 1) -> DataFrame:
+    """(seq, pos, token, label) of tab-separated lines; blank and comment lines end a sequence, the ignored label becomes null, sequences without labels go.
 
-    rows = segments(whole, "file", "pos", (F.trim("line") == "") | F.startswith("line", F.lit(comment)))
+    token and label are column numbers; a line without the column has no label. Separators are counted in each block, blocks are summed up for each file:
+    tasks hold a block, however long the file is.
+    """
+    lines = ordered_lines(spark, path)
+    ends = (F.trim("line") == "") | F.startswith("line", F.lit(comment))
+    lines = lines.withColumn("ends", ends.cast("int"))
+    blocks = lines.groupBy("file", "block").agg(F.sum("ends").alias("n"))
+    before = blocks.select("file", "block", (F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
+    own = F.sum("ends").over(W.partitionBy("file", "block").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
+    rows = lines.withColumn("own", own).join(before, ["file", "block"]).where("ends = 0")
     parts = F.split("line", "\t")
-    label = F.try_element_at(parts, F.lit(2))
-    rows = rows.select(F.concat_ws("#", "file", "segment").alias("seq"), "pos", F.get(parts, F.lit(0)).alias("token"), F.when(label != (ignore or ""), label).alias("label"))
-    return rows.join(rows.where("label is not null").select("seq").distinct(), "seq", "left_semi")
+    name = F.nullif(F.get(parts, F.lit(label)), F.lit(""))
+    rows = rows.select(F.concat_ws("#", "file", (F.col("before") + F.col("own")).cast("string")).alias("seq"), "block", "k", F.get(parts, F.lit(token)).alias("token"), F.when(name != (ignore or ""), name).alias("label"))
+    rows = rows.withColumn("pos", (F.row_number().over(W.partitionBy("seq").orderBy("block", "k")) - 1).cast("int"))
+    return rows.withColumn("any", F.max("label").over(W.partitionBy("seq"))).where("any is not null").select("seq", "pos", "token", "label")
+
+
+def relation(spark: SparkSession, path: str, prop: str) -> DataFrame:
+    """(child, parent, pos) of one property of written relations; only its folder is read."""
+    return spark.read.parquet(path).where(F.col("prop") == prop).select("child", "parent", "pos")
+
+
+def attribute(spark: SparkSession, path: str, prop: str) -> DataFrame:
+    """(entity, year) of one property of written dates (prop, entity, year, pos): the first of each entity."""
+    return spark.read.parquet(path).where(F.col("prop") == prop).groupBy("entity").agg(F.min_by("year", "pos").alias("year"))
 
 
 def page_entities(lines: DataFrame, column: str = "value") -> DataFrame:
