@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from loomgraph import storage
 
@@ -95,6 +96,7 @@ class TypeGraph:
             members.append(front)
             if len(members) > 4:  # keeps the number of anti-joins bounded
                 merged = storage.cut(_union(members), "members")
+                storage.drop(*(m for m in members if m is not front))
                 members = [merged]
         return _union(members)
 
@@ -145,6 +147,61 @@ class TypeGraph:
         return cursor
 
 
+class ClosureCache:
+    """Closures of a graph kept by relations, seeds and steps, for rules of fewer than 100 seeds. Of more than `most` the half used least goes."""
+
+    def __init__(self, graph: TypeGraph, most: int = 200):
+        self.graph, self.most, self.kept, self.used = graph, most, {}, {}
+
+    def satisfy(self, relations: list[str], seeds: list[int], max_steps: int | None = None) -> DataFrame:
+        key = (tuple(sorted(relations)), tuple(sorted(seeds)), max_steps)
+        if len(seeds) >= 100:
+            return self.graph.satisfy(relations, seeds, max_steps)
+        if key not in self.kept:
+            if len(self.kept) >= self.most:
+                for old in sorted(self.kept, key=self.used.__getitem__)[: -(-self.most // 2)]:
+                    storage.drop(self.kept.pop(old))
+                    del self.used[old]
+            self.kept[key], self.used[key] = storage.cut(self.graph.satisfy(relations, seeds, max_steps), "closure"), 0
+        self.used[key] += 1
+        return self.kept[key]
+
+    def forbid(self, bad_nodes: DataFrame | None, bad_pairs: DataFrame | None) -> None:
+        """Another blacklist: nothing kept holds any more."""
+        self.graph = TypeGraph(self.graph.edges, bad_nodes, bad_pairs)
+        storage.drop(*self.kept.values())
+        self.kept, self.used = {}, {}
+
+
+def describe_connection(graph: TypeGraph, ids: DataFrame, names: DataFrame, source: str, target: str, relations: list[str]) -> str | None:
+    """A shortest way from source to target, ids or titles, as names joined by arrows; None if there is none. ids (entity, qid), names (entity, name)."""
+
+    def number(what: str) -> int:
+        hit = ids.where(F.col("qid") == what).select("entity").union(names.where(F.col("name") == what).select("entity")).agg(F.min("entity")).first()[0]
+        if hit is None:
+            raise ValueError(f"unknown: {what}")
+        return int(hit)
+
+    a, z = number(source), number(target)
+    found = graph.connection_path(relations, graph.edges.sparkSession.createDataFrame([(a,)], "entity long"), z).first()
+    if found is None:
+        return None
+    steps = list(found["path"])
+    known = {str(r["entity"]): r["name"] for r in names.where(F.col("entity").isin([int(x) for x in steps[::2]])).groupBy("entity").agg(F.min("name").alias("name")).collect()}  # one way's nodes
+    return "".join(known.get(x, f"#{x}") if k % 2 == 0 else f" -{x}-> " for k, x in enumerate(steps))
+
+
+def without_deleted(edges: DataFrame, value: str = "parent") -> DataFrame:
+    """edges (prop, child, value, pos) without negative values, their positions made dense again."""
+    w = W.partitionBy("prop", "child").orderBy("pos")
+    return edges.where(F.col(value) >= 0).withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+
+
+def from_lists(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, pos, value) of an array column; rows whose array is null or empty have none."""
+    return rows.select(key, F.posexplode(values).alias("pos", "value"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -48,11 +48,14 @@ def extend(rows: DataFrame, alternative: Column, graph: TypeGraph, paths: list[t
     paths: (steps, promotes); where a path doesn't promote, the alternative must be high enough (keep_high). Deleted instead if the
     alternative counts at most keep_min. Reads old values only. Candidates are joined to what they reach, not to each other.
     """
-    starts = rows.where("entity is not null").select("entity").distinct()
+    starts = storage.cut(rows.where("entity is not null").select("entity").distinct(), "starts")
+    ends = rows.where(alternative & F.col("entity").isNotNull()).select("entity").distinct()
     reach = None
-    for steps, promotes in paths:
+    for steps, promotes in relevant(paths, graph, ends):
         r = graph.path_reach(starts, steps).select(F.col("source").alias("entity"), F.col("entity").alias("other"), F.lit(promotes).alias("promotes"))
         reach = r if reach is None else reach.unionByName(r)
+    if reach is None:
+        return rows
     reach = reach.where("entity <> other").groupBy("entity", "other").agg(F.max("promotes").alias("promotes"))
     alt = rows.where(alternative & F.col("entity").isNotNull()).groupBy("surface_id", F.col("entity").alias("other")).agg(F.max("cnt").alias("other_cnt"))
     hits = rows.where("entity is not null").select("surface_id", "old_entity", "entity", "cnt").join(reach, "entity").join(alt, ["surface_id", "other"])
@@ -63,6 +66,15 @@ def extend(rows: DataFrame, alternative: Column, graph: TypeGraph, paths: list[t
     return out.withColumn("entity", F.when(F.col("best").isNotNull(), value).otherwise(F.col("entity"))).drop("best")
 
 
+def relevant(paths: list, graph: TypeGraph, ends: DataFrame) -> list:
+    """The paths that can lead to one of the ends (entity): all their relations have edges, and some end is a value of the last. Loses nothing."""
+    have = {r["prop"] for r in graph.edges.select("prop").distinct().collect()}  # as many as there are properties
+    lasts = sorted({steps[-1][0] for steps, _ in paths} & have)
+    hit = graph.edges.where(F.col("prop").isin(lasts)).select("prop", F.col("parent").alias("entity")).join(ends, "entity", "left_semi").select("prop").distinct()
+    reached = {r["prop"] for r in hit.collect()} if lasts else set()
+    return [(steps, promotes) for steps, promotes in paths if steps[-1][0] in reached and all(r.partition(".")[0] in have for r, _ in steps)]
+
+
 def drop(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.withColumn("entity", F.when(~F.coalesce(condition, F.lit(False)), F.col("entity")))
 
@@ -115,10 +127,16 @@ def fix_pass(dictionary: DataFrame, graph: TypeGraph, masks: dict[str, DataFrame
     rows = extend(stage(rows, "people"), ~F.col("people"), graph, paths)
     rows = drop(flag(rows, masks["anchored"], "anchored"), unchanged() & ~F.col("anchored"))
     rows = promote(stage(rows, "people", "kin"), F.col("people"), F.col("kin"))
+    return promote_places(rows, masks).select("surface_id", "old_entity", "cnt", "entity")
+
+
+def promote_places(rows: DataFrame, masks: dict[str, DataFrame]) -> DataFrame:
+    """Rows in no protected class, below 100 and unchanged since the pass began: promoted to cardinal directions, then countries, then political bodies."""
     for name in ("cardinal", "country", "political"):
-        rows = stage(rows, "protected", name)
+        rows = storage.cut(rows.select("surface_id", "old_entity", "cnt", "entity"), "stage")
+        rows = flag(flag(rows, masks["protected"], "protected"), masks[name], name)
         rows = promote(rows, ~F.col("protected") & (F.col("cnt") < 100) & unchanged(), F.col(name))
-    return rows.select("surface_id", "old_entity", "cnt", "entity")
+    return rows
 
 
 def iterate(dictionary: DataFrame, one_pass, steps: int = 3) -> tuple[DataFrame, DataFrame]:

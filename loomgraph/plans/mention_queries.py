@@ -236,13 +236,29 @@ def _lengths(s, d) -> DataFrame:
     return table(s, d, "surface_dictionary").groupBy(F.col("trie_index").alias("surface_id")).agg(F.min(F.length("surface")).alias("length"))
 
 
-query("short_surface_drop", f"{_D}, {LENGTHS} SELECT d.surface_id, d.entity AS old_entity, CASE WHEN length < 6 THEN NULL ELSE d.entity END AS entity FROM dictionary d JOIN lengths USING (surface_id)")(
-    lambda s, d: L.drop(L.start(M.dictionary(s, d)).join(_lengths(s, d), "surface_id"), F.col("length") < 6).select("surface_id", "old_entity", "entity")
-)
+def _short(rows: DataFrame) -> F.Column:
+    """What the length rule deletes: surfaces of one character, short ones of sports and the like, and all episodes."""
+    return (F.col("length") < 2) | (F.col("short_lived") & (F.col("length") <= 2)) | F.col("episode")
+
+
+@query("short_surface_drop", f"WITH {M.EDGES}, {KINDS}, {M.DICTIONARY}, {LENGTHS} SELECT d.surface_id, d.entity AS old_entity, CASE WHEN length < 2 OR (length <= 2 AND d.entity IN (SELECT entity FROM kinds WHERE kind = 'sport')) OR d.entity IN (SELECT entity FROM kinds WHERE kind = 'taxon rank') THEN NULL ELSE d.entity END AS entity FROM dictionary d LEFT JOIN lengths USING (surface_id)")
+def short_surface_drop(s, d) -> DataFrame:
+    e = _edges(s, d)
+    rows = L.start(M.dictionary(s, d)).join(_lengths(s, d), "surface_id", "left")
+    rows = L.flag(L.flag(rows, _kind(s, d, e, "sport"), "short_lived"), _kind(s, d, e, "taxon rank"), "episode")
+    return L.drop(rows, _short(rows)).select("surface_id", "old_entity", "entity")
+
+
 query("orphan_candidate_drop", f"WITH {M.EDGES}, {M.DICTIONARY} SELECT surface_id, entity AS old_entity, CASE WHEN entity IN (SELECT child FROM edges WHERE prop IN ('P31', 'P279', 'P361', 'P131', 'P171')) THEN entity END AS entity FROM dictionary")(
     lambda s, d: L.drop(L.flag(L.start(M.dictionary(s, d)), M.edges(s, d).where(F.col("prop").isin(STRUCTURAL)).select(F.col("child").alias("entity")), "anchored"), L.unchanged() & ~F.col("anchored")).select("surface_id", "old_entity", "entity")
 )
-PATHS = [([("P31", 1)], False), ([("P131", 1)], False), ([("P279", 2)], True)]
+# fixed values: the typed paths by which a candidate may move, (relation, hops) steps and whether the path promotes whatever the counts are;
+# relations that the edges lack (here P1269, P39, P179, P276, P301, P360 and those of categories) are passed over
+PATHS = [
+    ([("P31", 1)], False), ([("P31", 1), ("P279", 2)], False), ([("P31", 1), ("P1269", 1)], False), ([("P279", 3)], False), ([("P106", 1)], True), ([("P39", 1)], True),
+    ([("P361", 1), ("P31", 1)], False), ([("P179", 1), ("P31", 1)], False), ([("P179", 1), ("P276", 1)], False), ([("P131", 1)], False), ([("P17", 1)], False),
+    ([("category", 1), ("P301", 1)], False), ([("category", 8), ("fixed_point", 1)], False), ([("category", 1), ("fixed_point", 1), ("P360", 1)], False), ([("P360", 1), ("P279", 2)], False),
+]
 
 
 def _extended(s, d) -> DataFrame:
@@ -251,8 +267,11 @@ def _extended(s, d) -> DataFrame:
     return L.extend(rows, ~F.col("people"), TypeGraph(e), PATHS).select("surface_id", "old_entity", "cnt", "entity")
 
 
-EXTENDED = f"""{M.EDGES}, {KINDS}, {M.DICTIONARY}, up AS (SELECT DISTINCT child, parent FROM edges WHERE prop = 'P279'),
-reach AS MATERIALIZED (SELECT a, o, max(p) AS p FROM (SELECT child AS a, parent AS o, false AS p FROM edges WHERE prop IN ('P31', 'P131') UNION ALL SELECT child, parent, true FROM up UNION ALL SELECT x.child, y.parent, true FROM up x JOIN up y ON y.child = x.parent) WHERE a <> o GROUP BY a, o),
+REACH = """rel AS MATERIALIZED (SELECT DISTINCT prop, child AS a, parent AS o FROM edges), c1 AS MATERIALIZED (SELECT a, o FROM rel WHERE prop = 'P279'), c2 AS MATERIALIZED (SELECT DISTINCT x.a, y.o FROM c1 x JOIN c1 y ON y.a = x.o),
+c3 AS (SELECT DISTINCT x.a, y.o FROM c2 x JOIN c1 y ON y.a = x.o), up AS (SELECT * FROM c1 UNION SELECT * FROM c2),
+reach AS MATERIALIZED (SELECT a, o, max(p) AS p FROM (SELECT a, o, prop = 'P106' AS p FROM rel WHERE prop IN ('P31', 'P131', 'P17', 'P106') UNION ALL SELECT a, o, false FROM up UNION ALL SELECT a, o, false FROM c3
+    UNION ALL SELECT r.a, u.o, false FROM rel r JOIN up u ON u.a = r.o WHERE r.prop = 'P31' UNION ALL SELECT x.a, y.o, false FROM rel x JOIN rel y ON y.a = x.o WHERE x.prop = 'P361' AND y.prop = 'P31') WHERE a <> o GROUP BY a, o)"""
+EXTENDED = f"""{M.EDGES}, {KINDS}, {M.DICTIONARY}, {REACH},
 hits AS (SELECT j.surface_id, j.entity, o.entity AS other, o.cnt FROM dictionary j JOIN reach ON a = j.entity JOIN dictionary o ON o.surface_id = j.surface_id AND o.entity = reach.o
     WHERE o.entity NOT IN (SELECT entity FROM kinds WHERE kind = 'human') AND (p OR o.cnt > j.cnt OR (o.cnt > 50 AND o.cnt >= 0.8 * j.cnt))),
 best AS (SELECT surface_id, entity, first(other ORDER BY cnt DESC, other) AS b, max(cnt) AS bc FROM hits GROUP BY ALL),
@@ -290,8 +309,7 @@ s0 AS MATERIALIZED (SELECT d.surface_id, d.entity AS old_entity, d.cnt, d.entity
 {_sql_promote("s0", "s1", _in("award"), _in("human"))},
 {_sql_promote("s1", "s2", f"{_in('film')} AND {_SAME}", f"NOT {_in('film')}")},
 s3 AS MATERIALIZED (SELECT surface_id, old_entity, cnt, length, CASE WHEN coalesce(length < 2, false) OR ({_in("sport")} AND coalesce(length <= 2, false)) OR {_in("taxon rank")} THEN NULL ELSE entity END AS entity FROM s2),
-up AS (SELECT DISTINCT child, parent FROM edges WHERE prop = 'P279'),
-reach AS MATERIALIZED (SELECT a, o, max(p) AS p FROM (SELECT child AS a, parent AS o, false AS p FROM edges WHERE prop IN ('P31', 'P131') UNION ALL SELECT child, parent, true FROM up UNION ALL SELECT x.child, y.parent, true FROM up x JOIN up y ON y.child = x.parent) WHERE a <> o GROUP BY a, o),
+{REACH},
 alts AS (SELECT surface_id, entity, max(cnt) AS cnt FROM s3 WHERE entity IS NOT NULL AND NOT {_in("human")} GROUP BY ALL),
 best AS (SELECT j.surface_id, j.old_entity, first(o.entity ORDER BY o.cnt DESC, o.entity) AS b, max(o.cnt) AS bc FROM s3 j JOIN reach ON a = j.entity JOIN alts o ON o.surface_id = j.surface_id AND o.entity = reach.o WHERE p OR o.cnt > j.cnt OR (o.cnt > 50 AND o.cnt >= 0.8 * j.cnt) GROUP BY ALL),
 s4 AS (SELECT x.surface_id, x.old_entity, cnt, length, CASE WHEN b IS NULL THEN entity WHEN bc > 5 THEN b END AS entity FROM s3 x LEFT JOIN best USING (surface_id, old_entity)),
@@ -300,9 +318,16 @@ s5 AS MATERIALIZED (SELECT surface_id, old_entity, cnt, length, CASE WHEN {_SAME
 {_sql_promote("s6", "s7", f"NOT {_in('country', 'city', 'language')} AND cnt < 100 AND {_SAME}", _in("river"))},
 {_sql_promote("s7", "s8", f"NOT {_in('country', 'city', 'language')} AND cnt < 100 AND {_SAME}", _in("country"))},
 {_sql_promote("s8", "s9", f"NOT {_in('country', 'city', 'language')} AND cnt < 100 AND {_SAME}", _in("city"))}"""
-query("country_promotion", f"{_P}, s0 AS (SELECT surface_id, old_entity, cnt, old_entity AS entity, 0 AS length FROM promoted), {_sql_promote('s0', 's1', 'cnt < 100', _in('country'))} SELECT surface_id, old_entity, entity FROM s1")(
-    lambda s, d: L.promote(L.flag(L.start(_dictionary(s, d)), _kind(s, d, _edges(s, d), "country"), "country"), F.col("cnt") < 100, F.col("country")).select("surface_id", "old_entity", "entity")
-)
+_FREE = f"NOT {_in('country', 'city', 'language')} AND cnt < 100 AND {_SAME}"
+
+
+@query("country_promotion", f"WITH {M.EDGES}, {KINDS}, {M.DICTIONARY}, s0 AS (SELECT surface_id, entity AS old_entity, cnt, entity, 0 AS length FROM dictionary), {_sql_promote('s0', 's1', _FREE, _in('river'))}, {_sql_promote('s1', 's2', _FREE, _in('country'))}, {_sql_promote('s2', 's3', _FREE, _in('city'))} SELECT surface_id, old_entity, entity FROM s3")
+def country_promotion(s, d) -> DataFrame:
+    """Unprotected rows below 100 that are still what they were: to cardinal, then country, then political."""
+    masks = _masks(s, d, _edges(s, d))
+    return L.promote_places(storage.cut(L.start(_dictionary(s, d)), "stage"), masks).select("surface_id", "old_entity", "entity")
+
+
 query("fix_pass", f"WITH {FIXED} SELECT surface_id, old_entity, cnt, entity FROM s9")(lambda s, d: _pass(s, d)(_dictionary(s, d)))
 query("fix_iterated")(lambda s, d: L.iterate(_dictionary(s, d), _pass(s, d), 3)[0])
 query("transition_compose")(lambda s, d: L.iterate(_dictionary(s, d), _pass(s, d), 2)[1])
