@@ -120,14 +120,22 @@ class Search:
         rows = [(k, int(t), round(self.objective(gain, picks), 6)) for k, t in enumerate(sorted(picks))]
         return self.types.sparkSession.createDataFrame(rows, "place int, type long, objective double")
 
-    def solve(self, width: int = 8, most: int | None = None) -> DataFrame:
-        """(place, type, objective) by beam search (greedy with width 1): each candidate is kept as stopped beside its extensions; ends when all have stopped, or after `most` rounds if given."""
+    def best_types(self, n: int) -> DataFrame:
+        """(type, improvement, objective) of the n best single types; ties go to the smaller one."""
+        return self.round([()]).orderBy(F.desc("objective"), "type").limit(n).select("type", "improvement", "objective")
+
+    def solve(self, width: int = 8, most: int | None = None, subset: int | None = None) -> DataFrame:
+        """(place, type, objective) by beam search (greedy with width 1): each candidate is kept as stopped beside its extensions; ends when all have stopped, or after `most` rounds if given.
+
+        With subset only the so many best single types are tried.
+        """
+        tried = self.names if subset is None else [r["type"] for r in self.best_types(subset).collect()]
         beam: list[tuple[float, tuple, int, bool]] = [(self.objective(0, ()), (), 0, False)]
         for _ in itertools.count() if most is None else range(most):
             live = [b for b in beam if not b[3]]
             if not live:
                 break
-            sets = list(dict.fromkeys(tuple(sorted((*b[1], t))) for b in live for t in self.names if t not in b[1]))
+            sets = list(dict.fromkeys(tuple(sorted((*b[1], t))) for b in live for t in tried if t not in b[1]))
             gain = self.gains(sets)
             grown = [(self.objective(gain[k], s), s, gain[k], False) for k, s in enumerate(sets)]
             stopped = [(b[0], b[1], b[2], True) for b in beam]
@@ -174,3 +182,19 @@ class Search:
             score = np.array([self.objective(gain[k], s) for k, s in enumerate(sets)])
         k = int(score.argmax())
         return self._result(sets[k], gain[k])
+
+
+def solution_configs(picks: DataFrame, names: DataFrame, files: dict[str, str]) -> dict[str, dict]:
+    """What a solution (place, type) is handed on as: the disambiguator's and the model's configuration. names (type, name), files: paths by role.
+
+    Each type is a classification of its own with the classes N and Y.
+    """
+    rows = picks.join(names.groupBy("type").agg(F.min("name").alias("name")), "type", "left").orderBy("place").collect()  # the types picked
+    labels = [{"name": r["name"] or f"type_{r['type']}", "type": int(r["type"])} for r in rows]
+    return {
+        "disambiguator": {**files, "classification": [f"{files.get('classifications', 'classifications')}/{x['name']}" for x in labels]},
+        "model": {
+            "objectives": [{"name": x["name"], "type": "softmax", "vocab": ["N", "Y"]} for x in labels],
+            "datasets": [{"type": "train", "path": files.get("train", ""), "y": [{"column": 1, "objective": x["name"], "classification": x["name"]} for x in labels]}],
+        },
+    }

@@ -141,6 +141,12 @@ def segments(lines: DataFrame, doc: str, pos: str, separator: Column) -> DataFra
     return lines.withColumn("segment", n.cast("long")).where(~separator)
 
 
+def paragraphs(tokens: DataFrame, doc: str, pos: str, ends: Column) -> DataFrame:
+    """tokens with paragraph: how many tokens before them in their document end a paragraph."""
+    n = F.sum(ends.cast("int")).over(W.partitionBy(doc).orderBy(pos).rowsBetween(W.unboundedPreceding, -1))
+    return tokens.withColumn("paragraph", F.coalesce(n, F.lit(0)).cast("long"))
+
+
 def pad(sequence: Column, length: Column | int, fill: Column) -> Column:
     """An array filled up to a length."""
     return F.concat(sequence, F.array_repeat(fill, F.greatest(F.lit(0), F.lit(length) - F.size(sequence) if isinstance(length, int) else length - F.size(sequence))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("problems", "graph_queries", "mention_queries", "text_queries", "link_queries")
+MODULES = ("problems", "graph_queries", "mention_queries", "text_queries", "link_queries", "rule_queries")
 
 
 def _merged(name: str) -> dict:
