@@ -129,10 +129,15 @@ def delta_decode(rows: DataFrame, place: str, delta: str = "delta", span: int =
     return rows.withColumn("__own", own).join(sums, "__s").withColumn("number", (F.col("__own") + F.col("__before")).cast("long")).drop("__s", "__own", "__before")
 
 
-def sliding(tokens: DataFrame, doc: str, pos: str, token: str, width: int) -> DataFrame:
-    """(doc, pos, window array) of the 2 * width tokens from width before to width - 1 after; only whole windows."""
-    w = W.partitionBy(doc).orderBy(pos).rowsBetween(-width, width - 1)
-    return tokens.select(doc, pos, F.collect_list(token).over(w).alias("window")).where(F.size("window") == 2 * width)
+def sliding(tokens: DataFrame, doc: str, pos: str, token: str, width: int, labelled: Column | None = None) -> DataFrame:
+    """(doc, pos, window array) of the 2 * width tokens from width before to width - 1 after each labelled token, or each token.
+
+    Those nearer than width to the beginning, or not more than width from the end, have no window.
+    """
+    w = W.partitionBy(doc).orderBy(pos)
+    own = tokens.withColumn("window", F.collect_list(token).over(w.rowsBetween(-width, width - 1))).withColumn("__more", F.count(F.lit(1)).over(w.rowsBetween(width, width)))
+    own = own.where((F.size("window") == 2 * width) & (F.col("__more") == 1))
+    return (own if labelled is None else own.where(labelled)).select(doc, pos, "window")
 
 
 def segments(lines: DataFrame, doc: str, pos: str, separator: Column) -> DataFrame:

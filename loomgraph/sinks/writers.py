@@ -85,7 +85,7 @@ def labelled_tokens(tokens: DataFrame, path: str, sequence: str, pos: str, colum
 def windows(examples: DataFrame, path: str, group: list[str], pos: str, columns: list[str], again: bool = False) -> bool:
     """Windows as one row each: the group's columns, and by column the array of its lines in order."""
     rows = examples.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(pos, *columns))).alias("x"))
-    return write_table(rows.select(*group, *[F.transform("x", lambda t, c=c: t[c]).alias(c) for c in columns]), path, again=again)
+    return write_table(rows.select(*group, *[F.col("x").getField(c).alias(c) for c in columns]), path, again=again)
 
 
 def fixed_mapping(dictionary: DataFrame, transitions: DataFrame, contexts: DataFrame, folder: str, again: bool = False) -> list[str]:
