@@ -7,6 +7,7 @@ that link it to its parents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,8 @@ def _of_objects(ix: J.Index, containers: np.ndarray) -> tuple[np.ndarray, np.nda
     return row[last], el[last]
 
 
-def _leaves(ix: J.Index) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    """(root row, columns of LEAF) of all leaves of a piece."""
+def _leaves(ix: J.Index, structure: bool = False) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(root row, columns of LEAF) of all leaves of a piece; with structure also a row without text for each claim and each reference."""
     roots: list[np.ndarray] = []
     cols: dict[str, list] = {c: [] for c in LEAF_COLUMNS}
 
@@ -77,7 +78,7 @@ def _leaves(ix: J.Index) -> tuple[np.ndarray, dict[str, pa.Array]]:
         cols["ref_no"].append(pa.array(ref_no.astype(np.int32) if ref_no is not None else minus))
         cols["sub_prop"].append(J.keys(ix, sub_el) if sub_el is not None else pa.array([""] * n, pa.string()))
         cols["sub_no"].append(pa.array(sub_no.astype(np.int32) if sub_no is not None else minus))
-        cols["leaf_text"].append(J.values(ix, leaf))
+        cols["leaf_text"].append(J.values(ix, leaf) if leaf is not None else pa.nulls(n, pa.string()))
 
     def snaks(kind: str, holder: np.ndarray, root, prop_el, claim_no, ref_no) -> None:
         """Rows of an object of arrays of snaks: holder has its container for each of the given parents."""
@@ -96,9 +97,16 @@ def _leaves(ix: J.Index) -> tuple[np.ndarray, dict[str, pa.Array]]:
     leaf = _id_or_time(ix, J.of_kind(ix, J.field(ix, statement, b"mainsnak"), OBJECT))
     ok = leaf >= 0
     emit("main", root[ok], prop[ok], claim_no[ok], None, None, None, leaf[ok])
+    if structure:
+        at = statement >= 0
+        emit("claim", root[at], prop[at], claim_no[at], None, None, None, None)
     snaks("qualifier", J.of_kind(ix, J.field(ix, statement, b"qualifiers"), OBJECT), root, prop, claim_no, None)
     up, ref, ref_no = J.children(ix, J.of_kind(ix, J.field(ix, statement, b"references"), ARRAY))
-    held = J.of_kind(ix, J.field(ix, J.of_kind(ix, ref, OBJECT), b"snaks"), OBJECT)
+    group = J.of_kind(ix, ref, OBJECT)
+    if structure:
+        at = np.flatnonzero(group >= 0)
+        emit("claim reference", root[up[at]], prop[up[at]], claim_no[up[at]], ref_no[at], None, None, None)
+    held = J.of_kind(ix, J.field(ix, group, b"snaks"), OBJECT)
     snaks("reference", held, root[up], prop[up], claim_no[up], ref_no)
     # sitelinks: key -> object with a title
     row, el = _of_objects(ix, J.of_kind(ix, J.field(ix, ix.root, b"sitelinks"), OBJECT))
@@ -115,7 +123,7 @@ def _ends_with(ix: J.Index, el: np.ndarray, tail: bytes) -> np.ndarray:
     return pc.ends_with(J.keys(ix, el), tail.decode()).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _leaf_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaf_batches(batches: Iterator[pa.RecordBatch], structure: bool = False) -> Iterator[pa.RecordBatch]:
     leaf_type = pa.list_(pa.struct([(c, pa.int32() if c in ("claim_no", "ref_no", "sub_no") else pa.string()) for c in LEAF_COLUMNS]))
     for batch in batches:
         for line_no, ix in _lines(batch):
@@ -123,7 +131,7 @@ def _leaf_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             have = np.flatnonzero(id_el >= 0)
             if not len(have):
                 continue
-            root, cols = _leaves(ix)
+            root, cols = _leaves(ix, structure)
             order = np.argsort(root, kind="stable")
             struct = pa.StructArray.from_arrays([cols[c].take(pa.array(order)) for c in LEAF_COLUMNS], LEAF_COLUMNS)
             bounds = np.searchsorted(root[order], np.arange(len(ix.root) + 1)).astype(np.int32)
@@ -138,15 +146,16 @@ def _candidates(lines: DataFrame, number: str, line: str) -> DataFrame:
     return lines.select(F.col(number).cast("long").alias("line_no"), F.col(line).alias("json_line")).where(F.col("json_line").startswith("{"))
 
 
-def records(lines: DataFrame, number: str = "line_no", line: str = "json_line") -> DataFrame:
+def records(lines: DataFrame, number: str = "line_no", line: str = "json_line", structure: bool = False) -> DataFrame:
     """(qid, leaves array<struct<LEAF>>): the record of each id, which is the one with the highest lastrevid.
 
     Lines are parsed once; what is shuffled by id are the leaves of a line in one value, as older copies of an id must
     give way as a whole. Equal revisions go to the higher line number (they hold the same). Records without a
     string id are left out; a record without leaves is kept with an empty array. Null lines, other lines and cut-off ones
-    give nothing, an empty table gives no rows, and further columns are ignored.
+    give nothing, an empty table gives no rows, and further columns are ignored. With structure the leaves hold claims and references as well,
+    as flat_tables wants them.
     """
-    parsed = _candidates(lines, number, line).mapInArrow(_leaf_batches, f"qid string, rev long, line_no long, leaves array<struct<{LEAF.replace(' string', ': string').replace(' int', ': int')}>>")
+    parsed = _candidates(lines, number, line).mapInArrow(partial(_leaf_batches, structure=structure), f"qid string, rev long, line_no long, leaves array<struct<{LEAF.replace(' string', ': string').replace(' int', ': int')}>>")
     return parsed.groupBy("qid").agg(F.max_by("leaves", F.struct("rev", "line_no")).alias("leaves"))
 
 
@@ -156,22 +165,21 @@ def leaf_rows(recs: DataFrame) -> DataFrame:
 
 
 def flat_tables(recs: DataFrame) -> dict[str, DataFrame]:
-    """The leaves as related tables: claims (qid, prop, claim_no), under them qualifiers and references, and sitelinks.
+    """Records with their structure as related tables: records, claims (qid, prop, claim_no), under them qualifiers and references, and sitelinks.
 
-    claim_id and ref_id link a child to its parents: qid/prop/claim_no and that with /ref_no. claims has each statement
-    that holds a leaf itself or below it, so that no child lacks its parent; its main_text is null if the statement's own
-    value is unusable.
+    claim_id and ref_id link a child to its parents: qid/prop/claim_no and that with /ref_no. records has every record, claims every statement that is an
+    object and references every reference that is one, whether or not they hold a leaf; main_text is null if the statement's own value is unusable.
     """
     rows = leaf_rows(recs)
     claim_id = F.concat_ws("/", "qid", "prop", "claim_no")
     of = lambda kind: rows.where(F.col("leaf_kind") == kind)
-    inner = rows.where("leaf_kind <> 'sitelink'").withColumn("claim_id", claim_id)
-    claims = inner.groupBy("claim_id", "qid", "prop", "claim_no").agg(F.max(F.when(F.col("leaf_kind") == "main", F.col("leaf_text"))).alias("main_text"))
+    own = rows.where("leaf_kind in ('claim', 'main')").withColumn("claim_id", claim_id)
     ref_id = F.concat_ws("/", claim_id, "ref_no")
     return {
-        "claims": claims,
+        "records": recs.select("qid", F.size(F.filter("leaves", lambda x: x["leaf_kind"] == "claim")).cast("long").alias("n_claims")),
+        "claims": own.groupBy("claim_id", "qid", "prop", "claim_no").agg(F.max("leaf_text").alias("main_text")),
         "qualifiers": of("qualifier").select(claim_id.alias("claim_id"), "sub_prop", "sub_no", "leaf_text"),
-        "references": of("reference").select(claim_id.alias("claim_id"), "ref_no", ref_id.alias("ref_id")).distinct(),
+        "references": of("claim reference").select(claim_id.alias("claim_id"), "ref_no", ref_id.alias("ref_id")),
         "reference_snaks": of("reference").select(ref_id.alias("ref_id"), "sub_prop", "sub_no", "leaf_text"),
         "sitelinks": of("sitelink").select("qid", F.col("prop").alias("site"), F.col("leaf_text").alias("title")),
     }

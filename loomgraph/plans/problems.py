@@ -44,10 +44,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flat(name: str):
-    return lambda spark, sf_dir: nested.flat_tables(_records(spark, sf_dir))[name]
+    return lambda spark, sf_dir: nested.flat_tables(nested.records(table(spark, sf_dir, "entity_dump"), structure=True))[name]
 
 
-QUERIES |= {"p5_found": p5_found, **{f"p5_{n}": _flat(n) for n in ("claims", "qualifiers", "references", "reference_snaks", "sitelinks")}}
+QUERIES |= {"p5_found": p5_found, **{f"p5_{n}": _flat(n) for n in ("records", "claims", "qualifiers", "references", "reference_snaks", "sitelinks")}}
 
 _RECORDS = r"""lines AS (SELECT line_no, regexp_replace(json_line, '[ ,\r\n\t]+$', '') AS j FROM entity_dump WHERE json_line LIKE '{%'),
 parsed AS (SELECT line_no, CAST(j AS JSON) AS j FROM lines WHERE json_valid(j)),
@@ -74,9 +74,10 @@ leaves AS (SELECT * EXCLUDE (v), coalesce(v->>'id', v->>'time') AS leaf_text FRO
 _CLAIM, _REF = "qid || '/' || prop || '/' || claim_no", "qid || '/' || prop || '/' || claim_no || '/' || ref_no"
 SQL |= {
     "p5_found": f"WITH {_RECORDS} SELECT * FROM leaves",
-    "p5_claims": f"WITH {_RECORDS} SELECT {_CLAIM} AS claim_id, qid, prop, claim_no, max(leaf_text) FILTER (leaf_kind = 'main') AS main_text FROM leaves WHERE leaf_kind <> 'sitelink' GROUP BY qid, prop, claim_no",
+    "p5_records": f"WITH {_RECORDS} SELECT r.qid, count(c.qid) AS n_claims FROM recs r LEFT JOIN (SELECT qid FROM claims WHERE json_type(c) = 'OBJECT') c ON c.qid = r.qid GROUP BY r.qid",
+    "p5_claims": f"WITH {_RECORDS} SELECT {_CLAIM} AS claim_id, c.*, l.leaf_text AS main_text FROM (SELECT qid, prop, claim_no FROM claims WHERE json_type(c) = 'OBJECT') c LEFT JOIN (SELECT qid, prop, claim_no, leaf_text FROM leaves WHERE leaf_kind = 'main') l USING (qid, prop, claim_no)",
     "p5_qualifiers": f"WITH {_RECORDS} SELECT {_CLAIM} AS claim_id, sub_prop, sub_no, leaf_text FROM leaves WHERE leaf_kind = 'qualifier'",
-    "p5_references": f"WITH {_RECORDS} SELECT DISTINCT {_CLAIM} AS claim_id, ref_no, {_REF} AS ref_id FROM leaves WHERE leaf_kind = 'reference'",
+    "p5_references": f"WITH {_RECORDS} SELECT {_CLAIM} AS claim_id, ref_no, {_REF} AS ref_id FROM (SELECT qid, prop, claim_no, CAST(n AS INTEGER) AS ref_no FROM claims, unnest(range(CAST(json_array_length(c->'references') AS BIGINT))) AS t(n) WHERE json_type(c->'references') = 'ARRAY' AND json_type((c->'references')->n) = 'OBJECT')",
     "p5_reference_snaks": f"WITH {_RECORDS} SELECT {_REF} AS ref_id, sub_prop, sub_no, leaf_text FROM leaves WHERE leaf_kind = 'reference'",
     "p5_sitelinks": f"WITH {_RECORDS} SELECT qid, prop AS site, leaf_text AS title FROM leaves WHERE leaf_kind = 'sitelink'",
 }

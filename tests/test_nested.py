@@ -71,7 +71,8 @@ def test_leaves_with_missing_levels_and_older_copies(spark):
         ("Q1", "main", "P1", 2, -1, "", -1, "t"), ("Q1", "main", "P1", 3, -1, "", -1, "Qé\""), ("Q1", "qualifier", "P1", 3, -1, "P2", 0, "Qa"), ("Q1", "qualifier", "P1", 3, -1, "P2", 2, "Qb"),
         ("Q1", "reference", "P1", 3, 1, "P4", 0, "y"), ("Q1", "sitelink", "enwiki", -1, -1, "", -1, "A"),
     }
-    flat = nested.flat_tables(recs)
+    flat = nested.flat_tables(nested.records(dump(spark, lines), structure=True))
+    assert {r["qid"] for r in flat["records"].collect()} == {r["qid"] for r in recs.collect()}
     assert {r["claim_id"] for r in flat["qualifiers"].collect()} <= {r["claim_id"] for r in flat["claims"].collect()}
     assert flat["reference_snaks"].join(flat["references"], "ref_id", "left_anti").count() == 0
 
