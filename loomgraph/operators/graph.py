@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomgraph import storage
+from loomgraph.operators.ranks import rank_in_order
 
 
 @dataclass(frozen=True)
@@ -34,9 +35,9 @@ class TypeGraph:
         return self.edges.where(F.col("prop") == prop).select(F.col(source).alias("source"), F.col(target).alias("target"))
 
     def inverted(self, prop: str) -> DataFrame:
-        """(parent, children array) with children ascending. A parent's list is one value; for hot parents use the edges themselves."""
+        """(parent, pos, child): children by parent with their places in ascending order; a parent may have any number of them."""
         own = self.edges.where(F.col("prop") == prop).select("parent", "child").distinct()
-        return own.groupBy("parent").agg(F.sort_array(F.collect_list("child")).alias("children"))
+        return rank_in_order(own, ["parent"], [], "child", []).select("parent", (F.col("rank") - 1).alias("pos"), "child")
 
     def out_degree(self, entities: DataFrame, prop: str) -> DataFrame:
         n = self.edges.where(F.col("prop") == prop).groupBy(F.col("child").alias("entity")).agg(F.count("*").alias("n"))

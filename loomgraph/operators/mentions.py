@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.ranks import top_k
+from loomgraph.operators.sequences import chance
 
 
 def prior(dictionary: DataFrame) -> DataFrame:
@@ -51,6 +52,7 @@ def outcomes(mentions: DataFrame, dictionary: DataFrame, classes: list[DataFrame
     flags = groups.groupBy("surface_id").agg(*[F.max(F.col(c) == F.lit(other)).alias(f"any_{c}") for c in names])
     truth = mentions.join(cand.select("surface_id", "entity", *names), ["surface_id", "entity"]).join(surface, "surface_id").join(flags, "surface_id")
     out = truth.withColumn("obvious", F.col("n_all") == 1).withColumn("greedy", F.col("prior") == F.col("entity"))
+    matches = {}
     for mode in ("strict", "ignore_other", "keep_other"):
         match = None
         for c in names:
@@ -60,13 +62,19 @@ def outcomes(mentions: DataFrame, dictionary: DataFrame, classes: list[DataFrame
             elif mode == "keep_other":
                 same = same | (F.col(f"t.{c}") == F.lit(other)) | (F.col(f"g.{c}") == F.lit(other))
             match = same if match is None else match & same
-        kinds = flags.join(groups.select("surface_id", *names), "surface_id")
-        pairs = kinds.alias("t").join(groups.alias("g"), (F.col("t.surface_id") == F.col("g.surface_id")) & match)
-        solved = _merge_tops(pairs.select(F.col("t.surface_id").alias("surface_id"), *[F.col(f"t.{c}").alias(c) for c in names], "g.n", "g.top", "g.tied", "g.best"), "surface_id", *names)
-        solved = solved.select("surface_id", *names, F.col("n").alias("m_n"), F.col("tied").alias("m_tied"), F.col("best").alias("m_best"))
-        out = out.join(solved, ["surface_id", *names])
-        out = out.withColumn(mode, F.col("m_n") <= 1).withColumn(f"{mode}_counts", (F.col("m_n") <= 1) | ((F.col("m_tied") == 1) & (F.col("m_best") == F.col("entity"))))
-        out = out.drop("m_n", "m_tied", "m_best")
+        matches[mode] = match
+    # combinations of classes of one surface are paired once; a pair counts for each mode it matches in, strict ones for all
+    kinds = flags.join(groups.select("surface_id", *names), "surface_id")
+    pairs = kinds.alias("t").join(groups.alias("g"), (F.col("t.surface_id") == F.col("g.surface_id")) & (matches["ignore_other"] | matches["keep_other"]))
+    modes = F.explode(F.filter(F.array(*[F.when(m, F.lit(n)) for n, m in matches.items()]), lambda x: x.isNotNull()))
+    each = pairs.select(F.col("t.surface_id").alias("surface_id"), *[F.col(f"t.{c}").alias(c) for c in names], modes.alias("mode"), "g.n", "g.top", "g.tied", "g.best")
+    tops = _merge_tops(each, "surface_id", *names, "mode")
+    found = F.struct("n", "tied", "best")
+    solved = tops.groupBy("surface_id", *names).agg(*[F.max(F.when(F.col("mode") == m, found)).alias(f"m_{m}") for m in matches])
+    out = out.join(solved, ["surface_id", *names])
+    for mode in matches:
+        m = f"m_{mode}"
+        out = out.withColumn(mode, F.col(f"{m}.n") <= 1).withColumn(f"{mode}_counts", (F.col(f"{m}.n") <= 1) | ((F.col(f"{m}.tied") == 1) & (F.col(f"{m}.best") == F.col("entity")))).drop(m)
     return out.drop(*[f"any_{c}" for c in names], *names)
 
 
@@ -109,3 +117,12 @@ def ambiguity(out: DataFrame, method: str, label: DataFrame, top: int = 6) -> Da
     total = by.groupBy("label").agg(F.sum("surface_n").alias("n"))
     ranked = top_k(by, ["label"], [F.desc("surface_n"), F.col("surface_id")], top, "surface_id")
     return ranked.join(total, "label").select("label", "n", "surface_id", "surface_n", F.col("k_no").alias("k"))
+
+
+def proposals(edges: DataFrame, categories: DataFrame, corpus: DataFrame, seed: int = 0) -> DataFrame:
+    """(relation, type, n, draw): what entities of the corpus (entity) are instances of, and the main articles of their categories (child, parent), by how
+    many have it; draw is a number by chance that shuffles types of equal standing the same way each time."""
+    kinds = edges.where("prop = 'P31'").select(F.lit("P31").alias("relation"), F.col("parent").alias("type"), F.col("child").alias("entity"))
+    both = kinds.unionByName(categories.select(F.lit("category").alias("relation"), F.col("parent").alias("type"), F.col("child").alias("entity"))).distinct()
+    n = both.join(corpus.select("entity").distinct(), "entity", "left_semi").groupBy("relation", "type").agg(F.count("*").alias("n"))
+    return n.withColumn("draw", chance("type", "relation", seed=seed))

@@ -22,6 +22,12 @@ def auc(rows: DataFrame, group: str) -> DataFrame:
     return out.select(group, F.round(F.col("won") / (F.col("p") * F.col("n")), 6).alias("auc"))
 
 
+def auc_average(aucs: DataFrame, group: str, above: float) -> DataFrame:
+    """(group, n, mean, std) of the areas (group, auc) of several runs; groups whose mean isn't above the bound go."""
+    out = aucs.groupBy(group).agg(F.count("*").alias("n"), F.avg("auc").alias("m"), F.stddev_pop("auc").alias("s"))
+    return out.where(F.col("m") > above).select(group, "n", F.round("m", 6).alias("mean"), F.round("s", 6).alias("std"))
+
+
 def average_precision(rows: DataFrame, group: str) -> DataFrame:
     """(group, average_precision): precision at each distinct threshold, weighted by the recall gained there."""
     w = W.partitionBy(group).orderBy(F.desc("score"))

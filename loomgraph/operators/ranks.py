@@ -14,7 +14,7 @@ def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int, spread
     """rows with k_no (1 to k) by group and order: first the top k of each hashed bucket of `spread`, then of the at most k * BUCKETS rows left."""
     part = rows.withColumn("__b", F.pmod(F.xxhash64(spread), F.lit(BUCKETS)))
     few = part.withColumn("__k", F.row_number().over(W.partitionBy(*group, "__b").orderBy(*order))).where(F.col("__k") <= k).drop("__b", "__k")
-    return few.withColumn("k_no", F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("int")).where(F.col("k_no") <= k)
+    return few.withColumn("k_no", F.row_number().over((W.partitionBy(*group) if group else W.partitionBy(F.lit(0))).orderBy(*order)).cast("int")).where(F.col("k_no") <= k)
 
 
 def rank_in_order(rows: DataFrame, group: list[str], leading: list[Column], number: str, rest: list[str], span: int = 4096) -> DataFrame:

@@ -88,6 +88,11 @@ def reduce_values(rows: DataFrame) -> DataFrame:
     return rows.where("entity is not null").groupBy("surface_id", "entity").agg(F.sum("cnt").alias("cnt"))
 
 
+def emptied(rows: DataFrame) -> DataFrame:
+    """(surface_id): surfaces that no candidate is left of."""
+    return rows.groupBy("surface_id").agg(F.count("entity").alias("n")).where("n = 0").select("surface_id")
+
+
 def transitions(rows: DataFrame) -> DataFrame:
     return rows.select("surface_id", "old_entity", F.col("entity").alias("new_entity"))
 

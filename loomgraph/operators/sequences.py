@@ -146,6 +146,12 @@ def segments(lines: DataFrame, doc: str, pos: str, separator: Column) -> DataFra
     return lines.withColumn("segment", n.cast("long")).where(~separator)
 
 
+def sequence_mask(tokens: DataFrame, doc: str, pos: str, labelled: Column) -> DataFrame:
+    """tokens with mask: whether the first token of the sequence has a label, as a sequence is decoded whole or not at all."""
+    first = tokens.groupBy(doc).agg(F.min_by(labelled, pos).alias("mask"))
+    return tokens.join(first, doc)
+
+
 def paragraphs(tokens: DataFrame, doc: str, pos: str, ends: Column) -> DataFrame:
     """tokens with paragraph: how many tokens before them in their document end a paragraph."""
     n = F.sum(ends.cast("int")).over(W.partitionBy(doc).orderBy(pos).rowsBetween(W.unboundedPreceding, -1))

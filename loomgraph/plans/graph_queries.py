@@ -83,8 +83,8 @@ def resolve_edges_left(s, d) -> DataFrame:
 # -- relations ---------------------------------------------------------------------------------------------------------
 
 query("relation_lookup", f"WITH {M.EDGES} SELECT child AS source, parent AS target FROM edges WHERE prop = 'P31'")(lambda s, d: TypeGraph(M.edges(s, d)).relation("P31"))
-query("invert_relation", f"WITH {M.EDGES} SELECT DISTINCT parent, child FROM edges WHERE prop = 'P279'")(
-    lambda s, d: TypeGraph(M.edges(s, d)).inverted("P279").select("parent", F.explode("children").alias("child"))
+query("invert_relation", f"WITH {M.EDGES} SELECT parent, row_number() OVER (PARTITION BY parent ORDER BY child) - 1 AS pos, child FROM (SELECT DISTINCT parent, child FROM edges WHERE prop = 'P279')")(
+    lambda s, d: TypeGraph(M.edges(s, d)).inverted("P279")
 )
 query("out_degree", f"WITH {M.EDGES} SELECT n.entity, count(e.child) AS degree FROM (SELECT DISTINCT entity FROM entities) n LEFT JOIN edges e ON e.child = n.entity AND e.prop = 'P31' GROUP BY n.entity")(
     lambda s, d: TypeGraph(M.edges(s, d)).out_degree(M.entities(s, d).select("entity").distinct(), "P31")

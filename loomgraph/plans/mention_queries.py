@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomgraph import storage
+from loomgraph.functions import text as X
 from loomgraph.operators import classify as C
 from loomgraph.operators import mentions as A
 from loomgraph.operators import repair as L
@@ -156,9 +157,26 @@ query("weighted_popularity", f"{_D}, {M.ENTITIES} SELECT e.entity, CAST(coalesce
 query("top_class_members", f"{_K}, {M.DICTIONARY} SELECT entity, CAST(sum(cnt) AS BIGINT) AS weight FROM dictionary WHERE entity IN (SELECT entity FROM kinds WHERE kind = 'city') GROUP BY entity ORDER BY weight DESC, entity LIMIT 20")(
     lambda s, d: M.dictionary(s, d).join(_kind(s, d, _edges(s, d), "city"), "entity", "left_semi").groupBy("entity").agg(F.sum("cnt").alias("weight")).orderBy(F.desc("weight"), "entity").limit(20)
 )
-query("type_proposals", f"{_K}, {M.DICTIONARY} SELECT e.parent AS type, CAST(sum(w) AS BIGINT) AS weight FROM edges e JOIN (SELECT entity, sum(cnt) AS w FROM dictionary GROUP BY entity) x ON x.entity = e.child WHERE prop = 'P31' GROUP BY e.parent ORDER BY weight DESC, type LIMIT 50")(
-    lambda s, d: M.edges(s, d).where("prop = 'P31'").join(M.dictionary(s, d).groupBy(F.col("entity").alias("child")).agg(F.sum("cnt").alias("w")), "child").groupBy(F.col("parent").alias("type")).agg(F.sum("w").alias("weight")).orderBy(F.desc("weight"), "type").limit(50)
+@query(
+    "type_proposals",
+    f"WITH {M.EDGES}, {M.PAGES}, {M.DICTIONARY}, corpus AS (SELECT DISTINCT entity FROM dictionary), "
+    + r"cats AS (SELECT DISTINCT page_qid, split_part(split_part(x, '|', 1), ':', -1) AS title FROM (SELECT page_qid, unnest(regexp_extract_all(text, '\[\[((?:Category|Catégorie|Categorie|Categoría|Categoria|Kategorie|Kategoria|Категория|Kategori):[^\]\[]*)\]\]', 1)) AS x FROM documents)), "
+    "fixed AS (SELECT title, min(entity) AS type FROM (SELECT leaf_text AS title, qid FROM leaves WHERE leaf_kind = 'sitelink' UNION ALL SELECT title, article_qid FROM pages WHERE title IS NOT NULL) JOIN entities USING (qid) GROUP BY title), "
+    "own AS (SELECT DISTINCT 'P31' AS relation, parent AS type, child FROM edges WHERE prop = 'P31' UNION SELECT 'category', type, entity FROM cats JOIN fixed ON fixed.title = trim(cats.title) JOIN entities ON qid = page_qid) "
+    "SELECT relation, type, count(*) AS n, round(CAST('0x' || substr(md5(type || '|' || relation || '|1'), 1, 8) AS BIGINT) / 4294967296.0, 9) AS draw FROM own WHERE child IN (SELECT entity FROM corpus) GROUP BY relation, type",
 )
+def type_proposals(s, d) -> DataFrame:
+    """(relation, type, n, draw): targets of instance-of, and categories' main articles, by how many entities of the corpus have them; draw shuffles them."""
+    return A.proposals(M.edges(s, d), _category_links(s, d), M.dictionary(s, d).select("entity").distinct(), seed=1).withColumn("draw", F.round("draw", 9))
+
+
+def _category_links(s, d) -> DataFrame:
+    """(child, parent): entities of pages and the main articles of their categories."""
+    cats = table(s, d, "documents").select("page_qid", F.explode(X.categories(F.col("text"))).alias("c")).select(F.col("page_qid").alias("qid"), F.trim(F.substring_index("c", ":", -1)).alias("title")).distinct()
+    fixed = M.titles(s, d).groupBy("title").agg(F.min("entity").alias("parent"))
+    return cats.join(fixed, "title").join(M.entities(s, d), "qid").select(F.col("entity").alias("child"), "parent").distinct()
+
+
 query("id_compaction", f"{_D} SELECT entity, CAST(dense_rank() OVER (ORDER BY entity) - 1 AS BIGINT) AS dense FROM (SELECT DISTINCT entity FROM dictionary)")(lambda s, d: T.compact(M.dictionary(s, d).select("entity").distinct()))
 
 # -- disambiguation --------------------------------------------------------------------------------------------------------
@@ -219,8 +237,9 @@ query("keep_high", f"{_D} SELECT surface_id, entity, cnt, max(cnt) OVER (PARTITI
     lambda s, d: (lambda x: x.join(x.groupBy("surface_id").agg(F.max("cnt").alias("top")), "surface_id").select("surface_id", "entity", "cnt", L.keep_high(F.col("cnt"), F.col("top")).alias("may")))(_dictionary(s, d))
 )
 query("reduce_values", f"{_P} SELECT * FROM reduced")(lambda s, d: L.reduce_values(_promoted(s, d)))
-query("surface_prune", f"{_P} SELECT DISTINCT surface_id FROM dictionary WHERE surface_id NOT IN (SELECT surface_id FROM reduced)")(
-    lambda s, d: (lambda r: r.select("surface_id").distinct().join(r.where("entity is not null").select("surface_id"), "surface_id", "left_anti"))(storage.cut(_promoted(s, d), "promoted"))
+_ANCHORED = "SELECT child FROM edges WHERE prop IN ('P31', 'P279', 'P361', 'P131', 'P171')"
+query("surface_prune", f"WITH {M.EDGES}, {M.DICTIONARY} SELECT surface_id FROM dictionary GROUP BY surface_id HAVING NOT bool_or(entity IN ({_ANCHORED}))")(
+    lambda s, d: L.emptied(L.drop(L.flag(L.start(M.dictionary(s, d)), M.edges(s, d).where(F.col("prop").isin(STRUCTURAL)).select(F.col("child").alias("entity")), "anchored"), ~F.col("anchored")))
 )
 query("fix_change_stats", f"{_P} SELECT count(*) FILTER (old_entity IS DISTINCT FROM entity) AS n_changed, CAST(coalesce(sum(cnt) FILTER (old_entity IS DISTINCT FROM entity), 0) AS BIGINT) AS changed_volume, count(*) FILTER (entity IS NULL) AS n_deleted FROM promoted")(lambda s, d: L.change_stats(_promoted(s, d)))
 query("surface_rekey", f"{_P} SELECT r.surface_id, dense_rank() OVER (ORDER BY r.surface_id) - 1 AS new_id, r.entity, r.cnt FROM reduced r")(

@@ -11,6 +11,7 @@ from loomgraph import storage
 from loomgraph.functions import text as X
 from loomgraph.operators import metrics as E
 from loomgraph.operators import sequences as S
+from loomgraph.operators import tagger as G
 from loomgraph.operators.links import resolve
 from loomgraph.operators.ranks import rank_in_order, top_k
 from loomgraph.plans import model as M
@@ -90,11 +91,22 @@ def resolve_title(s, d) -> DataFrame:
     return links.join(got, ["wiki", "target"]).select("article_id", "pos", "entity")
 
 
-query("category_join", f"WITH {M.TITLES}, {_CATS} SELECT doc_id, category, min(entity) AS entity FROM categories JOIN titles ON title = split_part(category, ':', -1) GROUP BY ALL")(
-    lambda s, d: _categories(s, d).withColumn("title", F.substring_index("category", ":", -1)).join(M.titles(s, d).groupBy("title").agg(F.min("entity").alias("entity")), "title").groupBy("doc_id", "category").agg(F.min("entity").alias("entity"))
-)
-query("category_join_missing", f"WITH {M.TITLES}, {_CATS} SELECT count(*) AS n_links, count(*) FILTER (split_part(category, ':', -1) NOT IN (SELECT title FROM titles WHERE title IS NOT NULL)) AS missing FROM categories")(
-    lambda s, d: _categories(s, d).withColumn("title", F.substring_index("category", ":", -1)).join(M.titles(s, d).select("title", F.lit(1).alias("known")).distinct(), "title", "left").agg(F.count("*").alias("n_links"), F.count_if(F.col("known").isNull()).alias("missing"))
+_NAMES = "names AS MATERIALIZED (SELECT title, min(entity) AS entity FROM titles WHERE title IS NOT NULL GROUP BY title), asked AS (SELECT doc_id, category, page_qid, trim(split_part(category, ':', -1)) AS name FROM categories JOIN documents USING (doc_id)), ends AS MATERIALIZED (SELECT a.*, p.entity AS page, coalesce(x.entity, y.entity) AS entity FROM asked a LEFT JOIN names x ON x.title = name LEFT JOIN names y ON y.title = upper(substr(name, 1, 1)) || substr(name, 2) LEFT JOIN (SELECT DISTINCT qid, entity FROM entities) p ON p.qid = page_qid)"
+
+
+def _category_ends(s, d) -> DataFrame:
+    """(doc_id, category, name, page, entity): category links with the entities of both ends, null where unknown; a category is asked for again with a capital."""
+    names = storage.cut(M.titles(s, d).where("title is not null").groupBy("title").agg(F.min("entity").alias("entity")), "names")
+    docs = table(s, d, "documents").select("doc_id", F.col("page_qid").alias("qid"), F.explode(X.categories(F.col("text"))).alias("category")).withColumn("name", F.trim(F.substring_index("category", ":", -1)))
+    named = lambda key, value: names.select(F.col("title").alias(key), F.col("entity").alias(value))
+    docs = docs.withColumn("capital", F.concat(F.upper(F.substring("name", 1, 1)), F.col("name").substr(F.lit(2), F.length("name"))))
+    out = docs.join(named("name", "x"), "name", "left").join(named("capital", "y"), "capital", "left").join(M.entities(s, d).withColumnRenamed("entity", "page"), "qid", "left")
+    return out.select("doc_id", "category", "name", "page", F.coalesce("x", "y").alias("entity"))
+
+
+query("category_join", f"WITH {M.TITLES}, {_CATS}, {_NAMES} SELECT doc_id, category, page, entity FROM ends WHERE page IS NOT NULL AND entity IS NOT NULL")(lambda s, d: _category_ends(s, d).where("page is not null and entity is not null").select("doc_id", "category", "page", "entity"))
+query("category_join_missing", f"WITH {M.TITLES}, {_CATS}, {_NAMES} SELECT count(*) AS n_links, count(*) FILTER (name = '') AS malformed, count(*) FILTER (page IS NULL) AS missing_page, count(*) FILTER (name <> '' AND entity IS NULL) AS missing_category FROM ends")(
+    lambda s, d: _category_ends(s, d).agg(F.count("*").alias("n_links"), F.count_if(F.col("name") == "").alias("malformed"), F.count_if(F.col("page").isNull()).alias("missing_page"), F.count_if((F.col("name") != "") & F.col("entity").isNull()).alias("missing_category"))
 )
 _ALT = r"""alts AS (SELECT title, 0 AS k, title AS alt FROM t UNION ALL SELECT title, 1, CASE WHEN title LIKE '%)' THEN rtrim(regexp_extract(title, '^(.*)\(', 1)) WHEN title LIKE '%ses' THEN regexp_replace(title, 'es$', '') || 'is'
     WHEN title LIKE '%ies' THEN regexp_replace(title, 'ies$', '') || 'y' WHEN title LIKE '%s' THEN regexp_replace(title, 's$', '') END FROM t)"""
@@ -250,6 +262,7 @@ query("pad_sequences", _T + ", s AS (SELECT article_id, pos // 10 AS chunk, list
     lambda s, d: _tokens(s, d).groupBy("article_id", F.expr("cast(pos div 10 as int)").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x")).select("article_id", "chunk", F.array_join(S.pad(F.transform("x", lambda t: t["token"]), 10, F.lit("_")), " ").alias("padded"))
 )
 query("label_mask", _T + r" SELECT article_id, pos, regexp_matches(token, '^\p{Lu}') AS mask FROM tokens")(lambda s, d: _tokens(s, d).select("article_id", "pos", X.uppercase(F.col("token")).alias("mask")))
+query("label_mask_sequence", _T + r" SELECT article_id, pos, first_value(regexp_matches(token, '^\p{Lu}')) OVER (PARTITION BY article_id ORDER BY pos) AS mask FROM tokens")(lambda s, d: S.sequence_mask(_tokens(s, d), "article_id", "pos", X.uppercase(F.col("token"))).select("article_id", "pos", "mask"))
 query("batch_packing")(lambda s, d: S.pack_batches(_tokens(s, d).groupBy("article_id").agg(F.count("*").alias("n")), "article_id", "n", 200, 8))
 
 # -- metrics ---------------------------------------------------------------------------------------------------------------------
@@ -265,7 +278,16 @@ def _scored(s, d) -> DataFrame:
 _AUC = "pairs AS (SELECT a.annotator, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS won, count(*) AS n FROM scored a JOIN scored b ON a.annotator = b.annotator AND a.y = 1 AND b.y = 0 GROUP BY a.annotator), aucs AS MATERIALIZED (SELECT annotator, CAST(round(won / n, 6) AS DOUBLE) AS auc FROM pairs)"
 query("auc_score", f"WITH {_SCORED}, {_AUC} SELECT * FROM aucs")(lambda s, d: E.auc(_scored(s, d), "annotator"))
 query("average_precision", f"WITH {_SCORED}, lv AS (SELECT annotator, score, sum(y) AS p, count(*) AS c FROM scored GROUP BY ALL), cum AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS allc FROM lv WINDOW w AS (PARTITION BY annotator ORDER BY score DESC)) SELECT annotator, round(sum(CAST(p AS DOUBLE) * tp / allc) / sum(p), 6) AS average_precision FROM cum GROUP BY annotator HAVING sum(p) > 0")(lambda s, d: E.average_precision(_scored(s, d), "annotator"))
-query("auc_average", f"WITH {_SCORED}, {_AUC} SELECT count(*) AS n, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std FROM aucs")(lambda s, d: E.auc(_scored(s, d), "annotator").agg(F.count("*").alias("n"), F.round(F.avg("auc"), 6).alias("mean"), F.round(F.stddev_pop("auc"), 6).alias("std")))
+_RUNS = "runs AS MATERIALIZED (SELECT l.annotator, coalesce(d.source, '-') AS relation, l.verdict AS y, d.n_chars % 97 AS score FROM moderation_labels l JOIN documents d USING (doc_id) WHERE l.verdict IS NOT NULL AND d.n_chars IS NOT NULL), run_auc AS (SELECT a.annotator, a.relation, CAST(round(sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*), 6) AS DOUBLE) AS auc FROM runs a JOIN runs b ON a.annotator = b.annotator AND a.relation = b.relation AND a.y = 1 AND b.y = 0 GROUP BY a.annotator, a.relation)"
+
+
+def _run_aucs(s, d) -> DataFrame:
+    """(relation, auc): of each run (here an annotator) and relation (here a source)."""
+    rows = _scored(s, d).join(table(s, d, "documents").select("doc_id", F.coalesce("source", F.lit("-")).alias("relation")), "doc_id").withColumn("run", F.concat_ws("\t", "annotator", "relation"))
+    return E.auc(rows, "run").select(F.substring_index("run", "\t", -1).alias("relation"), "auc")
+
+
+query("auc_average", f"WITH {_RUNS} SELECT relation, count(*) AS n, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) AS std FROM run_auc GROUP BY relation HAVING avg(auc) > 0.5")(lambda s, d: E.auc_average(_run_aucs(s, d), "relation", 0.5))
 query("auc_histogram", f"WITH {_SCORED}, {_AUC} SELECT CAST(least(floor(auc * 10), 9) AS INTEGER) AS bin, count(*) AS n FROM aucs GROUP BY bin")(lambda s, d: E.auc(_scored(s, d), "annotator").groupBy(F.least(F.floor(F.col("auc") * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n")))
 query("binary_accuracy", f"WITH {_SCORED} SELECT annotator, count(*) AS n, count(*) FILTER ((score >= 48) = (y = 1)) AS correct, count(*) FILTER (y = 1) AS positive, count(*) FILTER (y = 0) AS negative FROM scored GROUP BY annotator")(
     lambda s, d: _scored(s, d).groupBy("annotator").agg(F.count("*").alias("n"), F.count_if((F.col("score") >= 48) == (F.col("y") == 1)).alias("correct"), F.count_if(F.col("y") == 1).alias("positive"), F.count_if(F.col("y") == 0).alias("negative"))
@@ -296,3 +318,15 @@ def _token_scores(s, d) -> DataFrame:
 
 
 query("viterbi_decode")(lambda s, d: E.viterbi_decode(_token_scores(s, d), "article_id", "pos", "z", np.eye(3) * 0.5))
+
+
+def _tagged(s, d) -> DataFrame:
+    """The three most probable kinds of each token by its ending, of a model counted over the same tokens' capitals, digits and marks."""
+    t = _tokens(s, d)
+    kind = F.when(X.uppercase(F.col("token")), "capital").when(F.col("token").rlike(r"^\p{Nd}"), "number").when(F.col("token").rlike(r"^\p{L}"), "word").otherwise("mark")
+    model = G.fit_endings(t.withColumn("kind", kind), "token", "kind")
+    sentences = M.pages(s, d).select("article_id", X.tokens(F.col("doc")).alias("tokens"))
+    return G.tag_sentences(sentences, "article_id", "tokens", model, 3, 0.1).select("article_id", "pos", "token", F.explode("tags").alias("t")).select("article_id", "pos", "token", "t.tag", F.round("t.probability", 6).alias("probability"))
+
+
+query("tag_sentences")(_tagged)

@@ -203,3 +203,22 @@ def test_precision_without_predictions(spark):
     conf = spark.createDataFrame([(0, 5, 5, 0), (1, 0, 0, 5)], "class int, tp long, fp long, fn long")
     row = E.weighted_f1(conf).first()
     assert row["precision"] == 25.0 and row["recall"] == 50.0
+
+
+def test_tagger(spark):
+    from loomgraph.operators import tagger
+
+    tokens = spark.createDataFrame([("running", "V"), ("sing", "V"), ("house", "N"), ("mouse", "N"), ("ring", "N"), ("x", None), ("", "N")], "token string, label string")
+    model = tagger.fit_endings(tokens, "token", "label")
+    sentences = spark.createDataFrame([(1, ["going", "blouse", None]), (2, []), (3, None)], "k long, tokens array<string>")
+    got = {r["pos"]: [t["tag"] for t in r["tags"]] for r in tagger.tag_sentences(sentences, "k", "tokens", model, 1).collect()}
+    assert got == {0: ["V"], 1: ["N"], 2: ["N"]}
+    assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 for r in tagger.predict_proba(sentences, "k", "tokens", model).collect())
+
+
+def test_learnability(spark):
+    from loomgraph.operators import learnability
+
+    rows = [(k, (["stone", "river"] if k % 2 else ["song", "voice"]) + [f"w{k % 7}"], "a" if k % 2 else "b") for k in range(80)]
+    got = learnability.report(spark.createDataFrame(rows, "k long, words array<string>, kind string"), "k", "words", "kind", ["a", "none"]).collect()
+    assert [(r["type"], r["auc"], r["correct"], r["positive"], r["negative"]) for r in got] == [("a", 1.0, 1.0, 8, 8)]
