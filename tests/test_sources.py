@@ -30,7 +30,7 @@ def test_pages_and_tables(spark, tmp_path):
     assert [tuple(r) for r in R.names(spark, str(t), "enwiki/", 50).collect()] == [(3, "A b")]
     t.write_text("# c\nthe\ncat\tcat\n\nno\nlabels\n\ndog\tdog\n")
     got = R.labelled_sequences(spark, str(t))
-    assert got.select("seq").distinct().count() == 2 and [(r["token"], r["label"]) for r in got.orderBy("pos").collect()] == [("the", None), ("cat", "cat"), ("dog", "dog")]
+    assert got.select("seq").distinct().count() == 2 and [(r["token"], r["label"]) for r in got.orderBy("seq", "pos").collect()] == [("the", None), ("cat", "cat"), ("dog", "dog")]
     dump = spark.createDataFrame([("INSERT (12,'wikibase_item','Q42',NULL),(13,'other','Q1',NULL),(14,'wikibase_item','Q7',NULL)",)], "value string")
     assert {tuple(r) for r in R.page_entities(dump).collect()} == {(12, "Q42"), (14, "Q7")}
 
