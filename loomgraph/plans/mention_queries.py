@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -348,8 +350,19 @@ def country_promotion(s, d) -> DataFrame:
 
 
 query("fix_pass", f"WITH {FIXED} SELECT surface_id, old_entity, cnt, entity FROM s9")(lambda s, d: _pass(s, d)(_dictionary(s, d)))
-query("fix_iterated")(lambda s, d: L.iterate(_dictionary(s, d), _pass(s, d), 3)[0])
-query("transition_compose")(lambda s, d: L.iterate(_dictionary(s, d), _pass(s, d), 2)[1])
+def _sql_passes(n: int) -> str:
+    """The stages of n passes one after another: pass k reads dictionary_k and its last stage is s9_k."""
+    first = FIXED[: FIXED.index("s0 AS MATERIALIZED")] + REACH
+    body = FIXED[FIXED.index("s0 AS MATERIALIZED") :].replace(REACH + ",", "")
+    out = [first, "dictionary_1 AS (SELECT * FROM dictionary)"]
+    for k in range(1, n + 1):
+        out.append(re.sub(r"\b(b_s\d|s\d|alts|best)\b", rf"\1_{k}", body).replace("FROM dictionary d", f"FROM dictionary_{k} d"))
+        out.append(f"dictionary_{k + 1} AS MATERIALIZED (SELECT surface_id, entity, CAST(sum(cnt) AS BIGINT) AS cnt FROM s9_{k} WHERE entity IS NOT NULL GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+query("fix_iterated", f"WITH {_sql_passes(3)} SELECT surface_id, entity, cnt FROM dictionary_4")(lambda s, d: L.iterate(_dictionary(s, d), _pass(s, d), 3)[0])
+query("transition_compose", f"WITH {_sql_passes(2)} SELECT a.surface_id, a.old_entity, b.entity AS new_entity FROM s9_1 a LEFT JOIN s9_2 b ON b.surface_id = a.surface_id AND b.old_entity = a.entity")(lambda s, d: L.iterate(_dictionary(s, d), _pass(s, d), 2)[1])
 
 # -- type search -------------------------------------------------------------------------------------------------------------
 
