@@ -44,19 +44,24 @@ def gap_groups(lines: DataFrame, doc: str, pos: str, labelled: Column, gap: int,
     return own.withColumn("group_no", F.sum(fresh).over(whole).cast("long")).drop("__p")
 
 
-def context(lines: DataFrame, groups: DataFrame, doc: str, pos: str, width: int, blank: Column | None = None) -> DataFrame:
+def with_blanks(lines: DataFrame, doc: str, pos: str, blank: Column) -> DataFrame:
+    """lines with before and after: the places of the last blank line up to each and of the first from it on, null if there is none."""
+    w = W.partitionBy(doc).orderBy(pos)
+    at = F.when(blank, F.col(pos))
+    return lines.withColumns({"before": F.max(at).over(w.rowsBetween(W.unboundedPreceding, 0)), "after": F.min(at).over(w.rowsBetween(0, W.unboundedFollowing))})
+
+
+def context(lines: DataFrame, groups: DataFrame, doc: str, pos: str, width: int) -> DataFrame:
     """(doc, group_no, lines' columns): the lines from width before a group's first to width - 1 after its last.
 
-    A window begins no earlier than the last blank line before the group, which is part of it, and ends before the first one after it. A group's
-    places are laid out and joined to the lines by place.
+    If groups were made from lines with_blanks, a window begins no earlier than the last blank line before the group, which is part of it, and ends
+    before the first one after it; no blank line lies within a group. A group's places are laid out and joined to the lines by place.
     """
-    bounds = groups.groupBy(doc, "group_no").agg(F.min(pos).alias("first"), F.max(pos).alias("last"))
+    clipped = {"before", "after"} <= set(groups.columns)
+    edges = [F.min("before").alias("before"), F.max("after").alias("after")] if clipped else []
+    bounds = groups.groupBy(doc, "group_no").agg(F.min(pos).alias("first"), F.max(pos).alias("last"), *edges)
     lo, hi = F.greatest(F.col("first") - width, F.lit(0)), F.col("last") + width
-    if blank is not None:
-        w = W.partitionBy(doc).orderBy(pos)
-        at = F.when(blank, F.col(pos))
-        near = lines.select(doc, pos, F.max(at).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("before"), F.min(at).over(w.rowsBetween(0, W.unboundedFollowing)).alias("after"))
-        bounds = bounds.join(near.select(doc, F.col(pos).alias("first"), "before"), [doc, "first"]).join(near.select(doc, F.col(pos).alias("last"), "after"), [doc, "last"])
+    if clipped:
         lo, hi = F.greatest(lo, F.coalesce("before", F.lit(0))), F.least(hi, F.coalesce("after", hi))
     places = bounds.select(doc, "group_no", F.explode(F.sequence(lo, hi - 1)).alias(pos))
     return lines.join(places, [doc, pos])

@@ -231,12 +231,18 @@ def _gap_groups(s, d) -> DataFrame:
     return S.gap_groups(_token_lines(s, d), "article_id", "pos", X.uppercase(F.col("token")), 5, F.col("token") == "")
 
 
+def _context_windows(s, d) -> DataFrame:
+    lines, blank = _token_lines(s, d), F.col("token") == ""
+    groups = S.gap_groups(S.with_blanks(lines, "article_id", "pos", blank), "article_id", "pos", X.uppercase(F.col("token")), 5, blank)
+    return S.context(lines, groups, "article_id", "pos", 5).select("article_id", "pos", "token", "group_no")
+
+
 query("gap_groups", _L + _GROUPS + " SELECT * FROM groups")(_gap_groups)
 query(
     "context_windows",
     _L + _GROUPS + ", bounds AS (SELECT article_id, group_no, min(pos) AS f, max(pos) AS l FROM groups GROUP BY ALL), cut AS (SELECT b.*, greatest(f - 5, 0, coalesce((SELECT max(pos) FROM token_lines t WHERE t.article_id = b.article_id AND token = '' AND pos < f), 0)) AS lo, "
     "least(l + 5, coalesce((SELECT min(pos) FROM token_lines t WHERE t.article_id = b.article_id AND token = '' AND pos > l), l + 5)) AS hi FROM bounds b) SELECT t.article_id, t.pos, token, group_no FROM token_lines t JOIN cut b ON b.article_id = t.article_id AND t.pos >= lo AND t.pos < hi",
-)(lambda s, d: (lambda lines: S.context(lines, S.gap_groups(lines, "article_id", "pos", X.uppercase(F.col("token")), 5, F.col("token") == ""), "article_id", "pos", 5, F.col("token") == "").select("article_id", "pos", "token", "group_no"))(storage.cut(_token_lines(s, d), "token-lines")))
+)(_context_windows)
 query("sliding_windows", _T + r" SELECT article_id, pos, array_to_string(w, ' ') AS win FROM (SELECT article_id, pos, token, list(token) OVER (PARTITION BY article_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS w, count(*) OVER (PARTITION BY article_id) AS n FROM tokens) WHERE pos >= 5 AND pos < n - 5 AND regexp_matches(token, '^\p{Lu}')")(
     lambda s, d: S.sliding(_tokens(s, d), "article_id", "pos", "token", 5, X.uppercase(F.col("token"))).select("article_id", "pos", F.array_join("window", " ").alias("win"))
 )

@@ -146,8 +146,8 @@ def test_groups_and_windows(spark):
     assert sorted((r["pos"], r["group_no"]) for r in groups.collect()) == [(1, 1), (4, 1), (20, 2)]
     text = lines(spark, "a", "", "b", "L", "c", "", "d", "L")
     blank = F.col("token") == ""
-    groups = S.gap_groups(text, "doc", "pos", F.col("token") == "L", 9, blank)
-    got = S.context(text, groups, "doc", "pos", 5, blank)
+    groups = S.gap_groups(S.with_blanks(text, "doc", "pos", blank), "doc", "pos", F.col("token") == "L", 9, blank)
+    got = S.context(text, groups, "doc", "pos", 5)
     by = {g: [r["token"] for r in got.where(F.col("group_no") == g).orderBy("pos").collect()] for g in (1, 2)}
     assert by == {1: ["", "b", "L", "c"], 2: ["", "d", "L"]}  # the blank before belongs to it, the one after ends it
     for label, want in ((2, None), (3, [0, 1, 2, 3, 4, 5]), (7, None), (6, [3, 4, 5, 6, 7, 8])):
