@@ -482,8 +482,8 @@ def held_out_report(docs: DataFrame, labels: DataFrame, part: int = 5, most: int
     """(model string, n_docs, n_offensive, recall, precision, auc): the labelled documents scored by models fitted without their part.
 
     One row for the factorization machine and one for the linear model, which lacks the pairs of terms. A document is offensive if its verdicts
-    have a mean above 0.5; auc takes ties as half. Verdicts may be wrong, so that no model reaches 1. Each task fits one part of one
-    model on the labelled documents, at most `most`, which it reads from a broadcast. No labelled documents give no rows.
+    have a mean above 0.5; auc takes ties as half. Verdicts may be wrong, so that no model reaches 1. Each model's fits run in one
+    task on the labelled documents, at most `most`, which it reads from a broadcast. No labelled documents give no rows.
     """
     got = _labelled(docs, labels, most)
     spark = docs.sparkSession
@@ -497,7 +497,7 @@ def held_out_report(docs: DataFrame, labels: DataFrame, part: int = 5, most: int
             for name, f, k in b.itertuples(index=False):
                 yield pd.DataFrame({"model": name, "truth": y[fold == k] > 0.5, "score": _one_part(text, y, fold, int(k), int(f))})
 
-    jobs = spark.createDataFrame(todo, "model string, f int, k int").repartition(max(1, len(todo)))
+    jobs = spark.createDataFrame(todo, "model string, f int, k int").repartition(2, "model")  # two tasks, as each holds all labelled documents' terms
     scored = jobs.mapInPandas(run, "model string, truth boolean, score double")
     per = scored.groupBy("model", "score").agg(F.sum(F.col("truth").cast("long")).alias("pos"), F.count("*").alias("n"))
     below = F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy("model").orderBy("score")) - (F.col("n") - F.col("pos"))  # at most `most` rows
