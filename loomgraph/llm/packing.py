@@ -92,23 +92,23 @@ def price(weight: np.ndarray, sizes: np.ndarray, limit: np.ndarray, capacity: in
 def _table(weight: np.ndarray, sizes: np.ndarray, limit: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The dynamic program over the room: (greatest weight, how many of each size)."""
     who, load, gain = [], [], []
-    for k in range(len(sizes)):
-        left, m = int(min(limit[k], room // sizes[k])), 1
+    for k, (size, left, g) in enumerate(zip(sizes.tolist(), np.minimum(limit, room // sizes).tolist(), weight.tolist(), strict=True)):
+        m = 1
         while left > 0:  # 1, 2, 4 ... and the rest, so that each number up to the limit can be made
             m = min(m, left)
-            who.append(k), load.append(int(sizes[k]) * m), gain.append(float(weight[k]) * m)
+            who.append(k), load.append(size * m), gain.append(g * m)
             left, m = left - m, 2 * m
     best, with_it = np.zeros(room + 1, np.float32), np.empty(room + 1, np.float32)
-    took = np.zeros((len(who), room + 1), bool)
-    for i, (size, g) in enumerate(zip(load, gain, strict=True)):
-        new, old = with_it[: room + 1 - size], best[size:]
-        np.add(best[: room + 1 - size], np.float32(g), out=new)
+    took = np.empty((len(who), room + 1), bool)  # places below an item's load are neither written nor read
+    for i, (size, g) in enumerate(zip(load, np.array(gain, np.float32), strict=True)):
+        new, old = with_it[size:], best[size:]
+        np.add(best[: room + 1 - size], g, out=new)
         np.greater(new, old, out=took[i, size:])
         np.maximum(new, old, out=old)
     out, c = np.zeros(len(sizes), np.int64), int(best.argmax())
     top = float(best[c])
     for i in range(len(who) - 1, -1, -1):
-        if took[i, c]:
+        if c >= load[i] and took[i, c]:
             out[who[i]] += load[i] // sizes[who[i]]
             c -= load[i]
     return top, out

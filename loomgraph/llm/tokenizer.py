@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import storage
+from loomgraph.llm.sizes import Pairs, Sizes, kinds
 from loomgraph.llm.transducer import Transducer
 
 #: Where the public vocabulary is, as a file of base64 tokens and ranks.
@@ -118,10 +119,6 @@ class Encoder:
             ids.append(pool[np.repeat(first[code] - total + size[code], size[code]) + np.arange(total[-1])] if len(code) else pool[:0])
         return np.concatenate(sizes), np.concatenate(ids)
 
-    def count(self, texts: list[str | None]) -> np.ndarray:
-        """The number of ids by text, without making them."""
-        return np.concatenate([self._part(part)[0] for part in _pieces(texts)])
-
     def _part(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(number of ids by text, by distinct word the place and number of its ids in the pool, the words' numbers in order, pool)."""
         flat: list[str] = []
@@ -212,8 +209,16 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocab
 def count_tokens(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, n_tokens long) of every row: the size of encode's list.
 
-    The transducer holds the vocabulary's own words, so that no pass over the corpus comes first; a word takes as many ids either way.
+    No pass over the corpus comes first: the vocabulary's own words and the words met before are looked up, all others are merged where they occur.
     """
     ranks = load_ranks(vocabulary)
-    lexicon = Transducer.compile({token: [i] for token, i in ranks.items()})
-    return _per_batch(docs, id_column, text, ranks, lexicon, lambda enc, texts: pa.array(enc.count(texts), pa.int64()), "long").withColumnRenamed("out", "n_tokens")
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, Pairs.of(ranks), kinds()))  # made of the public vocabulary, whatever the corpus
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Sizes(*shared.value, merge)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.count(b.column(1)), pa.int64())], ["id", "n_tokens"])
+
+    id_kind = dict(docs.dtypes)[id_column]
+    out = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {id_kind}, n_tokens long")
+    return out.withColumnRenamed("id", id_column)
